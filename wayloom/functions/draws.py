@@ -12,13 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPAN = float(2**32)
+# Twelve hex digits: 48 bits, which a double holds exactly.
+_DIGITS = 12
+_SPAN = float(16**_DIGITS)
 
 
 def uniform(row_id: Column, field: str, seed: int) -> Column:
     """Uniform double in [0, 1) for one field of one row."""
     digest = F.md5(F.concat_ws("|", row_id.cast("string"), F.lit(field), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(_SPAN)
+    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") / F.lit(_SPAN)
 
 
 def uniform_int(draw: Column, low: int, high: int) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.suite import trips
+from wayloom.suite import profiles, trips, weather
 
-MODULES = (trips,)
+MODULES = (trips, weather, profiles)
 
 
 def _utc(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
