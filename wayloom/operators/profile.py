@@ -7,7 +7,7 @@ bucket sizes (a fixed number of rows) summed in one place.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +26,23 @@ def distinct_values(table: DataFrame, column: str, name: str = "value") -> DataF
     return table.select(F.col(column).alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
+def value_counts(table: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``(column, value, count)`` of several columns, values as text, NULL left out.
+
+    One scan and one shuffle for all columns, with counts combined before the shuffle.
+    """
+    pairs = [
+        F.struct(F.lit(name).alias("column"), value.cast("string").alias("value"))
+        for name, value in columns.items()
+    ]
+    return (
+        table.select(F.inline(F.array(*pairs)))
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("count"))
+    )
+
+
 def frequencies(table: DataFrame, column: str | Column, name: str = "value") -> DataFrame:
     """``(value, count, probability)`` of the values that are not NULL."""
     value = F.col(column) if isinstance(column, str) else column

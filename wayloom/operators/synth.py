@@ -23,11 +23,14 @@ from wayloom.functions.parse import (
     end_date,
     format_currency,
     format_us_date,
+    parse_currency,
     parse_number,
     round_to_tens,
 )
 from wayloom.operators import profile as prof
+from wayloom.operators.clean import drop_empty_rows, or_default
 from wayloom.schemas import TRIP_COLUMNS
+from wayloom.session import stage
 from wayloom.sources import reference_lists as lists
 
 # Defaults of a batch.
@@ -36,6 +39,9 @@ DATE_RANGE_FUTURE = 180
 DATE_RANGE_PAST = 180
 PAST_DATE_RATIO = 0.3
 
+# Fixed value: length of a trip whose own cannot be read.
+DEFAULT_DURATION = 7.0
+
 # Ages are profiled in ten bins of five years from 18.
 AGE_LOW, AGE_WIDTH, AGE_BINS = 18, 5, 10
 
@@ -96,31 +102,44 @@ class TripProfile:
     first_id: int = prof.FIRST_KEY
 
 
-def profile_trips(trips: DataFrame, cleaned: DataFrame | None = None) -> TripProfile:
-    """Profile of raw trips; with ``cleaned`` (the same trips, parsed) cost marks are added."""
-    source = trips if cleaned is None else cleaned
-    ages = prof.histogram(
-        source.withColumn("_age", parse_number(F.col("Traveler age").cast("string"))),
-        "_age",
-        AGE_LOW,
-        AGE_WIDTH,
-        AGE_BINS,
-    )
-    durations = prof.frequencies(
-        source, F.floor(parse_number(F.col("Duration (days)").cast("string"))).cast("int")
+def profile_trips(trips: DataFrame, parse_costs: bool = False) -> TripProfile:
+    """Profile of raw trips.
+
+    With ``parse_costs`` amounts are parsed for their quartile marks, and a trip whose length
+    cannot be read counts as the default length instead of not at all.
+    """
+    trips = drop_empty_rows(trips, TRIP_COLUMNS)
+    length = parse_number(F.col("Duration (days)"))
+    if parse_costs:
+        length = or_default(length, DEFAULT_DURATION)
+    # The value tables are read several times by every batch: computed once, one folder each.
+    counts = stage(
+        prof.value_counts(
+            trips,
+            {c: F.col(c) for c in SAMPLED_COLUMNS}
+            | {"Duration (days)": F.floor(length).cast("int")},
+        ),
+        partition_by="column",
     )
+
+    def of(column: str) -> DataFrame:
+        return counts.where(F.col("column") == column).select("value", "count")
+
+    aged = trips.withColumn("_age", parse_number(F.col("Traveler age")))
+    ages = prof.histogram(aged, "_age", AGE_LOW, AGE_WIDTH, AGE_BINS)
     styles = prof.style_frequencies(trips, COST_COLUMNS)
     key = prof.next_key(trips.select(F.col("Trip ID").cast("bigint").alias("id")), "id")
     marks = {}
-    if cleaned is not None:
-        marks = {c: prof.quantiles(cleaned, c, (0.0, 0.25, 0.5, 0.75, 1.0)) for c in COST_COLUMNS}
+    if parse_costs:
+        costs = trips.select(*[parse_currency(F.col(c)).alias(c) for c in COST_COLUMNS])
+        marks = {c: prof.quantiles(costs, c, (0.0, 0.25, 0.5, 0.75, 1.0)) for c in COST_COLUMNS}
     return TripProfile(
-        values={c: prof.distinct_values(trips, c) for c in SAMPLED_COLUMNS},
-        durations=durations,
-        ages=[(r["lo"], r["probability"]) for r in ages.orderBy("bin").collect()],
-        cost_marks=marks,
+        values={c: of(c).select("value") for c in SAMPLED_COLUMNS},
+        durations=of("Duration (days)").withColumn("value", F.col("value").cast("int")),
         # Four styles and ten bins at most: small results by definition.
+        ages=[(r["lo"], r["probability"]) for r in ages.orderBy("bin").collect()],
         styles=[(r["style"], r["probability"]) for r in styles.orderBy("style").collect()],
+        cost_marks=marks,
         first_id=key.first()["next_key"],
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayloom.operators import quality
 from wayloom.plans import destinations, trips, weather
 from wayloom.schemas import DESTINATIONS_TABLE
+from wayloom.session import stage
 from wayloom.sinks import files as file_sinks
 from wayloom.sinks import tables
 from wayloom.sources.reference_lists import FORECAST_DAYS
@@ -121,7 +122,7 @@ def run_destinations(
         fetched = destinations.available(pages)
         result.steps["raw_archive"] = file_sinks.archive_raw_pages(fetched, archive, now)
         # Extraction is the costly step: its result is written once and read by both sinks.
-        records = tables.stage(
+        records = stage(
             destinations.extract_destinations(fetched).withColumn(
                 "ingestion_timestamp", F.lit(now)
             )
@@ -155,7 +156,7 @@ def run_weather(
 
     def body(result: FlowResult) -> None:
         wanted, _ = weather.with_and_without_forecast(payloads)
-        rows = tables.stage(weather.label_utc(weather.forecast_rows(payloads, days, F.lit(now))))
+        rows = stage(weather.label_utc(weather.forecast_rows(payloads, days, F.lit(now))))
         fetched, expected = rows.count(), locations.count() * days
         result.steps["expected_rows"], result.steps["fetched_rows"] = expected, fetched
         result.steps["coverage_pct"] = (

@@ -24,9 +24,11 @@ from wayloom.operators.clean import (
     or_default,
     rename_columns,
 )
+from wayloom.operators.profile import next_key
 from wayloom.operators.synth import (
     BATCH_SIZE,
     COST_COLUMNS,
+    DEFAULT_DURATION,
     profile_trips,
     synthesize,
     synthesize_raw,
@@ -35,7 +37,6 @@ from wayloom.operators.synth import (
 from wayloom.schemas import TRIP_COLUMNS, TRIPS_TABLE
 
 DATE_COLUMNS = ("Start date", "End date")
-DEFAULT_DURATION = 7.0
 
 # What stands in for a missing category.
 UNKNOWN = {
@@ -132,13 +133,14 @@ def generate(
     if method == "tiered":
         if sample is None:
             return synthesize_tiered(spark, as_of, n=n, seed=seed)
-        first = profile_trips(sample).first_id
+        ids = sample.select(parse_integer(F.col("Trip ID")).alias("id"))
+        first = next_key(ids, "id").first()["next_key"]
         return synthesize_tiered(spark, as_of, first_id=first, n=n, seed=seed)
     if sample is None:
         raise ValueError(f"method {method!r} needs a sample")
     if method == "raw":
         return synthesize_raw(spark, profile_trips(sample), as_of, n=n, seed=seed)
     if method == "distribution":
-        profile = profile_trips(sample, clean_trips(sample))
+        profile = profile_trips(sample, parse_costs=True)
         return synthesize(spark, profile, as_of, n=n, seed=seed)
     raise ValueError(f"unknown method {method!r}")

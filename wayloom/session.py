@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -49,3 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stage(table: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: computed once, and the lineage is cut."""
+    spark = table.sparkSession
+    path = scratch_path(spark, "stage")
+    writer = table.write.partitionBy(partition_by) if partition_by else table.write
+    writer.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.operators import upsert
-from wayloom.session import scratch_path
+from wayloom.session import scratch_path, stage
 
 
 @dataclass(frozen=True)
@@ -133,14 +133,6 @@ def truncate_and_load(table: DataFrame, name: str, schema: T.StructType) -> Load
     return LoadResult("loaded", written, rows_total=written, inserted=written)
 
 
-def stage(table: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back; the lineage before is cut."""
-    spark = table.sparkSession
-    path = scratch_path(spark, "stage")
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
 def merge_into(
     source: DataFrame,
     name: str,

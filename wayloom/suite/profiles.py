@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import parse
 from wayloom.operators import profile, synth
-from wayloom.plans.trips import clean_trips
+from wayloom.sources import reference_lists as lists
 from wayloom.suite import inputs
 from wayloom.suite.inputs import table
 
@@ -134,8 +134,7 @@ def _batch_size(spark: SparkSession, folder: str) -> int:
 
 
 def synth_trips(spark: SparkSession, folder: str) -> DataFrame:
-    raw = inputs.raw_trips(spark, folder)
-    profiled = synth.profile_trips(raw, clean_trips(raw))
+    profiled = synth.profile_trips(inputs.raw_trips(spark, folder), parse_costs=True)
     n = _batch_size(spark, folder)
     rows = synth.synthesize(spark, profiled, AS_OF, n, SEED)
     return _plain(rows.withColumns({c: F.round(c, 2) for c in synth.COST_COLUMNS}))
@@ -266,6 +265,46 @@ SQL_SYNTH_RAW = (
     .replace("JOINCOST", "")
 )
 
+
+
+def _list(name: str, values) -> str:
+    quoted = ", ".join(f"'{v}'" for v in values)
+    return f"([{quoted}])[CAST(floor({_u(name)} * {len(values)}) AS INTEGER) + 1]"
+
+
+def _tiered(name: str, tiers) -> str:
+    tier, style = _u(f"{name} tier"), _u(f"{name} style")
+    cases = " ".join(
+        f"WHEN {tier} < {upto} THEN {_int(_u(f'{name} in tier'), low, high)}"
+        for upto, low, high in tiers
+    )
+    amount = f"(CASE {cases} END)"
+    return f"""CASE WHEN {style} < 0.3::DOUBLE THEN CAST({amount} AS VARCHAR)
+        WHEN {style} < 0.6::DOUBLE THEN '$' || {amount}
+        WHEN {style} < 0.8::DOUBLE THEN '$' || format('{{:,}}', {amount}) ELSE {amount} || ' USD' END"""
+
+
+SQL_SYNTH_TIERED = f"""
+WITH ids AS (SELECT range AS id FROM range(
+        (SELECT max(o_orderkey) + 1 FROM orders),
+        (SELECT max(o_orderkey) + 1 + count(*) FROM orders)))
+SELECT id AS Trip_ID, {_list("Destination", lists.TRIP_DESTINATIONS)} AS Destination,
+       strftime({SQL_START_DAY}, '%-m/%-d/%Y') AS Start_date,
+       strftime({SQL_START_DAY} + {_int(_u("duration"), 3, 14)}, '%-m/%-d/%Y') AS End_date,
+       {_int(_u("duration"), 3, 14)} AS Duration_days,
+       CASE WHEN {_u("gender")} < 0.5 THEN {_list("given name", lists.MALE_NAMES)}
+            ELSE {_list("given name", lists.FEMALE_NAMES)} END
+            || ' ' || {_list("family name", lists.FAMILY_NAMES)} AS Traveler_name,
+       {_int(_u("age"), 18, 75)} AS Traveler_age, {SQL_GENDER} AS Traveler_gender,
+       {_list("Traveler nationality", lists.NATIONALITIES)} AS Traveler_nationality,
+       {_list("Accommodation type", lists.ACCOMMODATION_TYPES)} AS Accommodation_type,
+       {_tiered("Accommodation cost", (("0.2::DOUBLE", 200, 500), ("0.7::DOUBLE", 500, 1200),
+                ("0.9::DOUBLE", 1200, 2000), ("2", 2000, 5000)))} AS Accommodation_cost,
+       {_list("Transportation type", lists.TRANSPORTATION_TYPES)} AS Transportation_type,
+       {_tiered("Transportation cost", (("0.1::DOUBLE", 50, 200), ("0.4::DOUBLE", 200, 500),
+                ("0.9::DOUBLE", 500, 1000), ("2", 1000, 2000)))} AS Transportation_cost
+FROM ids"""
+
 QUERIES = {
     "profile_distinct": profile_distinct,
     "profile_frequency": profile_frequency,
@@ -290,4 +329,5 @@ ORACLES = {
     "rounded_tens": SQL_ROUNDED_TENS,
     "synth_trips": SQL_SYNTH_TRIPS,
     "synth_raw": SQL_SYNTH_RAW,
+    "synth_tiered": SQL_SYNTH_TIERED,
 }
