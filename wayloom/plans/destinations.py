@@ -68,7 +68,10 @@ LIST_KEYWORDS = (
 MIN_PARAGRAPH = 50
 MIN_NAME = 3
 
-_NO_ITEMS = F.array().cast(f"array<{ATTRACTION.simpleString()}>")
+
+def _no_items() -> Column:
+    return F.array().cast(f"array<{ATTRACTION.simpleString()}>")
+
 
 
 def available(pages: DataFrame) -> DataFrame:
@@ -317,7 +320,7 @@ def section_items() -> Column:
         )
         return let(node_at(anchor["parent"]), _below_heading)
 
-    return F.flatten(F.transform(ids, lambda wanted: F.coalesce(section(wanted), _NO_ITEMS)))
+    return F.flatten(F.transform(ids, lambda wanted: F.coalesce(section(wanted), _no_items())))
 
 
 def _below_heading(heading: Column) -> Column:
@@ -352,7 +355,7 @@ def _bold_items(paragraph: Column) -> Column:
 
     def items(text: Column) -> Column:
         named = F.transform(names, lambda name: _item(name, drop_citations(text), F.lit("")))
-        return F.when(F.length(text) > MIN_PARAGRAPH, named).otherwise(_NO_ITEMS)
+        return F.when(F.length(text) > MIN_PARAGRAPH, named).otherwise(_no_items())
 
     return let(strip(node_text(paragraph)), items)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.suite import profiles, tables, trips, weather
+from wayloom.suite import pages, profiles, tables, trips, weather
 
-MODULES = (trips, weather, profiles, tables)
+MODULES = (trips, weather, profiles, tables, pages)
 
 
 def _utc(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
