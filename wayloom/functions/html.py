@@ -12,6 +12,7 @@ import html.entities
 import json
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -27,7 +28,7 @@ HIDDEN = (
     r"|<style\b[^>]*>.*?</style\s*>"
 )
 
-# One tag and the text up to the next one: (tag with its slash)(attributes)(text).
+# One tag and the text up to the next one: (name with its slash)(attributes)(text).
 # ``>`` may occur inside quoted attribute values, a stray ``<`` inside text.
 TOKEN = (
     r"<(/?[a-zA-Z][^\s/>]*+)"
@@ -42,39 +43,40 @@ VOID_TAGS = frozenset(
 )
 
 
-def tokens(markup: Column) -> Column:
-    """Array of ``struct(tag, attrs, txt)`` in document order; closing tags start with ``/``,
-    tags that close themselves end with it."""
-    shown = F.regexp_replace(markup, HIDDEN, "")
-    tags, attrs, txts = (F.regexp_extract_all(shown, F.lit(TOKEN), F.lit(i)) for i in (1, 2, 3))
-    zipped = F.arrays_zip(tags.alias("tag"), attrs.alias("attrs"), txts.alias("txt"))
-    return F.transform(
-        zipped,
-        lambda t: F.struct(
-            F.concat(
-                F.lower(t["tag"]),
-                F.when(F.endswith(t["attrs"], F.lit("/")), "/").otherwise(""),
-            ).alias("tag"),
-            t["attrs"].alias("attrs"),
-            decode_entities(t["txt"]).alias("txt"),
-        ),
-    )
+def visible(markup: Column) -> Column:
+    """Markup without comments, scripts and styles."""
+    return F.regexp_replace(markup, HIDDEN, "")
+
 
+def token_parts(shown: Column) -> dict[str, Column]:
+    """Three arrays in document order, one entry per tag: name with its slash, attributes, and
+    the text up to the next tag."""
+    return {
+        name: F.regexp_extract_all(shown, F.lit(TOKEN), F.lit(group))
+        for group, name in enumerate(("tags", "attrs", "txts"), start=1)
+    }
 
-def tag_sequence(token_array: Column) -> Column:
-    """The tag names as one blank-separated text, the input of :func:`nesting`."""
-    return F.array_join(F.transform(token_array, lambda t: t["tag"]), " ")
+
+def tag_names(tags: Column, attrs: Column) -> Column:
+    """Lower-case names; closing tags start with ``/``, tags that close themselves end with it."""
+    return F.zip_with(
+        tags,
+        attrs,
+        lambda tag, rest: F.concat(
+            F.lower(tag), F.when(F.endswith(rest, F.lit("/")), "/").otherwise("")
+        ),
+    )
 
 
-def _nest(sequence: str | None) -> list[tuple[int, int]]:
+def _nest(sequence: str | None) -> np.ndarray:
     tags = sequence.split(" ") if sequence else []
-    spans = [(-1, at) for at in range(len(tags))]
+    parents, ends = [-1] * len(tags), list(range(len(tags)))
     open_at: list[int] = []
     open_names: dict[str, int] = {}
 
     def close_top(at: int) -> str:
         start = open_at.pop()
-        spans[start] = (spans[start][0], at)
+        ends[start] = at
         open_names[tags[start]] -= 1
         return tags[start]
 
@@ -86,32 +88,25 @@ def _nest(sequence: str | None) -> list[tuple[int, int]]:
             while open_names.get(name) and close_top(at) != name:
                 pass
             continue
-        spans[at] = (open_at[-1] if open_at else -1, at)
+        parents[at] = open_at[-1] if open_at else -1
         if not tag.endswith("/") and tag not in VOID_TAGS:
             open_at.append(at)
             open_names[tag] = open_names.get(tag, 0) + 1
     while open_at:
         close_top(len(tags))
-    return spans
+    return np.array(parents + ends, dtype=np.int32)
 
 
-_SPANS = T.ArrayType(
-    T.StructType(
-        [T.StructField("parent", T.IntegerType()), T.StructField("end", T.IntegerType())]
-    )
-)
-
 # Ship the fold with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf(_SPANS)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def nesting(sequences: pd.Series) -> pd.Series:
-    """For every token: ordinal of the element around it (-1 at the top) and of the token
-    that ends it. Elements left open end with the element around them."""
-    return sequences.map(
-        lambda sequence: [{"parent": p, "end": e} for p, e in _nest(sequence)]
-    )
+    """From the tag names of a page, joined by blanks: for n tokens first the n ordinals of the
+    elements around them (-1 at the top), then the n ordinals of the tokens that end them.
+    Elements left open end with the element around them."""
+    return sequences.map(_nest)
 
 
 # --- entities ---------------------------------------------------------------------------

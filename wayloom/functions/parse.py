@@ -6,6 +6,7 @@ generated code next to the scan it follows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -87,13 +88,24 @@ def parse_date(
     """First format that fits wins; the order is explicit, never inferred from the rows."""
     _check_mode(on_error)
     cleaned = strip(text.cast("string"))
-    day = F.coalesce(*[F.try_to_date(cleaned, fmt) for fmt in formats])
+    day = F.coalesce(*[_date_of_format(cleaned, fmt) for fmt in formats])
     if on_error == "null":
         return day
     problem = F.raise_error(F.concat(F.lit("not a date: "), text.cast("string")))
     return F.when(~is_blank(text) & day.isNull(), problem.cast("date")).otherwise(day)
 
 
+def _date_of_format(text: Column, fmt: str) -> Column:
+    """Date or NULL; text of another shape is not handed to the parser, whose failures cost
+    far more than its successes."""
+    digits = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}"}
+    parts = re.findall("yyyy|MM|dd|M|d|.", fmt)
+    if any(part.isalpha() and part not in digits for part in parts):
+        return F.try_to_date(text, fmt)
+    shape = "".join(digits.get(part) or re.escape(part) for part in parts)
+    return F.when(text.rlike(f"^{shape}$"), F.try_to_date(text, fmt))
+
+
 def date_is_malformed(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     return ~is_blank(text) & parse_date(text, formats).isNull()
 

@@ -1,7 +1,7 @@
 """Pages as arrays of nodes, and the same nodes as a relational element table.
 
 ``parse_pages`` keeps a page in its row. ``elements`` flattens the nodes a caller asks for
-into rows ``(key…, ord, end_ord, parent, tag, attrs, text)``; positions are token ordinals
+into rows ``(key…, ord, end_ord, parent, parent_tag, tag, attrs, text)``; positions are token ordinals
 and a node covers ``[ord, end_ord)``, so "inside" is a range test and "next" is an order.
 """
 
@@ -14,29 +14,43 @@ from pyspark.sql import functions as F
 
 from wayloom.functions import html
 from wayloom.functions.binding import let
+from wayloom.session import spread
 
 NODES = "nodes"
 TEXTS = "txts"
 
 
+def tokenise(pages: DataFrame, markup: str = "html") -> DataFrame:
+    """Replace the markup column by the arrays ``tags``, ``attrs`` and ``txts``.
+
+    The steps are separate projections, so that a text that several of them read is not
+    computed again by each.
+    """
+    shown = pages.withColumn(markup, html.visible(F.col(markup)))
+    cut = shown.withColumns(html.token_parts(F.col(markup)))
+    decoded = F.when(
+        F.contains(F.col(markup), F.lit("&")),
+        F.transform(F.col(TEXTS), html.decode_entities),
+    ).otherwise(F.col(TEXTS))
+    return cut.withColumns(
+        {"tags": html.tag_names(F.col("tags"), F.col("attrs")), TEXTS: decoded}
+    ).drop(markup)
+
+
 def parse_pages(pages: DataFrame, markup: str = "html") -> DataFrame:
     """Replace the markup column by ``nodes`` and ``txts``, both indexed by token ordinal."""
-    tokenised = pages.withColumn("_tokens", html.tokens(F.col(markup))).drop(markup)
-    nested = tokenised.withColumn("_spans", html.nesting(html.tag_sequence(F.col("_tokens"))))
+    tokens = tokenise(pages, markup)
+    nested = tokens.withColumn("_spans", html.nesting(F.array_join("tags", " ")))
     node = lambda both, at: F.struct(
         at.alias("ord"),
-        both["s"]["end"].alias("end"),
-        both["s"]["parent"].alias("parent"),
-        both["t"]["tag"].alias("tag"),
-        both["t"]["attrs"].alias("attrs"),
+        F.get(F.col("_spans"), at + F.size("tags")).alias("end"),
+        F.get(F.col("_spans"), at).alias("parent"),
+        both["tags"].alias("tag"),
+        both["attrs"].alias("attrs"),
+    )
+    return nested.withColumn(NODES, F.transform(F.arrays_zip("tags", "attrs"), node)).drop(
+        "tags", "attrs", "_spans"
     )
-    paired = F.arrays_zip(F.col("_tokens").alias("t"), F.col("_spans").alias("s"))
-    return nested.withColumns(
-        {
-            NODES: F.transform(paired, node),
-            TEXTS: F.transform(F.col("_tokens"), lambda t: t["txt"]),
-        }
-    ).drop("_tokens", "_spans")
 
 
 def node_text(node: Column) -> Column:
@@ -74,8 +88,8 @@ def elements(
     tags: Sequence[str] | None = None,
     with_text: bool = True,
 ) -> DataFrame:
-    """One row per opening tag, limited to ``tags`` if given; no shuffle."""
-    parsed = parse_pages(pages.select(*keys, markup), markup)
+    """One row per opening tag, limited to ``tags`` if given; no shuffle by key."""
+    parsed = parse_pages(spread(pages.select(*keys, markup)), markup)
     wanted = lambda n: (
         n["tag"].isin(*tags) if tags else ~F.startswith(n["tag"], F.lit("/"))
     )
@@ -84,6 +98,7 @@ def elements(
         F.col("_n.ord").alias("ord"),
         F.col("_n.end").alias("end_ord"),
         F.col("_n.parent").alias("parent"),
+        F.get(F.col(NODES), F.col("_n.parent"))["tag"].alias("parent_tag"),
         F.rtrim(F.col("_n.tag"), F.lit("/")).alias("tag"),
         F.col("_n.attrs").alias("attrs"),
     ]
@@ -115,6 +130,21 @@ def find_next(
     return table.withColumn(name, F.last(F.when(of, value), ignorenulls=True).over(backwards))
 
 
+def mark_inside(
+    table: DataFrame, keys: Sequence[str], outer: Column, name: str, order: str = "ord"
+) -> DataFrame:
+    """Add ``name``: whether the row lies inside an element for which ``outer`` holds.
+
+    A running maximum of the ends of such elements so far: one pass, and the pages are parsed
+    once, where a join of the table with itself would parse them twice.
+    """
+    before = (
+        Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    reach = F.max(F.when(outer, F.col("end_ord"))).over(before)
+    return table.withColumn(name, F.coalesce(reach > F.col(order), F.lit(False)))
+
+
 def inside(
     inner: DataFrame, outer: DataFrame, keys: Sequence[str], prefix: str = "outer_"
 ) -> DataFrame:

@@ -108,7 +108,9 @@ def profile_trips(trips: DataFrame, parse_costs: bool = False) -> TripProfile:
     With ``parse_costs`` amounts are parsed for their quartile marks, and a trip whose length
     cannot be read counts as the default length instead of not at all.
     """
-    trips = drop_empty_rows(trips, TRIP_COLUMNS)
+    # Read and parsed once: the passes below then fetch only their own columns.
+    parsed = {f"_{c}": parse_currency(F.col(c)) for c in COST_COLUMNS} if parse_costs else {}
+    trips = stage(drop_empty_rows(trips, TRIP_COLUMNS).withColumns(parsed))
     length = parse_number(F.col("Duration (days)"))
     if parse_costs:
         length = or_default(length, DEFAULT_DURATION)
@@ -131,8 +133,8 @@ def profile_trips(trips: DataFrame, parse_costs: bool = False) -> TripProfile:
     key = prof.next_key(trips.select(F.col("Trip ID").cast("bigint").alias("id")), "id")
     marks = {}
     if parse_costs:
-        costs = trips.select(*[parse_currency(F.col(c)).alias(c) for c in COST_COLUMNS])
-        marks = {c: prof.quantiles(costs, c, (0.0, 0.25, 0.5, 0.75, 1.0)) for c in COST_COLUMNS}
+        at = (0.0, 0.25, 0.5, 0.75, 1.0)
+        marks = {c: prof.quantiles(trips, f"_{c}", at) for c in COST_COLUMNS}
     return TripProfile(
         values={c: of(c).select("value") for c in SAMPLED_COLUMNS},
         durations=of("Duration (days)").withColumn("value", F.col("value").cast("int")),

@@ -35,6 +35,7 @@ from wayloom.operators.elements import (
     parse_pages,
 )
 from wayloom.schemas import ATTRACTION, DESTINATIONS_TABLE
+from wayloom.session import spread
 
 # Markers looked for in a page.
 CLIMATE_IDS = ("Climate", "Geography_and_climate", "Weather", "Environment")
@@ -83,10 +84,8 @@ def extract_destinations(
     pages: DataFrame, name: str = "destination_name", markup: str = "content"
 ) -> DataFrame:
     """One record per page: name and ten extracted fields."""
-    parsed = parse_pages(
-        pages.select(F.col(name).alias("destination_name"), F.col(markup).alias("_markup")),
-        "_markup",
-    )
+    texts = pages.select(F.col(name).alias("destination_name"), F.col(markup).alias("_markup"))
+    parsed = parse_pages(spread(texts), "_markup")
     box = parsed.withColumn("_box", first_node(F.col(NODES), _is_class("infobox")))
     # Header cells and span anchors are read by several rules: their texts are joined once.
     marked = box.withColumns({"_headers": _box_headers(), "_anchors": _anchors()})

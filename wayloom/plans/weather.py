@@ -11,6 +11,7 @@ from wayloom.functions.parse import epoch_to_timestamp, epoch_to_utc_date, logic
 from wayloom.operators.clean import or_default, split_by
 from wayloom.operators.quality import defaults_filled
 from wayloom.schemas import FORECAST_PAYLOAD, WEATHER_TABLE
+from wayloom.session import spread
 from wayloom.sources.reference_lists import FORECAST_DAYS
 
 # Output field and payload field of the values that default to 0.
@@ -23,10 +24,13 @@ ZERO_DEFAULTS = {
 
 
 def parse_payloads(table: DataFrame, text: str = "payload") -> DataFrame:
-    """Payload columns from one column of JSON text; only the fields used later are parsed."""
-    return table.withColumn("_p", F.from_json(F.col(text), FORECAST_PAYLOAD)).select(
-        *[c for c in table.columns if c != text], "_p.*"
-    )
+    """Payload columns from one column of JSON text.
+
+    Unpacked by a generator, which later filters cannot be pushed through: pushed below the
+    parse they would parse every text again.
+    """
+    parsed = F.from_json(F.col(text), FORECAST_PAYLOAD)
+    return spread(table).select(*[c for c in table.columns if c != text], F.inline(F.array(parsed)))
 
 
 def with_and_without_forecast(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +68,9 @@ def forecast_days(payloads: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
     cut = wanted.withColumn("_days", F.slice(F.col("response.daily"), 1, days))
     usable = cut.withColumn("_days", _usable_prefix(F.col("_days"))).drop("response")
     columns = [c for c in usable.columns if c != "_days"]
-    return usable.select(*columns, F.posexplode("_days").alias("day_no", "d"))
+    # The outer form draws no filter on the array, which would compute the array twice.
+    rows = usable.select(*columns, F.posexplode_outer("_days").alias("day_no", "d"))
+    return rows.where(F.col("day_no").isNotNull())
 
 
 def forecast_rows(

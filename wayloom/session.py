@@ -58,3 +58,19 @@ def stage(table: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = table.write.partitionBy(partition_by) if partition_by else table.write
     writer.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Give a small input to all cores before costly work on each row.
+
+    A few small files make a few tasks. Only inputs that are, by Spark's own estimate, too small
+    to fill the cores are redistributed; anything larger is already split by the scan and goes
+    through without a shuffle.
+    """
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 128 * 1024 * 1024
+    estimate = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if len(table.inputFiles()) < cores and estimate < cores * split:
+        return table.repartition(cores)
+    return table

@@ -14,6 +14,7 @@ from wayloom.functions.parse import (
     format_iso_date,
     format_us_date,
 )
+from wayloom.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,7 +68,7 @@ def sql_amount(amount: str) -> str:
 
 def raw_trips(spark: SparkSession, folder: str) -> DataFrame:
     """Every order as a trip the way a hand-kept CSV would hold it."""
-    orders = table(spark, folder, "orders")
+    orders = spread(table(spark, folder, "orders"))
     customer = table(spark, folder, "customer")
     nation = table(spark, folder, "nation")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(

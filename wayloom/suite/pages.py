@@ -12,10 +12,24 @@ from wayloom.functions.classify import description_from_text, name_from_text
 from wayloom.functions.parse import strip
 from wayloom.operators import elements as el
 from wayloom.plans import destinations
+from wayloom.session import spread
 from wayloom.suite.inputs import table
 
 # --- the given pages --------------------------------------------------------------------
 
+# References that occur in the pages; the closing semicolon may be missing.
+SQL_DECODED = "raw"
+for _name, _char in (
+    ("&copy", "©"),
+    ("&middot", "·"),
+    ("&quot", '"'),
+    ("&#x27", "''"),
+    ("&lt", "<"),
+    ("&gt", ">"),
+    ("&amp", "&"),
+):
+    SQL_DECODED = f"regexp_replace({SQL_DECODED}, '{_name};?', '{_char}', 'g')"
+
 # The same grammar in DuckDB's regex dialect, which has no possessive repeats.
 SQL_TOKENS = r"""
 shown AS (SELECT page_id, regexp_replace(html,
@@ -27,9 +41,8 @@ found AS (SELECT page_id,
 raw_tokens AS (SELECT page_id, unnest(range(len(tags))) AS ord, lower(unnest(tags)) AS tag,
     unnest(attrs) AS attrs, unnest(txts) AS raw FROM found),
 tokens AS (SELECT page_id, CAST(ord AS INTEGER) AS ord, tag, attrs,
-    replace(replace(replace(replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'),
-    '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS txt
-    FROM raw_tokens)""".replace(
+    TXT AS txt
+    FROM raw_tokens)""".replace("TXT", SQL_DECODED).replace(
     "RX",
     r"""'<(/?[a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*''[^'']*''|=)*)>((?:[^<]|<[^/a-zA-Z!?])*)'""",
 )
@@ -68,10 +81,11 @@ SQL_TEXT = """(SELECT string_agg(x.txt, '' ORDER BY x.ord) FROM tokens x
 
 
 def page_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    return pages.select(
-        "page_id", F.posexplode(html.tokens(F.col("html"))).alias("ord", "t")
-    ).select("page_id", "ord", F.col("t.tag").alias("tag"), F.col("t.txt").alias("txt"))
+    tokens = el.tokenise(table(spark, folder, "pages").select("page_id", "html"))
+    numbered = F.arrays_zip("tags", "txts")
+    return tokens.select("page_id", F.posexplode(numbered).alias("ord", "t")).select(
+        "page_id", "ord", F.col("t.tags").alias("tag"), F.col("t.txts").alias("txt")
+    )
 
 
 SQL_PAGE_TOKENS = f"WITH {SQL_TOKENS} SELECT page_id, ord, tag, txt FROM tokens"
@@ -107,9 +121,8 @@ FROM t GROUP BY 1"""
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links inside navigation blocks, by containment of ordinals."""
     found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["nav", "a"])
-    links = found.where(F.col("tag") == "a")
-    navs = found.where(F.col("tag") == "nav").select("page_id", "ord", "end_ord")
-    return el.inside(links, navs, ["page_id"]).select(
+    marked = el.mark_inside(found, ["page_id"], F.col("tag") == "nav", "in_nav")
+    return marked.where((F.col("tag") == "a") & F.col("in_nav")).select(
         "page_id", "ord", html.attribute(F.col("attrs"), "href").alias("href"), "text"
     )
 
@@ -124,13 +137,9 @@ WHERE n.tag = 'a'"""
 
 def page_first_paragraph(spark: SparkSession, folder: str) -> DataFrame:
     """First paragraph that stands directly in an article."""
-    found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["article", "p"])
-    paragraphs = found.where(F.col("tag") == "p")
-    articles = found.where(F.col("tag") == "article").select(
-        "page_id", F.col("ord").alias("parent")
-    )
+    found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["p"])
     return (
-        paragraphs.join(articles, ["page_id", "parent"], "left_semi")
+        found.where(F.col("parent_tag") == "article")
         .groupBy("page_id")
         .agg(F.min_by(strip(F.col("text")), "ord").alias("text"))
     )
@@ -143,6 +152,23 @@ FROM nodes n JOIN nodes a ON a.page_id = n.page_id AND a.ord = n.parent AND a.ta
 WHERE n.tag = 'p' QUALIFY row_number() OVER (PARTITION BY n.page_id ORDER BY n.ord) = 1"""
 
 
+def page_list_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """How many elements of each kind every list and block holds, by a join on containment."""
+    found = el.elements(
+        table(spark, folder, "pages"), ["page_id"], tags=["nav", "ul", "li", "a"], with_text=False
+    )
+    outer = found.where(F.col("tag").isin("nav", "ul")).select("page_id", "ord", "end_ord", "tag")
+    pairs = el.inside(found, outer, ["page_id"])
+    return pairs.groupBy("page_id", "outer_tag", "tag").agg(F.count("*").alias("elements"))
+
+
+SQL_LIST_PAIRS = f"""
+WITH {SQL_NODES}
+SELECT n.page_id, v.tag AS outer_tag, n.tag, count(*) AS elements
+FROM nodes n JOIN nodes v ON v.page_id = n.page_id AND n.ord > v.ord AND n.ord < v.end_ord
+WHERE v.tag IN ('nav', 'ul') AND n.tag IN ('nav', 'ul', 'li', 'a') GROUP BY ALL"""
+
+
 def page_list_items(spark: SparkSession, folder: str) -> DataFrame:
     found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["li"])
     named = found.withColumn("name", name_from_text(strip(F.col("text"))))
@@ -216,7 +242,7 @@ def _fill(template: str, **values: Column) -> Column:
 def wiki_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One page per customer, with gaps and oddities by market segment."""
     joined = (
-        table(spark, folder, "customer")
+        spread(table(spark, folder, "customer"))
         .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -338,6 +364,7 @@ QUERIES = {
     "page_titles": page_titles,
     "page_links": page_links,
     "page_first_paragraph": page_first_paragraph,
+    "page_list_pairs": page_list_pairs,
     "page_list_items": page_list_items,
     "page_next_match": page_next_match,
     "page_records": page_records,
@@ -349,6 +376,7 @@ ORACLES = {
     "page_titles": SQL_PAGE_TITLES,
     "page_links": SQL_PAGE_LINKS,
     "page_first_paragraph": SQL_FIRST_PARAGRAPH,
+    "page_list_pairs": SQL_LIST_PAIRS,
     "page_list_items": SQL_LIST_ITEMS,
     "page_next_match": SQL_NEXT_MATCH,
     "page_records": SQL_PAGE_RECORDS,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import parse
 from wayloom.operators import quality
 from wayloom.plans import weather
+from wayloom.session import spread
 from wayloom.suite.inputs import table
 
 STAMP = dt.datetime(2024, 1, 5, 12, 0, tzinfo=dt.timezone.utc)
@@ -56,7 +57,7 @@ def payload_text(spark: SparkSession, folder: str) -> DataFrame:
 
     days = F.transform(F.sequence(F.lit(0), length - 1), day)
     response = F.struct(F.when(F.col("o_orderstatus") != "P", days).alias("daily"))
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders")).select(
         F.to_json(
             F.struct(
                 F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("city"),
