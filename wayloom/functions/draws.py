@@ -37,9 +37,11 @@ def pick(draw: Column, values: Sequence[str]) -> Column:
 def pick_weighted(draw: Column, weighted: Sequence[tuple[object, float]]) -> Column:
     """Weighted draw from a short fixed list: one CASE over cumulative weights, no join.
 
-    Values may be literals or columns.
+    Values may be literals or columns; without any weight the draw is NULL.
     """
     total = float(sum(weight for _, weight in weighted))
+    if not total:
+        return F.lit(None)
     reached = 0.0
     choice = None
     *head, (last, _) = weighted

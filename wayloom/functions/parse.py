@@ -98,8 +98,14 @@ def parse_date(
 def _date_of_format(text: Column, fmt: str) -> Column:
     """Date or NULL; text of another shape is not handed to the parser, whose failures cost
     far more than its successes."""
-    digits = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}"}
-    parts = re.findall("yyyy|MM|dd|M|d|.", fmt)
+    digits = {
+        "yyyy": "[0-9]{4}",
+        "MM": "[0-9]{2}",
+        "dd": "[0-9]{2}",
+        "M": "[0-9]{1,2}",
+        "d": "[0-9]{1,2}",
+    }
+    parts = [run.group() for run in re.finditer(r"([a-zA-Z])\1*|.", fmt)]
     if any(part.isalpha() and part not in digits for part in parts):
         return F.try_to_date(text, fmt)
     shape = "".join(digits.get(part) or re.escape(part) for part in parts)

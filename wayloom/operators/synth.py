@@ -212,12 +212,17 @@ def start_day(row_id: Column, as_of: dt.date, seed: int, past_ratio: float, futu
 
 def profiled_age(row_id: Column, ages: list[tuple[float, float]], seed: int) -> Column:
     weighted = [(int(lo), p) for lo, p in ages]
-    low = draws.pick_weighted(draws.uniform(row_id, "age_bin", seed), weighted)
+    low = draws.pick_weighted(draws.uniform(row_id, "age_bin", seed), weighted).cast("int")
     return low + draws.uniform_int(draws.uniform(row_id, "age_in_bin", seed), 0, AGE_WIDTH - 1)
 
 
 def banded_cost(row_id: Column, name: str, marks: list[float], seed: int) -> Column:
-    """Cost uniform between two neighbouring marks (minimum, quartiles, maximum), in tens."""
+    """Cost uniform between two neighbouring marks (minimum, quartiles, maximum), in tens.
+
+    NULL where no cost was there to profile.
+    """
+    if not marks:
+        return F.lit(None).cast("double")
     bands = list(zip(marks, marks[1:]))
     band_draw = draws.uniform(row_id, f"{name} band", seed)
     low = draws.pick_weighted(band_draw, [(b[0], w) for b, w in zip(bands, COST_BAND_WEIGHTS)])

@@ -249,19 +249,19 @@ FROM supplier"""
 
 def append_autodetect(spark: SparkSession, folder: str) -> DataFrame:
     """The second batch brings a column the table does not have."""
-    supplier = table(spark, folder, "supplier")
-    name = f"{_fresh_database(spark)}.supplier"
-    in_debt = F.col("s_acctbal") < 0
-    table_sinks.append_autodetect(supplier.where(in_debt), name)
-    more = supplier.where(~in_debt).withColumn("rating", F.lit("good")).drop("s_name")
+    customer = table(spark, folder, "customer")
+    name = f"{_fresh_database(spark)}.customer"
+    builders = F.col("c_mktsegment") == "BUILDING"
+    table_sinks.append_autodetect(customer.where(builders), name)
+    more = customer.where(~builders).withColumn("rating", F.lit("good")).drop("c_name")
     table_sinks.append_autodetect(more, name)
     return spark.table(name)
 
 
 SQL_APPEND_AUTODETECT = """
-SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN s_name END AS s_name, s_nationkey, s_acctbal,
-       CASE WHEN s_acctbal >= 0 THEN 'good' END AS rating
-FROM supplier"""
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END AS c_name, c_nationkey,
+       c_acctbal, c_mktsegment, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'good' END AS rating
+FROM customer"""
 
 
 def truncate_load(spark: SparkSession, folder: str) -> DataFrame:
