@@ -134,3 +134,33 @@ def test_keep_first(spark):
     frame = spark.createDataFrame([(3, "A"), (1, "b"), (2, "a"), (4, "B"), (5, None)], "i int, n string")
     kept = keep_first(frame, [F.lower("n")], [F.col("i")])
     assert rows(kept) == [(1, "b"), (2, "a"), (5, None)]
+
+
+def test_merge_into_buckets(spark, tmp_path):
+    path = str(tmp_path / "buckets")
+    schema = spark.createDataFrame([], SCHEMA).schema
+
+    def load(*values):
+        frame = spark.createDataFrame(list(values), SCHEMA)
+        return tables.merge_into_buckets(frame, path, schema, ["k"], buckets=8)
+
+    def stored():
+        return rows(tables.read_buckets(spark, path, schema).drop("bucket"))
+
+    def written():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "buckets").rglob("*.parquet")}
+
+    assert stored() == []
+    result = load(*[(f"k{i}", i, None) for i in range(40)])
+    assert (result.inserted, result.updated) == (40, 0)
+    before = written()
+    assert (load(("k1", 1, None)).updated, written()) == (0, before)
+    result = load(("k1", 100, None), ("new", 1, 1))
+    assert (result.inserted, result.updated) == (1, 1)
+    # Two keys touch two folders at most; the files of the others are the same ones.
+    kept = before.keys() & written().keys()
+    assert len({f.parent for f in before} - {f.parent for f in kept}) <= 2 and len(kept) >= 5
+    assert len(stored()) == 41 and ("k1", 100, None) in stored()
+    assert load().status == "empty"
+    with pytest.raises(upsert.DuplicateSourceKey):
+        load(("k1", 1, 1), ("k1", 2, 2))

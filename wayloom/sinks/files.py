@@ -74,6 +74,9 @@ def archive_partitioned(
         "month": F.date_format(day, "MM"),
         "day": F.date_format(day, "dd"),
     }
-    writer = table.withColumns(parts).write.partitionBy(*parts).mode("append")
+    # Without it every task would write a file per day. Rebalancing gathers the rows of a day
+    # and still splits a day that is far larger than the others.
+    gathered = table.withColumns(parts).hint("rebalance", *parts)
+    writer = gathered.write.partitionBy(*parts).mode("append")
     writer.option("compression", compression).option("timestampFormat", TEXT_TIMESTAMP).json(path)
     return path

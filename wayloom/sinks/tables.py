@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,11 +117,17 @@ def append_new_keys(
     spark = table.sparkSession
     ensure_table(spark, name, schema)
     order = [F.col(c) for c in table.columns if c != key]
-    folded = table.groupBy(key).agg(F.min_by(F.struct(*table.columns), F.struct(*order)).alias("r"))
-    fresh = folded.select("r.*").join(spark.table(name).select(key), key, "left_anti")
+    folded = stage(
+        table.groupBy(key)
+        .agg(F.min_by(F.struct(*table.columns), F.struct(*order)).alias("r"))
+        .select("r.*")
+    )
+    # The keys found again are no more than the batch has, so a small batch leaves the table
+    # where it is: it is broadcast against the table's key column.
+    known = spark.table(name).select(key).join(folded.select(key), key, "left_semi").distinct()
+    fresh = folded.join(known, key, "left_anti").select(*table.columns)
     # The table is read to decide what to append to it: settle the rows first.
-    staged = stage(fresh.select(*table.columns))
-    return append(staged, name, schema)
+    return append(stage(fresh), name, schema)
 
 
 def truncate_and_load(table: DataFrame, name: str, schema: T.StructType) -> LoadResult:
@@ -151,10 +158,11 @@ def merge_into(
     spark = source.sparkSession
     try:
         ensure_table(spark, name, schema)
-        if source.isEmpty():
+        # Read by the check and by three branches of the merge: computed once.
+        rows = stage(conform(source, schema))
+        if rows.isEmpty():
             return LoadResult("empty", rows_total=spark.table(name).count())
         target = spark.table(name)
-        rows = conform(source, schema)
         upsert.check_unique_matches(target, rows, keys)
         merged = upsert.merge(target, rows, keys, change_test, ignore, with_status=True)
         seen = Observation()
@@ -182,3 +190,78 @@ def merge_into(
         raise
     except Exception as error:
         return LoadResult("failed", error=str(error))
+
+
+BUCKET = "bucket"
+
+
+def merge_into_buckets(
+    source: DataFrame,
+    path: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    buckets: int = 1024,
+    change_test: str = "ansi",
+    ignore: Sequence[str] = (),
+) -> LoadResult:
+    """Upsert into parquet folders by key hash: work grows with the touched folders, not with
+    the table.
+
+    Only folders that hold a source key are read and only those with a change are replaced, each
+    when the whole job has succeeded. ``buckets`` must stay the same for a path. For tables where
+    a batch touches nearly every folder, or where readers must see all of an upsert at once,
+    :func:`merge_into` is the better choice. Read the table with :func:`read_buckets`.
+    """
+    spark = source.sparkSession
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
+    rows = stage(conform(source, schema).withColumn(BUCKET, bucket))
+    if rows.isEmpty():
+        return LoadResult("empty")
+    # At most ``buckets`` numbers, named in the filter so that the other folders are not listed.
+    touched = [r[BUCKET] for r in rows.select(BUCKET).distinct().collect()]
+    target = read_buckets(spark, path, schema).where(F.col(BUCKET).isin(touched))
+    upsert.check_unique_matches(target, rows, [*keys, BUCKET])
+    merged = upsert.merge(
+        target, rows, [*keys, BUCKET], change_test, ignore, with_status=True
+    )
+    status = F.col(upsert.STATUS)
+    # Settled before the folders it was read from are replaced.
+    merged = stage(merged)
+    counts = (
+        merged.groupBy(BUCKET)
+        .agg(
+            F.count_if(status == "updated").alias("updated"),
+            F.count_if(status == "inserted").alias("inserted"),
+        )
+        .where("updated + inserted > 0")
+        .collect()
+    )
+    changed = [r[BUCKET] for r in counts]
+    if changed:
+        (
+            merged.where(F.col(BUCKET).isin(changed))
+            .drop(upsert.STATUS)
+            .hint("rebalance", BUCKET)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(BUCKET)
+            .parquet(path)
+        )
+    return LoadResult(
+        "loaded",
+        rows_in=rows.count(),
+        inserted=sum(r["inserted"] for r in counts),
+        updated=sum(r["updated"] for r in counts),
+    )
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a table kept by :func:`merge_into_buckets`, with the ``bucket`` column; an
+    empty table if nothing was written yet."""
+    full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)

@@ -17,8 +17,9 @@ def source_file() -> Column:
 
     Spark writes a CSV "file" as a folder of part files; then the folder's name counts.
     """
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return base_name(path)
+    path = F.col("_metadata.file_path")
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return base_name(F.when(F.contains(path, F.lit("%")), decoded).otherwise(path))
 
 
 def base_name(path: Column) -> Column:

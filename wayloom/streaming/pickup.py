@@ -64,7 +64,9 @@ def pick_up_trips(
         withheld = F.lit(on_error == "fail") & (F.col("malformed_rows") > 0)
         report.withColumn("loaded", ~withheld).write.mode("overwrite").parquet(files_path)
         verdict = spark.read.parquet(files_path).where(~F.col("loaded")).select("Source_file")
-        accepted = checked.join(verdict, "Source_file", "left_anti")
+        # One name per withheld file, and a batch has at most ``max_files`` files: small enough
+        # to broadcast, and a file with most of the rows is then no hot join key.
+        accepted = checked.join(F.broadcast(verdict), "Source_file", "left_anti")
         # The table needs an id; a row without one is lost even where gaps are tolerated, and
         # is counted in the report.
         accepted = accepted.where(parse_integer(F.col("Trip ID")).isNotNull())

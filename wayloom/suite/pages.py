@@ -80,6 +80,16 @@ SQL_TEXT = """(SELECT string_agg(x.txt, '' ORDER BY x.ord) FROM tokens x
     WHERE x.page_id = n.page_id AND x.ord >= n.ord AND x.ord < n.end_ord)"""
 
 
+def _elements(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Elements of the given pages. ``doc`` tells rows apart whose page id is the same, so that a
+    page fetched many times is many small groups and not one."""
+    pages = table(spark, folder, "pages").withColumn("doc", F.monotonically_increasing_id())
+    return el.elements(pages, KEYS, **options)
+
+
+KEYS = ["page_id", "doc"]
+
+
 def page_tokens(spark: SparkSession, folder: str) -> DataFrame:
     tokens = el.tokenise(table(spark, folder, "pages").select("page_id", "html"))
     numbered = F.arrays_zip("tags", "txts")
@@ -92,7 +102,7 @@ SQL_PAGE_TOKENS = f"WITH {SQL_TOKENS} SELECT page_id, ord, tag, txt FROM tokens"
 
 
 def page_elements(spark: SparkSession, folder: str) -> DataFrame:
-    found = el.elements(table(spark, folder, "pages"), ["page_id"], with_text=False)
+    found = _elements(spark, folder, with_text=False)
     return found.select("page_id", "ord", "end_ord", "parent", "tag")
 
 
@@ -101,13 +111,14 @@ SQL_PAGE_ELEMENTS = f"WITH {SQL_NODES} SELECT page_id, ord, end_ord, parent, tag
 
 def page_titles(spark: SparkSession, folder: str) -> DataFrame:
     """First heading and title of every page."""
-    found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["title", "h1"])
-    return found.groupBy("page_id").agg(
+    found = _elements(spark, folder, tags=["title", "h1"])
+    firsts = found.groupBy(*KEYS).agg(
         *[
             F.min_by("text", F.when(F.col("tag") == tag, F.col("ord"))).alias(tag)
             for tag in ("title", "h1")
         ]
     )
+    return firsts.drop("doc")
 
 
 SQL_PAGE_TITLES = f"""
@@ -120,8 +131,8 @@ FROM t GROUP BY 1"""
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links inside navigation blocks, by containment of ordinals."""
-    found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["nav", "a"])
-    marked = el.mark_inside(found, ["page_id"], F.col("tag") == "nav", "in_nav")
+    found = _elements(spark, folder, tags=["nav", "a"])
+    marked = el.mark_inside(found, KEYS, F.col("tag") == "nav", "in_nav")
     return marked.where((F.col("tag") == "a") & F.col("in_nav")).select(
         "page_id", "ord", html.attribute(F.col("attrs"), "href").alias("href"), "text"
     )
@@ -137,11 +148,12 @@ WHERE n.tag = 'a'"""
 
 def page_first_paragraph(spark: SparkSession, folder: str) -> DataFrame:
     """First paragraph that stands directly in an article."""
-    found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["p"])
+    found = _elements(spark, folder, tags=["p"])
     return (
         found.where(F.col("parent_tag") == "article")
-        .groupBy("page_id")
+        .groupBy(*KEYS)
         .agg(F.min_by(strip(F.col("text")), "ord").alias("text"))
+        .drop("doc")
     )
 
 
@@ -154,11 +166,9 @@ WHERE n.tag = 'p' QUALIFY row_number() OVER (PARTITION BY n.page_id ORDER BY n.o
 
 def page_list_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """How many elements of each kind every list and block holds, by a join on containment."""
-    found = el.elements(
-        table(spark, folder, "pages"), ["page_id"], tags=["nav", "ul", "li", "a"], with_text=False
-    )
-    outer = found.where(F.col("tag").isin("nav", "ul")).select("page_id", "ord", "end_ord", "tag")
-    pairs = el.inside(found, outer, ["page_id"])
+    found = _elements(spark, folder, tags=["nav", "ul", "li", "a"], with_text=False)
+    outer = found.where(F.col("tag").isin("nav", "ul")).select(*KEYS, "ord", "end_ord", "tag")
+    pairs = el.inside(found, outer, KEYS)
     return pairs.groupBy("page_id", "outer_tag", "tag").agg(F.count("*").alias("elements"))
 
 
@@ -170,7 +180,7 @@ WHERE v.tag IN ('nav', 'ul') AND n.tag IN ('nav', 'ul', 'li', 'a') GROUP BY ALL"
 
 
 def page_list_items(spark: SparkSession, folder: str) -> DataFrame:
-    found = el.elements(table(spark, folder, "pages"), ["page_id"], tags=["li"])
+    found = _elements(spark, folder, tags=["li"])
     named = found.withColumn("name", name_from_text(strip(F.col("text"))))
     return named.select(
         "page_id",
@@ -187,10 +197,8 @@ SELECT n.page_id, n.ord, {SQL_TEXT} AS name, '' AS description FROM nodes n WHER
 
 def page_next_match(spark: SparkSession, folder: str) -> DataFrame:
     """For each link, heading and list: the next paragraph that starts after it."""
-    found = el.elements(
-        table(spark, folder, "pages"), ["page_id"], tags=["h1", "a", "ul", "p"], with_text=False
-    )
-    matched = el.find_next(found, ["page_id"], F.col("tag") == "p", F.col("ord"), "next_p")
+    found = _elements(spark, folder, tags=["h1", "a", "ul", "p"], with_text=False)
+    matched = el.find_next(found, KEYS, F.col("tag") == "p", F.col("ord"), "next_p")
     return matched.where(F.col("tag") != "p").select("page_id", "ord", "tag", "next_p")
 
 

@@ -410,6 +410,16 @@ def merge_into_table(spark: SparkSession, folder: str) -> DataFrame:
 SQL_MERGE_INTO_TABLE = f"SELECT * EXCLUDE (_merge_status) FROM ({SQL_MERGE_UPSERT})"
 
 
+def merge_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same upsert into folders by key hash, the second run again changing nothing."""
+    orders = table(spark, folder, "orders")
+    target, source = _state(orders, late=False), _state(orders, late=True)
+    path = scratch_path(spark, "buckets")
+    for batch in (target, source, source):
+        table_sinks.merge_into_buckets(batch, path, target.schema, ["customer"], buckets=16)
+    return table_sinks.read_buckets(spark, path, target.schema).drop(table_sinks.BUCKET)
+
+
 def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of a pickup run over all trips, without its clock times."""
     from wayloom.plans import flows
@@ -451,6 +461,7 @@ QUERIES = {
     "merge_ansi_notes": merge_ansi_notes,
     "merge_null_key": merge_null_key,
     "merge_into_table": merge_into_table,
+    "merge_buckets": merge_buckets,
     "run_metrics": run_metrics,
 }
 ORACLES = {
@@ -471,5 +482,6 @@ ORACLES = {
     "merge_ansi_notes": _sql_merge("t.note <> s.note"),
     "merge_null_key": SQL_MERGE_NULL_KEY,
     "merge_into_table": SQL_MERGE_INTO_TABLE,
+    "merge_buckets": SQL_MERGE_INTO_TABLE,
     "run_metrics": SQL_RUN_METRICS,
 }
