@@ -107,6 +107,17 @@ def test_grid_is_not_a_cross_join(spark, no_broadcast):
     assert "Cartesian" not in found and "NestedLoop" not in found and "LeftAnti" in found
 
 
+def test_archived_days_are_pruned(spark, tmp_path):
+    from wayloom.sinks.files import archive_partitioned
+
+    path = archive_partitioned(table(spark, DATA, "events"), str(tmp_path / "archive"), "ts")
+    back = spark.read.schema("event_id long, year string, month string, day string").json(path)
+    found = plan(back.where("day = '15'"))
+    assert "PartitionFilters: [isnotnull(day" in found
+    files = back.where("day = '15'").select(F.input_file_name()).distinct().count()
+    assert files == 1
+
+
 LAZY = [
     "synth_trips",
     "synth_raw",

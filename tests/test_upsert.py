@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,9 @@ def test_merge_into_a_table(spark):
     }
     empty = tables.merge_into(more.where("false"), name, DESTINATIONS_TABLE, ["destination_name"])
     assert empty.status == "empty" and empty.rows_total == 3
+    here = tables.table_location(spark, name).removeprefix("file:")
+    beside = [f for f in os.listdir(os.path.dirname(here)) if f.startswith("destinations")]
+    assert beside == [os.path.basename(here)]
     appended = tables.append(destination(spark, ("Oslo", 1, "Norway")), name, DESTINATIONS_TABLE)
     assert appended.rows_total == 4
 
@@ -115,6 +120,8 @@ def test_appends(spark):
     assert rows(spark.table("travel.plain")) == [(1, "a", None), (2, None, 2.5)]
     replaced = tables.truncate_and_load(first, "travel.plain", spark.table("travel.plain").schema)
     assert replaced.rows_total == 1 and rows(spark.table("travel.plain")) == [(1, "a", None)]
+    nothing = tables.append(first.where("false"), "travel.plain", spark.table("travel.plain").schema)
+    assert nothing.status == "empty" and nothing.rows_total == 1
     bad = spark.createDataFrame([("x",)], "id string")
     failed = tables.append(bad, "travel.plain", spark.table("travel.plain").schema)
     assert failed.status == "failed" and failed.error

@@ -52,7 +52,8 @@ def merge(
     ``change_test`` is ``"ansi"`` or ``"null_safe"``; ``ignore`` names columns that do not
     count as a change but are written when another one does. NULL keys match nothing: such
     source rows are always inserted and such target rows always kept. With ``with_status``
-    each row says ``kept``, ``updated`` or ``inserted``.
+    each row says ``kept``, ``updated`` or ``inserted``. Both sides are read by several branches:
+    stage a side that is costly to compute.
 
     Plan: the target is the left side of a left join, so a small source is broadcast (Spark
     checks the size) and a large target is not shuffled at all, while a hot target key can be

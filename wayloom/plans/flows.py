@@ -111,7 +111,6 @@ def run_destinations(
     table: str,
     now: dt.datetime | None = None,
     change_test: str = "ansi",
-    location: str | None = None,
 ) -> FlowResult:
     """Archive pages, extract records, archive them, upsert them by name."""
     now = now or dt.datetime.now(dt.timezone.utc)
@@ -133,7 +132,6 @@ def run_destinations(
             table,
             DESTINATIONS_TABLE,
             ["destination_name"],
-            location=location,
             change_test=change_test,
         )
         result.steps["load"] = load

@@ -51,15 +51,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage(table: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back: computed once, and the lineage is cut."""
+def stage(table: DataFrame, partition_by: str | None = None, path: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: computed once, and the lineage is cut.
+
+    With ``path``, a :func:`scratch_path`, the caller can :func:`discard` it after use.
+    """
     spark = table.sparkSession
-    path = scratch_path(spark, "stage")
+    path = path or scratch_path(spark, "stage")
     writer = table.write.partitionBy(partition_by) if partition_by else table.write
     writer.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Give a small input to all cores before costly work on each row.
 

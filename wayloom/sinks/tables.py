@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.operators import upsert
-from wayloom.session import scratch_path, stage
+from wayloom.session import discard, scratch_path, stage
 
 
 @dataclass(frozen=True)
@@ -71,24 +73,34 @@ def _counted(table: DataFrame) -> tuple[DataFrame, Observation]:
     return table.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def append(table: DataFrame, name: str, schema: T.StructType) -> LoadResult:
-    """Append in the declared schema; an empty input writes nothing."""
+def _loaded(
+    spark: SparkSession, name: str, written: int, report_total: bool, **counts: int
+) -> LoadResult:
+    total = spark.table(name).count() if report_total else None
+    status = "loaded" if written else "empty"
+    return LoadResult(status, rows_in=written, rows_total=total, **counts)
+
+
+def append(
+    table: DataFrame, name: str, schema: T.StructType, report_total: bool = True
+) -> LoadResult:
+    """Append in the declared schema; an empty input adds nothing and is reported as such.
+
+    ``report_total`` counts the table afterwards. That reads no data, but one footer per file:
+    leave it out for frequent loads into a table of very many files.
+    """
     spark = table.sparkSession
     try:
         ensure_table(spark, name, schema)
-        if table.isEmpty():
-            return LoadResult("empty", rows_total=spark.table(name).count())
         rows, seen = _counted(conform(table, schema))
         rows.write.mode("append").insertInto(name)
         written = seen.get["rows"]
-        return LoadResult(
-            "loaded", written, rows_total=spark.table(name).count(), inserted=written
-        )
+        return _loaded(spark, name, written, report_total, inserted=written)
     except Exception as error:  # the flow reports a failed load and goes on
         return LoadResult("failed", error=str(error))
 
 
-def append_autodetect(table: DataFrame, name: str) -> LoadResult:
+def append_autodetect(table: DataFrame, name: str, report_total: bool = True) -> LoadResult:
     """Append by column name; columns the table does not have yet are added to it."""
     spark = table.sparkSession
     try:
@@ -103,9 +115,7 @@ def append_autodetect(table: DataFrame, name: str) -> LoadResult:
         rows, seen = _counted(conform(table, spark.table(name).schema))
         rows.write.mode("append").insertInto(name)
         written = seen.get["rows"]
-        return LoadResult(
-            "loaded", written, rows_total=spark.table(name).count(), inserted=written
-        )
+        return _loaded(spark, name, written, report_total, inserted=written)
     except Exception as error:
         return LoadResult("failed", error=str(error))
 
@@ -140,26 +150,33 @@ def truncate_and_load(table: DataFrame, name: str, schema: T.StructType) -> Load
     return LoadResult("loaded", written, rows_total=written, inserted=written)
 
 
+def table_location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").where("col_name = 'Location'")
+    return rows.first()["data_type"]
+
+
 def merge_into(
     source: DataFrame,
     name: str,
     schema: T.StructType,
     keys: Sequence[str],
-    location: str | None = None,
     change_test: str = "ansi",
     ignore: Sequence[str] = (),
+    keep_previous: bool = False,
 ) -> LoadResult:
     """Upsert into a catalog table.
 
     The new state is written beside the old one and the table is pointed at it in one catalog
     change, so readers see all of the upsert or none and a lost job leaves the table as it was.
-    Nothing is written if no row would change.
+    If no row changes the table stays untouched. The folder of the former state is removed
+    unless ``keep_previous`` leaves it to readers that still use it.
     """
     spark = source.sparkSession
+    staged = scratch_path(spark, "merge")
     try:
         ensure_table(spark, name, schema)
         # Read by the check and by three branches of the merge: computed once.
-        rows = stage(conform(source, schema))
+        rows = stage(conform(source, schema), path=staged)
         if rows.isEmpty():
             return LoadResult("empty", rows_total=spark.table(name).count())
         target = spark.table(name)
@@ -173,12 +190,17 @@ def merge_into(
             F.count_if(status == "updated").alias("updated"),
             F.count_if(status == "inserted").alias("inserted"),
         )
-        folder = location or scratch_path(spark, name.replace(".", "_"))
-        observed.drop(upsert.STATUS).write.mode("overwrite").parquet(folder)
-        counts = seen.get
+        former = table_location(spark, name)
+        base = re.sub("__[0-9a-f]{12}$", "", former)
+        folder = f"{base}__{uuid.uuid4().hex[:12]}"
+        observed.drop(upsert.STATUS).write.parquet(folder)
+        counts, unused = seen.get, folder
         if counts["updated"] or counts["inserted"]:
             spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{folder}'")
             spark.catalog.refreshTable(name)
+            unused = None if keep_previous else former
+        if unused:
+            discard(spark, unused)
         return LoadResult(
             "loaded",
             rows_in=rows.count(),
@@ -190,6 +212,8 @@ def merge_into(
         raise
     except Exception as error:
         return LoadResult("failed", error=str(error))
+    finally:
+        discard(spark, staged)
 
 
 BUCKET = "bucket"
@@ -214,7 +238,8 @@ def merge_into_buckets(
     """
     spark = source.sparkSession
     bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
-    rows = stage(conform(source, schema).withColumn(BUCKET, bucket))
+    staged, result = scratch_path(spark, "merge"), scratch_path(spark, "merged")
+    rows = stage(conform(source, schema).withColumn(BUCKET, bucket), path=staged)
     if rows.isEmpty():
         return LoadResult("empty")
     # At most ``buckets`` numbers, named in the filter so that the other folders are not listed.
@@ -226,7 +251,7 @@ def merge_into_buckets(
     )
     status = F.col(upsert.STATUS)
     # Settled before the folders it was read from are replaced.
-    merged = stage(merged)
+    merged = stage(merged, path=result)
     counts = (
         merged.groupBy(BUCKET)
         .agg(
@@ -247,9 +272,12 @@ def merge_into_buckets(
             .partitionBy(BUCKET)
             .parquet(path)
         )
+    rows_in = rows.count()
+    for folder in (staged, result):
+        discard(spark, folder)
     return LoadResult(
         "loaded",
-        rows_in=rows.count(),
+        rows_in=rows_in,
         inserted=sum(r["inserted"] for r in counts),
         updated=sum(r["updated"] for r in counts),
     )

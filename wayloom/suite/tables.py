@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.operators import quality, upsert
-from wayloom.session import scratch_path
+from wayloom.session import scratch_path, stage
 from wayloom.sinks import files as file_sinks
 from wayloom.sinks import tables as table_sinks
 from wayloom.sources import files as sources
@@ -138,7 +138,7 @@ UNION ALL SELECT 'table', count(*), true FROM t WHERE NOT bad"""
 
 
 def json_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """Events archived by date, a period read back: only its folders are listed."""
+    """Events archived in folders by date, read back with the date parts as columns."""
     events = table(spark, folder, "events")
     path = scratch_path(spark, "archive")
     file_sinks.archive_partitioned(events, path, "ts")
@@ -149,17 +149,15 @@ def json_archive(spark: SparkSession, folder: str) -> DataFrame:
         ]
     )
     back = spark.read.schema(kept).json(path)
-    return (
-        back.where(F.col("day") >= "15")
-        .groupBy("year", "month", "day", "event_type")
-        .agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("value"))
+    return back.groupBy("year", "month", "day", "event_type").agg(
+        F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("value")
     )
 
 
 SQL_JSON_ARCHIVE = """
 SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
        event_type, count(*) AS events, round(sum(value), 2) AS value
-FROM events WHERE day(ts) >= 15 GROUP BY ALL"""
+FROM events GROUP BY ALL"""
 
 
 def gzip_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,9 +298,12 @@ CUT = dt.datetime(1998, 7, 1)
 
 
 def _state(orders: DataFrame, late: bool) -> DataFrame:
-    """Per customer what is known from the orders before the cut, or from the ones since."""
+    """Per customer what is known from the orders before the cut, or from the ones since.
+
+    Staged, because both sides of an upsert are read by several of its branches.
+    """
     recent = F.col("o_orderdate") >= F.lit(CUT).cast("timestamp_ntz")
-    return (
+    return stage(
         orders.where(recent if late else ~recent)
         .groupBy(F.col("o_custkey").alias("customer"))
         .agg(
