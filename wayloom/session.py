@@ -63,10 +63,22 @@ def stage(table: DataFrame, partition_by: str | None = None, path: str | None =
     return spark.read.schema(table.schema).parquet(path)
 
 
+def _on_file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder, on whatever file system it lies."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _on_file_system(spark, path)
+    files.delete(target, True)
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob pattern finds anything."""
+    target, files = _on_file_system(spark, pattern)
+    found = files.globStatus(target)
+    return found is not None and len(found) > 0
 
 
 def spread(table: DataFrame) -> DataFrame:

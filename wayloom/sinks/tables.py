@@ -7,13 +7,12 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.operators import upsert
-from wayloom.session import discard, scratch_path, stage
+from wayloom.session import discard, matches, scratch_path, stage
 
 
 @dataclass(frozen=True)
@@ -287,9 +286,6 @@ def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     """Rows of a table kept by :func:`merge_into_buckets`, with the ``bucket`` column; an
     empty table if nothing was written yet."""
     full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
-    try:
-        return spark.read.schema(full).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not matches(spark, path):
         return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.schemas import FORECAST_PAYLOAD, PAGE, TRIPS_RAW
+from wayloom.session import matches
 
 TRIP_FILES = "*travel_data_*.csv"
 
@@ -35,24 +35,19 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header row, read with a declared schema; ``lineage`` names a column for the
     source file. Paths that match nothing give an empty table."""
-    try:
-        table = spark.read.schema(schema).option("header", True).csv(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    paths = [p for p in ([path] if isinstance(path, str) else path) if matches(spark, p)]
+    if not paths:
         table = spark.createDataFrame([], schema)
         return table.withColumn(lineage, F.lit(None).cast("string")) if lineage else table
+    table = spark.read.schema(schema).option("header", True).csv(paths)
     return table.select("*", source_file().alias(lineage)) if lineage else table
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = TRIP_FILES) -> DataFrame:
     """``(path, name)`` of the matching files; contents are not read."""
-    try:
-        found = spark.read.format("binaryFile").load(f"{folder}/{pattern}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not matches(spark, f"{folder}/{pattern}"):
         return spark.createDataFrame([], "path string, name string")
+    found = spark.read.format("binaryFile").load(f"{folder}/{pattern}")
     # A folder of part files is one file here.
     path = F.regexp_replace(F.col("path"), r"(\.[A-Za-z0-9]+)/part-[^/]*$", "$1")
     return found.select(path.alias("path"), base_name(F.col("path")).alias("name")).distinct()

@@ -10,7 +10,6 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +18,7 @@ from wayloom.functions.parse import parse_integer
 from wayloom.operators.clean import drop_empty_rows
 from wayloom.plans.trips import clean_trips, is_malformed, to_warehouse
 from wayloom.schemas import TRIP_COLUMNS, TRIPS_RAW, TRIPS_TABLE
+from wayloom.session import matches
 from wayloom.sources.files import TRIP_FILES, source_file
 
 
@@ -75,24 +75,21 @@ def pick_up_trips(
             cleaned, F.lit(stamp), F.col("Source_file"), on_error="null"
         ).write.mode("overwrite").parquet(rows_path)
 
-    try:
-        stream = (
-            spark.readStream.schema(TRIPS_RAW)
-            .option("header", True)
-            .option("maxFilesPerTrigger", max_files)
-            .csv(f"{folder}/{pattern}")
-        )
-        query = (
-            stream.select("*", source_file().alias("Source_file"))
-            .writeStream.foreachBatch(load)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not matches(spark, f"{folder}/{pattern}"):
         return PickupResult()
+    stream = (
+        spark.readStream.schema(TRIPS_RAW)
+        .option("header", True)
+        .option("maxFilesPerTrigger", max_files)
+        .csv(f"{folder}/{pattern}")
+    )
+    query = (
+        stream.select("*", source_file().alias("Source_file"))
+        .writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
     if not batches:
         return PickupResult()
@@ -111,13 +108,10 @@ def pick_up_trips(
 
 def loaded_trips(spark: SparkSession, table_path: str) -> DataFrame:
     """All rows loaded so far."""
-    try:
-        rows = spark.read.schema(T.StructType([*TRIPS_TABLE.fields, T.StructField("batch", T.LongType())])).parquet(f"{table_path}/rows")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not matches(spark, f"{table_path}/rows"):
         return spark.createDataFrame([], TRIPS_TABLE)
-    return rows.drop("batch")
+    full = T.StructType([*TRIPS_TABLE.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).parquet(f"{table_path}/rows").drop("batch")
 
 
 def file_log(spark: SparkSession, table_path: str) -> DataFrame:
