@@ -150,13 +150,14 @@ SMALL = 100_000
 
 @dataclass
 class _Bracket:
-    """Open interval that holds the value of one rank; ``below`` values are at or under ``lo``."""
+    """Open interval that holds the value of one rank; ``below`` values are at or under ``lo``.
+    None is an end that is not known yet."""
 
     rank: int
-    lo: float
-    hi: float
-    below: int
     inside: int
+    below: int = 0
+    lo: float | None = None
+    hi: float | None = None
     answer: float | None = None
 
 
@@ -171,42 +172,42 @@ def quantiles(table: DataFrame, column: str, probabilities: Sequence[float]) ->
     """
     value = F.col(column).cast("double")
     values = table.select(value.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n, low, high = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    n = values.count()
     if n == 0:
         return []
     wanted = [(int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))) for p in probabilities]
     ranks = sorted({r for rank, _ in wanted for r in (rank, min(rank + 1, n - 1))})
-    found = _values_at(values, ranks, n, low, high)
+    found = _values_at(values, ranks, n)
     return [
         found[rank] + (found[min(rank + 1, n - 1)] - found[rank]) * part for rank, part in wanted
     ]
 
 
-def _values_at(
-    values: DataFrame, ranks: list[int], n: int, low: float, high: float
-) -> dict[int, float]:
-    brackets = [_Bracket(rank, low, high, 0, n) for rank in ranks]
-    _settle(values, brackets)
+def _values_at(values: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
+    brackets = [_Bracket(rank, n) for rank in ranks]
     while pending := [b for b in brackets if b.answer is None and b.inside > SMALL]:
         step = 2.0 / ACCURACY
+        # Brackets with the same ends, as all have at first, share one sketch.
+        shared: dict[tuple, list[_Bracket]] = {}
+        for b in pending:
+            shared.setdefault((b.lo, b.hi), []).append(b)
         asks = []
-        for i, b in enumerate(pending):
-            at = (b.rank - b.below + 0.5) / b.inside
-            ends = [max(at - step, 0.0), min(at + step, 1.0)]
-            asks.append(
-                F.percentile_approx(_inside(b), ends, ACCURACY).alias(f"q{i}")
-            )
-        bounds = values.agg(*asks).first()
-        for b, (lo, hi) in zip(pending, bounds):
-            b.lo, b.hi = lo, hi
+        for i, group in enumerate(shared.values()):
+            at = [(b.rank - b.below + 0.5) / b.inside for b in group]
+            ends = [e for p in at for e in (max(p - step, 0.0), min(p + step, 1.0))]
+            sketch = F.percentile_approx(_inside(group[0]), ends, ACCURACY)
+            asks.append(sketch.alias(f"q{i}"))
+        for group, bounds in zip(shared.values(), values.agg(*asks).first()):
+            for k, b in enumerate(group):
+                b.lo, b.hi = bounds[2 * k], bounds[2 * k + 1]
         _settle(values, pending)
     rest = [b for b in brackets if b.answer is None]
     if rest:
-        # At most SMALL values each.
-        sorted_values = [F.sort_array(F.collect_list(_inside(b))) for b in rest]
+        # At most SMALL values each; brackets with the same ends share one list.
+        lists = {(b.lo, b.hi): F.sort_array(F.collect_list(_inside(b))) for b in rest}
         picks = [
-            F.get(s, F.lit(b.rank - b.below)).alias(f"v{i}")
-            for i, (s, b) in enumerate(zip(sorted_values, rest))
+            F.get(lists[b.lo, b.hi], F.lit(b.rank - b.below)).alias(f"v{i}")
+            for i, b in enumerate(rest)
         ]
         for b, answer in zip(rest, values.agg(*picks).first()):
             b.answer = answer
@@ -215,7 +216,9 @@ def _values_at(
 
 def _inside(b: _Bracket) -> Column:
     x = F.col("x")
-    return F.when((x > F.lit(b.lo)) & (x < F.lit(b.hi)), x)
+    above = F.lit(True) if b.lo is None else x > F.lit(b.lo)
+    under = F.lit(True) if b.hi is None else x < F.lit(b.hi)
+    return F.when(above & under, x)
 
 
 def _settle(values: DataFrame, brackets: list[_Bracket]) -> None:
