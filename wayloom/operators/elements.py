@@ -45,6 +45,7 @@ def parse_pages(pages: DataFrame, markup: str = "html") -> DataFrame:
         at.alias("ord"),
         F.get(F.col("_spans"), at + F.size("tags")).alias("end"),
         F.get(F.col("_spans"), at).alias("parent"),
+        F.get(F.col("tags"), F.get(F.col("_spans"), at)).alias("parent_tag"),
         both["tags"].alias("tag"),
         both["attrs"].alias("attrs"),
     )
@@ -93,19 +94,29 @@ def elements(
     wanted = lambda n: (
         n["tag"].isin(*tags) if tags else ~F.startswith(n["tag"], F.lit("/"))
     )
-    opened = parsed.withColumn("_n", F.explode(F.filter(F.col(NODES), wanted)))
-    columns = [
-        F.col("_n.ord").alias("ord"),
-        F.col("_n.end").alias("end_ord"),
-        F.col("_n.parent").alias("parent"),
-        F.get(F.col(NODES), F.col("_n.parent"))["tag"].alias("parent_tag"),
-        F.rtrim(F.col("_n.tag"), F.lit("/")).alias("tag"),
-        F.col("_n.attrs").alias("attrs"),
-    ]
-    if with_text:
-        span = F.slice(F.col(TEXTS), F.col("_n.ord") + 1, F.col("_n.end") - F.col("_n.ord"))
-        columns.append(F.array_join(span, "").alias("text"))
-    return opened.select(*keys, *columns)
+    # All values are taken before the rows are split off: the generator copies whatever comes
+    # with it into every row, and page-sized arrays must not be among it.
+    found = F.transform(
+        F.filter(F.col(NODES), wanted),
+        lambda n: F.struct(
+            n["ord"].alias("ord"),
+            n["end"].alias("end_ord"),
+            n["parent"].alias("parent"),
+            n["parent_tag"].alias("parent_tag"),
+            F.rtrim(n["tag"], F.lit("/")).alias("tag"),
+            n["attrs"].alias("attrs"),
+            *(
+                [
+                    F.array_join(
+                        F.slice(F.col(TEXTS), n["ord"] + 1, n["end"] - n["ord"]), ""
+                    ).alias("text")
+                ]
+                if with_text
+                else []
+            ),
+        ),
+    )
+    return parsed.select(*keys, F.inline(found))
 
 
 def find_next(
