@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wayloom.llm import exact_dedup
+from wayloom.llm import exact_dedup, quality_rules
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL_OP1,
