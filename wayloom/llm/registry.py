@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wayloom.llm import exact_dedup, quality_rules
+from wayloom.llm import exact_dedup, quality_rules, token_records
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op7_token_records": token_records.op7_token_records,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL_OP1,
