@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from wayloom.llm import exact_dedup, license_scan, quality_rules, token_records
+from wayloom.llm import exact_dedup, license_scan, mixing, quality_rules, token_records
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
     "op7_token_records": token_records.op7_token_records,
     "op8_license_scan": license_scan.op8_license_scan,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL_OP1,
+    "op5_mixing": mixing.SQL_OP5,
 }
