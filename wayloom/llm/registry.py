@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wayloom.llm import exact_dedup, license_scan, mixing, quality_rules, token_records
+from wayloom.llm import exact_dedup, license_scan, mixing, packing, quality_rules, token_records
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op6_packing": packing.op6_packing,
     "op7_token_records": token_records.op7_token_records,
     "op8_license_scan": license_scan.op8_license_scan,
 }
