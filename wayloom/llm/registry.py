@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayloom.llm import exact_dedup, license_scan, mixing, packing, quality_rules, token_records
+from wayloom.llm import exact_dedup, license_scan, mixing, packing, quality_rules, token_records, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_token_records": token_records.op7_token_records,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_warc": warc.op9_warc,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL_OP1,
