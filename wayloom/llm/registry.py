@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from wayloom.llm import exact_dedup, license_scan, mixing, packing, quality_rules, token_records, warc
+from wayloom.llm import (
+    exact_dedup,
+    html_extraction,
+    license_scan,
+    mixing,
+    packing,
+    quality_rules,
+    token_records,
+    warc,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
     "op7_token_records": token_records.op7_token_records,
