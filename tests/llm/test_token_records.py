@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from wayloom.llm import crc32c, token_records
@@ -43,6 +45,8 @@ ODD = [
     "<|endoftext|> inside a<|endoftext|>b text",
     " ́mark after blank ̸",
     "it's we'll I'D 123 4.5 !!! ... 中文 \U0001f600\U0001f600",
+    "İ İSTANBUL ﬁ ½ K Å Ω H̱ ẖ ŉ ß ẞ 가 각 가나 ａＢ ١٢ a1b a.b ..a",
+    "End. END, end! End!! end### End*** (end) 'end' end's END'S <|x|> x|> <|x",
     "long " * 5000,
     "Plain words, and more.",
 ]
@@ -55,11 +59,20 @@ def test_agrees_with_the_tokenizer_on_odd_texts(spark, docs):
     assert got == expected(rows)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aAéÉİıΣςß中 \t\n.,!?|<>'#1½क़\u0301\u0331\u1100\u1161\u00a0\u212a"), max_size=30))
+def test_words_agree_with_whole_texts(text):
+    known = token_records.tokens(PATH)
+    direct = known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(known.encode(text.encode()), known.kind).tolist() == direct
+
+
 def test_random_reads_by_the_index(spark, docs):
     manifest, found = written(spark, docs(ODD), files=2)
     for row in found.collect():
         data = token_records.record_at(row["file"], row["record"])
-        assert zlib.crc32(data[9:]) == row["ids_crc32"]
+        key, ids = token_records.document_of(data)
+        assert (key, zlib.crc32(ids)) == (row["doc_id"], row["ids_crc32"])
     assert manifest.count() == 2
 
 

@@ -5,7 +5,8 @@ A file is a row of records, each framed as
     length of the data (8 bytes) | masked CRC-32C of those 8 bytes | data | masked CRC-32C of the data
 
 all little-endian, which is the framing of TFRecord files. The data of a record is one document:
-a byte that says whether there is an id, the id (8 bytes), then the token ids (4 bytes each). Beside
+whether there is an id (1 byte), the bytes of a token id (1 byte; 2 for vocabularies of up to 65,536
+tokens, else 4), the document's id (8 bytes), then the token ids. Beside
 each file lies ``.index`` with the 8-byte offset of every record, for shuffled reads. Files are cut
 from the documents in ascending id order; ``manifest`` has a row for each file.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,34 +36,92 @@ from wayloom.llm.storage import committed, opened
 from wayloom.session import scratch_path, stage
 
 END_ID = 2
-HEAD = "<?q"
+HEAD = "<?Bq"
 HEAD_SIZE = struct.calcsize(HEAD)
 #: Records are framed and read in pieces of about this many bytes.
 PIECE = 4 << 20
 
 
-class WordTokens(dict):
-    """White-space-delimited word to its token ids as little-endian 32-bit numbers.
+#: What may follow the letters of a word without changing how they are encoded.
+TAIL = b".,!?;:#*$%&|"
+
+
+def all_letters(word: bytes) -> bool:
+    """Whether a word is letters only, also when it is normalised and lower-cased."""
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode("utf-8", "replace")
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
-    Holds only for tokenizers whose normaliser and splitter never look across white space, as
-    :func:`splits_at_blanks` tests. The result does not depend on what is remembered.
+
+class WordTokens(dict):
+    """White-space-delimited word to its token ids, as little-endian numbers of ``width`` bytes.
+
+    Holds for tokenizers that lower-case, whose normaliser and splitter never look across white
+    space, whose splitter parts letters from ``TAIL``, and whose pieces end with a token of their
+    own kind (``</w>``), as the tests check. Words that are letters with a tail share the encoding
+    of their letters, and new ones are encoded together as one text, cut at its end-of-word tokens;
+    all other words go through the tokenizer one by one. The result does not depend on what is
+    remembered.
     """
 
-    def __init__(self, tokenizer, limit: int = 600_000):
+    def __init__(self, tokenizer, limit: int = 900_000):
         super().__init__()
         self.tokenizer, self.limit = tokenizer, limit
+        vocabulary = tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.width = int(self.kind[-1])
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
         if len(self) > self.limit:
             self.clear()
-        if unknown := list({w for w in words if w not in self}):
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False
-            )
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unknown, found))
+        if unknown := {w for w in words if w not in self}:
+            self.learn(unknown)
         return b"".join(map(self.__getitem__, words))
 
+    def learn(self, words: set[bytes]) -> None:
+        parts, odd, letters = [], set(), set()
+        for word in words:
+            core = word.lower().rstrip(TAIL)
+            if all_letters(core):
+                tail = word[len(core) :]
+                parts.append((word, core, tail))
+                letters.add(core)
+                odd.add(tail)
+            else:
+                odd.add(word)
+        self.one_by_one([w for w in odd if w not in self])
+        self.together([w for w in letters if w not in self])
+        for word, core, tail in parts:
+            self[word] = self[core] + self[tail] if tail else self[core]
+
+    def one_by_one(self, words: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
+        )
+        self.update((w, self.packed(e.ids)) for w, e in zip(words, found))
+
+    def together(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            (found,) = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            # As many ends as words: each has one, for each has at least one.
+            if len(cuts) == len(some):
+                raw, before = ids.tobytes(), 0
+                for word, cut in zip(some, (cuts * self.width).tolist()):
+                    self[word] = raw[before:cut]
+                    before = cut
+            else:
+                self.one_by_one(some)
+
 
 _loaded: dict[str, WordTokens] = {}
 
@@ -115,6 +175,13 @@ def unframed(source) -> Iterator[list[bytes]]:
             yield data
 
 
+def document_of(data: bytes) -> tuple[int | None, np.ndarray]:
+    """The id and the token ids, as unsigned 32-bit numbers, of a record's data."""
+    has, width, key = struct.unpack_from(HEAD, data)
+    ids = np.frombuffer(data, f"<u{width}", offset=HEAD_SIZE).astype("<u4")
+    return (key if has else None), ids
+
+
 def record_at(path: str, k: int) -> bytes:
     """The data of record ``k`` of a file, found by its index."""
     files, name = opened(path)
@@ -148,11 +215,12 @@ def write(
     count = files or partitions(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens(tokenizer).encode
+        known = tokens(tokenizer)
+        encode, width = known.encode, known.width
         number = TaskContext.get().partitionId()
         name = f"{path}/part-{number:06d}.records"
         n_tokens, offset, offsets, waiting, size = 0, 0, [], [], 0
-        end = struct.pack("<I", END_ID)
+        end = known.packed([END_ID])
         first = next(batches, None)
         if first is None:
             return
@@ -174,8 +242,8 @@ def write(
             for batch in all_batches():
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = encode(text.as_py() or b"") + end
-                    n_tokens += len(ids) // 4
-                    waiting.append(struct.pack(HEAD, key is not None, key or 0) + ids)
+                    n_tokens += len(ids) // width
+                    waiting.append(struct.pack(HEAD, key is not None, width, key or 0) + ids)
                     size += len(ids)
                     if size >= PIECE:
                         flush(out)
@@ -212,10 +280,9 @@ def read(manifest: DataFrame) -> DataFrame:
                     for piece in unframed(source):
                         out = []
                         for data in piece:
-                            has, key = struct.unpack_from(HEAD, data)
-                            ids = memoryview(data)[HEAD_SIZE:]
-                            n = len(ids) // 4
-                            out.append((key if has else None, start, n, zlib.crc32(ids), row["file"], record))
+                            key, ids = document_of(data)
+                            n = len(ids)
+                            out.append((key, start, n, zlib.crc32(ids), row["file"], record))
                             start += n
                             record += 1
                         columns = zip(*out)
