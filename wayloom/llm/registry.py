@@ -6,6 +6,7 @@ from wayloom.llm import (
     exact_dedup,
     html_extraction,
     license_scan,
+    minhash,
     mixing,
     packing,
     quality_rules,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_token_records": token_records.op7_token_records,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_warc": warc.op9_warc,
+    "op10_minhash": minhash.op10_minhash,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL_OP1,
