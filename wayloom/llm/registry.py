@@ -10,12 +10,14 @@ from wayloom.llm import (
     mixing,
     packing,
     quality_rules,
+    substring_dedup,
     token_records,
     warc,
 )
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_mixing": mixing.op5_mixing,
