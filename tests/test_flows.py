@@ -9,6 +9,7 @@ from wayloom.operators import quality, validate
 from wayloom.operators.clean import split_by, valid_location
 from wayloom.plans import flows, trips, weather
 from wayloom.schemas import DESTINATION_RULES, FORECAST_PAYLOAD, PAGE, TRIPS_RAW, TRIPS_TABLE
+from wayloom.session import listing, set_times, shared_dir
 from wayloom.sinks import files as sinks
 from wayloom.sources import files as sources
 from wayloom.sources import reference_lists as lists
@@ -76,7 +77,7 @@ def test_file_names_and_lineage(spark, tmp_path):
 
 def run_pickup(spark, base, **options):
     return pickup.pick_up_trips(
-        spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint", ingested_at=NOW, **options
+        spark, f"{base}/in", f"{base}/table", ingested_at=NOW, **options
     )
 
 
@@ -96,25 +97,82 @@ def test_pickup_loads_each_file_once(spark, tmp_path):
 
 
 def test_a_malformed_file_is_withheld_alone(spark, tmp_path):
-    sinks.write_csv(raw(spark, GOOD, with_cost("N/A")), f"{tmp_path}/in", "travel_data_20240101.csv")
+    sinks.write_csv(raw(spark, GOOD, with_cost("free")), f"{tmp_path}/in", "travel_data_20240101.csv")
     sinks.write_csv(raw(spark, with_cost("10", "3")), f"{tmp_path}/in", "travel_data_20240102.csv")
     assert run_pickup(spark, tmp_path) == pickup.PickupResult(2, 1, 1, 2)
     log = {r["Source_file"]: (r["malformed_rows"], r["loaded"]) for r in pickup.file_log(spark, f"{tmp_path}/table").collect()}
     assert log == {"travel_data_20240101.csv": (1, False), "travel_data_20240102.csv": (0, True)}
 
 
+def test_a_withheld_file_is_tried_again(spark, tmp_path):
+    sinks.write_csv(raw(spark, with_cost("free")), f"{tmp_path}/in", "travel_data_20240101.csv")
+    for _ in range(2):
+        assert run_pickup(spark, tmp_path) == pickup.PickupResult(1, 0, 0, 1)
+    sinks.write_csv(raw(spark, with_cost("9")), f"{tmp_path}/in", "travel_data_20240101.csv")
+    set_times(spark, f"{tmp_path}/in/travel_data_20240101.csv", NOW - dt.timedelta(days=900))
+    assert run_pickup(spark, tmp_path) == pickup.PickupResult(1, 1, 1, 0)
+    assert run_pickup(spark, tmp_path) == pickup.PickupResult()
+
+
+def test_a_failed_run_leaves_nothing(spark, tmp_path, monkeypatch):
+    sinks.write_csv(raw(spark, GOOD), f"{tmp_path}/in", "travel_data_20240101.csv")
+    before = set(listing(spark, f"{shared_dir(spark)}/*"))
+    with monkeypatch.context() as patch:
+        patch.setattr(pickup, "LOG", "no_such_column long")
+        with pytest.raises(Exception, match="no_such_column"):
+            run_pickup(spark, tmp_path)
+    assert pickup.loaded_trips(spark, f"{tmp_path}/table").count() == 0
+    assert run_pickup(spark, tmp_path) == pickup.PickupResult(1, 1, 1, 0)
+    assert pickup.loaded_trips(spark, f"{tmp_path}/table").count() == 1
+    assert set(listing(spark, f"{shared_dir(spark)}/*")) == before
+
+
+def test_files_without_rows_are_logged(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "travel_data_20240101.csv").write_text("")
+    (folder / "travel_data_20240102.csv").write_text(",".join(TRIPS_RAW.names) + "\n")
+    # A file of no bytes is not there yet.
+    assert run_pickup(spark, tmp_path) == pickup.PickupResult(1, 1, 0, 0)
+    assert run_pickup(spark, tmp_path) == pickup.PickupResult()
+
+
+def test_csv_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Destination,Trip ID,Traveler name,other\nParis,1,"He said ""hi"", ok",x\n')
+    (tmp_path / "b.csv").write_text('Trip ID,Traveler name,Destination\n2,"two\nlines",N/A\n3,  c ,null\n')
+    found = sources.read_csv(spark, str(tmp_path), lineage="file").orderBy("Trip ID").collect()
+    assert [(r["Trip ID"], r["Destination"], r["Traveler name"], r["file"]) for r in found] == [
+        ("1", "Paris", 'He said "hi", ok', "a.csv"),
+        ("2", None, "two\nlines", "b.csv"),
+        ("3", None, "  c ", "b.csv"),
+    ]
+    assert {r["Accommodation cost"] for r in found} == {None}
+
+
+def test_clean_latest(spark, tmp_path):
+    assert flows.clean_latest(spark, f"{tmp_path}/raw", f"{tmp_path}/clean") is None
+    sinks.write_csv(raw(spark, GOOD), f"{tmp_path}/raw", "travel_data_20240101.csv")
+    path = flows.clean_latest(spark, f"{tmp_path}/raw", f"{tmp_path}/clean")
+    assert path.endswith("/clean/travel_data_20240101_cleaned.csv")
+    assert sources.read_csv(spark, path).first()["Accommodation cost"] == "1200.0"
+
+
 def test_tolerant_pickup(spark, tmp_path):
     sinks.write_csv(
-        raw(spark, GOOD, with_cost("N/A"), with_cost("10", None)), f"{tmp_path}/in", "travel_data_20240101.csv"
+        raw(spark, GOOD, with_cost("free"), with_cost("10", None)), f"{tmp_path}/in", "travel_data_20240101.csv"
     )
     assert run_pickup(spark, tmp_path, on_error="null") == pickup.PickupResult(1, 1, 2, 1)
     rows = pickup.loaded_trips(spark, f"{tmp_path}/table").collect()
     assert {r["Trip_ID"]: r["Accommodation_cost"] for r in rows} == {1: 1200.0, 2: None}
+    aside = pickup.rejected_trips(spark, f"{tmp_path}/table").collect()
+    assert [(r["Trip ID"], r["Accommodation cost"], r["Source_file"]) for r in aside] == [
+        (None, "10", "travel_data_20240101.csv")
+    ]
 
 
 def test_trip_flow(spark, tmp_path):
     sample = raw(spark, *[(str(i), *GOOD[1:]) for i in range(1, 30)])
-    places = (f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/checkpoint")
+    places = (f"{tmp_path}/in", f"{tmp_path}/table")
     for method, first in (("distribution", 20), ("raw", 20), ("tiered", 20)):
         result = flows.run_trips(spark, *places, sample=sample, method=method, now=NOW)
         assert result.success, result.error

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import re
 
 import pandas as pd
 import pytest
@@ -30,6 +31,7 @@ def test_currency_fails_on_text(one, text):
 def test_numbers(many):
     texts = ["7", " 7.5 ", "7d", "nan", "inf", "1_000", "abc", None, "-3", ".5", "1e3", "5."]
     expected = [7.0, 7.5, None, None, None, None, None, None, -3.0, 0.5, 1000.0, 5.0]
+    texts, expected = [*texts, "0e400", "1e-400"], [*expected, 0.0, 0.0]
     assert many(parse.parse_number, texts) == expected
 
 
@@ -41,6 +43,8 @@ def test_integers_keep_all_digits(many):
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.text(alphabet="0123456789.+-e ", max_size=6), min_size=1, max_size=60))
 def test_numbers_agree_with_pandas(many, texts):
+    # Beyond two digits of exponent pandas overflows where ``0e400`` is plainly 0: left out.
+    texts = [t for t in texts if not re.search(r"e[+-]?[0-9]{3}", t)]
     wanted = pd.to_numeric(pd.Series(texts, dtype=object), errors="coerce")
     found = many(parse.parse_number, texts)
     for text, a, b in zip(texts, found, wanted):

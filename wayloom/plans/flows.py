@@ -15,6 +15,7 @@ from wayloom.schemas import DESTINATIONS_TABLE
 from wayloom.session import stage
 from wayloom.sinks import files as file_sinks
 from wayloom.sinks import tables
+from wayloom.sources.files import TRIP_FILES, latest_file, read_csv
 from wayloom.sources.reference_lists import FORECAST_DAYS
 from wayloom.streaming.pickup import PickupResult, pick_up_trips
 
@@ -52,7 +53,6 @@ def run_trips(
     spark: SparkSession,
     folder: str,
     table_path: str,
-    checkpoint: str,
     sample: DataFrame | None = None,
     method: str = "distribution",
     generate: bool = True,
@@ -77,7 +77,7 @@ def run_trips(
             result.steps["files_generated"] = 1
         if ingest:
             picked = pick_up_trips(
-                spark, folder, table_path, checkpoint, on_error=on_error, ingested_at=now
+                spark, folder, table_path, on_error=on_error, ingested_at=now
             )
             result.steps["pickup"] = picked
             result.success = picked.files_loaded == picked.files_total
@@ -85,6 +85,20 @@ def run_trips(
     return _timed("trips", body)
 
 
+def clean_file(spark: SparkSession, path: str, folder: str) -> str:
+    """A raw trips file, cleaned, written to ``folder`` as ``<name>_cleaned.csv``; its path."""
+    cleaned = trips.clean_trips(read_csv(spark, path))
+    return file_sinks.write_csv(cleaned, folder, file_sinks.cleaned_name(path))
+
+
+def clean_latest(
+    spark: SparkSession, source: str, folder: str, pattern: str = TRIP_FILES, by: str = "date"
+) -> str | None:
+    """:func:`clean_file` of the newest file of a folder; None if there is no file."""
+    newest = latest_file(spark, source, pattern, by)
+    return clean_file(spark, newest, folder) if newest else None
+
+
 def trip_metrics(spark: SparkSession, result: FlowResult, now: dt.datetime) -> DataFrame:
     """The run as one row of the metrics table."""
     pickup = result.steps.get("pickup", PickupResult())

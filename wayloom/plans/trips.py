@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,19 +47,8 @@ UNKNOWN = {
     "Transportation type": "Unknown",
 }
 
-# Column names of the table have no blanks.
-TABLE_NAMES = {
-    "Trip ID": "Trip_ID",
-    "Duration (days)": "Duration_days",
-    "Traveler name": "Traveler_name",
-    "Traveler age": "Traveler_age",
-    "Traveler gender": "Traveler_gender",
-    "Traveler nationality": "Traveler_nationality",
-    "Accommodation type": "Accommodation_type",
-    "Accommodation cost": "Accommodation_cost",
-    "Transportation type": "Transportation_type",
-    "Transportation cost": "Transportation_cost",
-}
+# The table's column names have no blanks, and no brackets around a unit.
+TABLE_NAMES = {c: re.sub(r"[()]", "", c).replace(" ", "_") for c in TRIP_COLUMNS if " " in c}
 
 
 def clean_trips(raw: DataFrame, on_error: str = "fail") -> DataFrame:
@@ -96,7 +86,8 @@ def to_warehouse(
             "End_date": parse_date(F.col("End date"), on_error=on_error),
         }
     )
-    named = rename_columns(drop_columns(dated, *DATE_COLUMNS), TABLE_NAMES)
+    names = {c: n for c, n in TABLE_NAMES.items() if c not in DATE_COLUMNS}
+    named = rename_columns(drop_columns(dated, *DATE_COLUMNS), names)
     typed = named.withColumns(
         {
             "Accommodation_cost": parse_currency(F.col("Accommodation_cost"), on_error),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import datetime as dt
 import os
 import shutil
 import tempfile
@@ -81,6 +82,19 @@ def matches(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def listing(spark: SparkSession, pattern: str) -> list[tuple[str, bool]]:
+    """Paths that a path or glob pattern finds, each with whether it is a folder."""
+    target, files = _on_file_system(spark, pattern)
+    return [(s.getPath().toString(), s.isDirectory()) for s in files.globStatus(target) or []]
+
+
+def set_times(spark: SparkSession, path: str, at: dt.datetime) -> None:
+    """Set the modification time of the files of a folder."""
+    for found, _ in listing(spark, f"{path}/*"):
+        target, files = _on_file_system(spark, found)
+        files.setTimes(target, int(at.timestamp() * 1000), -1)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Give a small input to all cores before costly work on each row.
 

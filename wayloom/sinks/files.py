@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.parse import slug
+from wayloom.sources.files import CSV_OPTIONS
 
 TEXT_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -27,7 +28,7 @@ def cleaned_name(name: str) -> str:
 def write_csv(table: DataFrame, folder: str, name: str) -> str:
     """CSV with header and without an index; returns the path."""
     path = f"{folder}/{name}"
-    table.write.mode("overwrite").option("header", True).csv(path)
+    table.write.mode("overwrite").option("header", True).options(**CSV_OPTIONS).csv(path)
     return path
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.schemas import FORECAST_PAYLOAD, PAGE, TRIPS_RAW
-from wayloom.session import matches
+from wayloom.session import listing, matches
 
 TRIP_FILES = "*travel_data_*.csv"
 
@@ -27,30 +30,113 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(whole, "/"), -1)
 
 
+# The words that usual CSV readers take for a missing value.
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+#: Quotes are doubled inside quotes, and white space belongs to the value.
+CSV_OPTIONS = {
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType = TRIPS_RAW,
     lineage: str | None = None,
+    missing: tuple[str, ...] = MISSING_WORDS,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header row, read with a declared schema; ``lineage`` names a column for the
-    source file. Paths that match nothing give an empty table."""
-    paths = [p for p in ([path] if isinstance(path, str) else path) if matches(spark, p)]
-    if not paths:
+    """CSV with header rows, the declared columns taken by name.
+
+    Files may order their columns differently, lack some (NULL) or have more (left out). Values in
+    ``missing`` are NULL, and so is text that is not of a declared number or date type. Quoted
+    values may hold quotes and line ends; with ``multi_line`` off, a value may not hold line ends
+    and a large file is split over tasks, with it on a file (not a folder of parts) is one task.
+    ``lineage`` names a column for the source file. Paths that match nothing give an empty table.
+
+    One file of each folder of parts is opened for its header, several at a time.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    files = [f for p in ([path] if isinstance(path, str) else path) for f in csv_files(spark, p)]
+    with ThreadPoolExecutor(16) as pool:
+        for file, header in zip(files, pool.map(lambda f: _header(spark, f), files)):
+            if header:
+                groups.setdefault(header, []).append(file)
+    tables = [
+        _of_header(spark, header, paths, schema, lineage, missing, multi_line)
+        for header, paths in groups.items()
+    ]
+    if not tables:
         table = spark.createDataFrame([], schema)
         return table.withColumn(lineage, F.lit(None).cast("string")) if lineage else table
-    table = spark.read.schema(schema).option("header", True).csv(paths)
-    return table.select("*", source_file().alias(lineage)) if lineage else table
+    return reduce(DataFrame.unionByName, tables)
+
+
+def csv_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The files a path or pattern stands for; a folder of part files is one file."""
+    found = []
+    for path, is_folder in listing(spark, pattern):
+        inside = listing(spark, f"{path}/*") if is_folder else []
+        visible = [x for x in inside if not x[0].rpartition("/")[2].startswith(("_", "."))]
+        if not is_folder or any("/part-" in x[0] for x in visible):
+            found.append(path)
+        else:
+            found += [f for x in visible for f in csv_files(spark, x[0])]
+    return found
+
+
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a file, empty if it has no line."""
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", True).option("header", False)
+    first = reader.csv(path).head()
+    return tuple(x or "" for x in first) if first else ()
+
+
+def _of_header(
+    spark: SparkSession,
+    header: tuple[str, ...],
+    paths: list[str],
+    schema: T.StructType,
+    lineage: str | None,
+    missing: tuple[str, ...],
+    multi_line: bool,
+) -> DataFrame:
+    """The files that share one header, which fixes where each column stands."""
+    placed = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(header))])
+    reader = spark.read.schema(placed).options(**CSV_OPTIONS).option("header", True)
+    table = reader.option("multiLine", multi_line).csv(paths)
+    columns = []
+    for field in schema.fields:
+        value = F.lit(None).cast("string")
+        if field.name in header:
+            value = F.col(f"_{header.index(field.name)}")
+            value = F.when(~value.isin(*missing), value)
+        if not isinstance(field.dataType, T.StringType):
+            value = value.try_cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return table.select(*columns, *([source_file().alias(lineage)] if lineage else []))
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = TRIP_FILES) -> DataFrame:
-    """``(path, name)`` of the matching files; contents are not read."""
+    """``(path, name, parts, bytes, modified)`` of the matching files; contents are not read."""
     if not matches(spark, f"{folder}/{pattern}"):
-        return spark.createDataFrame([], "path string, name string")
+        return spark.createDataFrame(
+            [], "path string, name string, parts long, bytes long, modified timestamp"
+        )
     found = spark.read.format("binaryFile").load(f"{folder}/{pattern}")
     # A folder of part files is one file here.
     path = F.regexp_replace(F.col("path"), r"(\.[A-Za-z0-9]+)/part-[^/]*$", "$1")
-    return found.select(path.alias("path"), base_name(F.col("path")).alias("name")).distinct()
+    return found.groupBy(path.alias("path"), base_name(F.col("path")).alias("name")).agg(
+        F.count("*").alias("parts"),
+        F.sum("length").alias("bytes"),
+        F.max("modificationTime").alias("modified"),
+    )
 
 
 def latest_file(

@@ -1,13 +1,17 @@
 """Incremental pickup: every file is loaded once, whatever happens in between.
 
-A file stream with a checkpoint remembers which files were handed out. Each micro-batch
-writes to its own folder, and a batch repeated after a failure overwrites that folder, so
-loading is exactly-once without moving or renaming the input.
+The table keeps a log of its files. A run lists the folder, takes the files the log does not show
+as loaded, and publishes its rows by adding its lines to the log as the last step: a run that fails
+leaves nothing that readers see, and the next one takes the same files again. A file counts by its
+path, size and time, so one that was withheld and then corrected is tried again, however old its
+time is, and nothing in the folder is moved or renamed. Files of no bytes are not there yet. Runs
+into one table follow each other.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +22,14 @@ from wayloom.functions.parse import parse_integer
 from wayloom.operators.clean import drop_empty_rows
 from wayloom.plans.trips import clean_trips, is_malformed, to_warehouse
 from wayloom.schemas import TRIP_COLUMNS, TRIPS_RAW, TRIPS_TABLE
-from wayloom.session import matches
-from wayloom.sources.files import TRIP_FILES, source_file
+from wayloom.session import discard, matches, scratch_path, stage
+from wayloom.sources.files import TRIP_FILES, list_files, read_csv
+
+LOG = (
+    "path string, Source_file string, parts long, bytes long, modified timestamp, rows long, "
+    "malformed_rows long, rows_without_id long, loaded boolean, load string"
+)
+IDENTITY = ("path", "parts", "bytes", "modified")
 
 
 @dataclass(frozen=True)
@@ -30,90 +40,105 @@ class PickupResult:
     rows_withheld: int = 0
 
 
+def pending_files(
+    spark: SparkSession, folder: str, table_path: str, pattern: str = TRIP_FILES
+) -> DataFrame:
+    """Files of the folder that were not loaded as they are now."""
+    found = list_files(spark, folder, pattern).withColumnRenamed("name", "Source_file")
+    loaded = file_log(spark, table_path).where("loaded").select(*IDENTITY)
+    return found.join(loaded, list(IDENTITY), "left_anti")
+
+
 def pick_up_trips(
     spark: SparkSession,
     folder: str,
     table_path: str,
-    checkpoint: str,
     pattern: str = TRIP_FILES,
     on_error: str = "fail",
     ingested_at: dt.datetime | None = None,
-    max_files: int = 10_000,
 ) -> PickupResult:
-    """Clean and load the trip files that are new since the last run.
+    """Clean and load the trip files that are pending.
 
-    ``on_error="fail"`` withholds a file with a malformed row as a whole and loads the others;
-    ``"null"`` loads every file with NULL where a value cannot be read. Rows land in
-    ``table_path/rows``, one line per file in ``table_path/files``.
+    ``on_error="fail"`` withholds a file with a malformed row as a whole, all of its parts, and
+    loads the others; ``"null"`` loads every file with NULL where a value cannot be read, and puts
+    rows without an id, which the table needs, aside (:func:`rejected_trips`).
     """
     stamp = ingested_at or dt.datetime.now(dt.timezone.utc)
-    batches: list[int] = []
-
-    def load(batch: DataFrame, batch_id: int) -> None:
-        batches.append(batch_id)
-        rows_path = f"{table_path}/rows/batch={batch_id}"
-        files_path = f"{table_path}/files/batch={batch_id}"
-        filled = drop_empty_rows(batch, TRIP_COLUMNS)
-        checked = filled.withColumn("_bad", is_malformed())
+    folders = [scratch_path(spark, f"pickup-{name}") for name in ("pending", "rows", "report")]
+    try:
+        pending = stage(pending_files(spark, folder, table_path, pattern), path=folders[0])
+        # Their names are what the reader is given; Spark lists the same files itself.
+        paths = [r["path"] for r in pending.select("path").collect()]
+        if not paths:
+            return PickupResult()
+        read = read_csv(spark, paths, TRIPS_RAW, lineage="Source_file")
+        checked = drop_empty_rows(read, TRIP_COLUMNS).withColumns(
+            {"_bad": is_malformed(), "_no_id": parse_integer(F.col("Trip ID")).isNull()}
+        )
+        # Parsed once; the report and the rows are both taken from here.
+        rows = stage(checked, path=folders[1])
         # Per-file counts are combined before the shuffle: one huge file is not a hot key.
-        report = checked.groupBy("Source_file").agg(
+        counts = rows.groupBy("Source_file").agg(
             F.count("*").alias("rows"),
             F.count_if("_bad").alias("malformed_rows"),
-            F.count_if(parse_integer(F.col("Trip ID")).isNull()).alias("rows_without_id"),
+            F.count_if("_no_id").alias("rows_without_id"),
         )
+        load = uuid.uuid4().hex
         withheld = F.lit(on_error == "fail") & (F.col("malformed_rows") > 0)
-        report.withColumn("loaded", ~withheld).write.mode("overwrite").parquet(files_path)
-        verdict = spark.read.parquet(files_path).where(~F.col("loaded")).select("Source_file")
-        # One name per withheld file, and a batch has at most ``max_files`` files: small enough
-        # to broadcast, and a file with most of the rows is then no hot join key.
-        accepted = checked.join(F.broadcast(verdict), "Source_file", "left_anti")
-        # The table needs an id; a row without one is lost even where gaps are tolerated, and
-        # is counted in the report.
-        accepted = accepted.where(parse_integer(F.col("Trip ID")).isNotNull())
-        cleaned = clean_trips(accepted.drop("_bad"), "null")
-        to_warehouse(
-            cleaned, F.lit(stamp), F.col("Source_file"), on_error="null"
-        ).write.mode("overwrite").parquet(rows_path)
-
-    if not matches(spark, f"{folder}/{pattern}"):
-        return PickupResult()
-    stream = (
-        spark.readStream.schema(TRIPS_RAW)
-        .option("header", True)
-        .option("maxFilesPerTrigger", max_files)
-        .csv(f"{folder}/{pattern}")
-    )
-    query = (
-        stream.select("*", source_file().alias("Source_file"))
-        .writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    if not batches:
-        return PickupResult()
-    totals = (
-        spark.read.parquet(*[f"{table_path}/files/batch={b}" for b in batches])
-        .agg(
+        report = pending.join(counts, "Source_file", "left").na.fill(
+            0, ["rows", "malformed_rows", "rows_without_id"]
+        )
+        report = stage(report.withColumns({"loaded": ~withheld, "load": F.lit(load)}), path=folders[2])
+        _publish(rows, report, table_path, load, stamp)
+        totals = report.agg(
             F.count("*"),
             F.count_if("loaded"),
             F.sum(F.when(F.col("loaded"), F.col("rows") - F.col("rows_without_id"))),
             F.sum(F.when(F.col("loaded"), F.col("rows_without_id")).otherwise(F.col("rows"))),
-        )
-        .first()
-    )
-    return PickupResult(*[value or 0 for value in totals])
+        ).first()
+        return PickupResult(*[value or 0 for value in totals])
+    finally:
+        for path in folders:
+            discard(spark, path)
+
+
+def _publish(
+    rows: DataFrame, report: DataFrame, table_path: str, load: str, stamp: dt.datetime
+) -> None:
+    """Write the rows of the accepted files, the rejected rows, and then the log's lines."""
+    # Spark broadcasts the names if they are few, else a file with most rows is split.
+    accepted = rows.join(report.where("loaded").select("Source_file"), "Source_file", "left_semi")
+    cleaned = clean_trips(accepted.where(~F.col("_no_id")).drop("_bad", "_no_id"), "null")
+    shaped = to_warehouse(cleaned, F.lit(stamp), F.col("Source_file"), on_error="null")
+    shaped.write.parquet(f"{table_path}/rows/load={load}")
+    rejected = accepted.where("_no_id").drop("_bad", "_no_id")
+    rejected.write.parquet(f"{table_path}/rejects/load={load}")
+    lines = report.select(*[f.split()[0] for f in LOG.split(", ")])
+    lines.coalesce(1).write.mode("append").parquet(f"{table_path}/files")
+
+
+def _published(spark: SparkSession, table_path: str, kind: str, schema: T.StructType) -> DataFrame:
+    if not matches(spark, f"{table_path}/files"):
+        return spark.createDataFrame([], schema)
+    full = T.StructType([*schema.fields, T.StructField("load", T.StringType())])
+    loads = file_log(spark, table_path).select("load").distinct()
+    found = spark.read.schema(full).parquet(f"{table_path}/{kind}")
+    return found.join(loads, "load", "left_semi").drop("load")
 
 
 def loaded_trips(spark: SparkSession, table_path: str) -> DataFrame:
-    """All rows loaded so far."""
-    if not matches(spark, f"{table_path}/rows"):
-        return spark.createDataFrame([], TRIPS_TABLE)
-    full = T.StructType([*TRIPS_TABLE.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(full).parquet(f"{table_path}/rows").drop("batch")
+    """All rows loaded so far; folders of runs that did not end are left out."""
+    return _published(spark, table_path, "rows", TRIPS_TABLE)
+
+
+def rejected_trips(spark: SparkSession, table_path: str) -> DataFrame:
+    """Rows without an id in loaded files, as they were read, with their file."""
+    raw = T.StructType([T.StructField("Source_file", T.StringType()), *TRIPS_RAW.fields])
+    return _published(spark, table_path, "rejects", raw)
 
 
 def file_log(spark: SparkSession, table_path: str) -> DataFrame:
-    """``(Source_file, rows, malformed_rows, rows_without_id, loaded)`` of every file so far."""
-    return spark.read.parquet(f"{table_path}/files").drop("batch")
+    """A line for each file and run: what it was, what it held, whether it was loaded."""
+    if not matches(spark, f"{table_path}/files"):
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).parquet(f"{table_path}/files")

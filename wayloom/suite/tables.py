@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.operators import quality, upsert
-from wayloom.session import scratch_path, stage
+from wayloom.session import scratch_path, set_times, stage
 from wayloom.sinks import files as file_sinks
 from wayloom.sinks import tables as table_sinks
 from wayloom.sources import files as sources
@@ -79,7 +79,7 @@ def incremental_pickup(spark: SparkSession, folder: str) -> DataFrame:
 
     def run() -> None:
         pickup.pick_up_trips(
-            spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint", ingested_at=NOW
+            spark, f"{base}/in", f"{base}/table", ingested_at=NOW
         )
 
     names = list(groups)
@@ -122,7 +122,7 @@ def pickup_withholds(spark: SparkSession, folder: str) -> DataFrame:
     readable = F.col("Start date") != "unknown"
     file_sinks.write_csv(trips.where(readable), f"{base}/in", "travel_data_20240101.csv")
     file_sinks.write_csv(trips.where(~readable), f"{base}/in", "travel_data_20240102.csv")
-    pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint")
+    pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table")
     loaded = pickup.loaded_trips(spark, f"{base}/table").agg(F.count("*").alias("rows"))
     log = pickup.file_log(spark, f"{base}/table")
     return log.select("Source_file", "rows", "loaded").unionByName(
@@ -137,6 +137,179 @@ SELECT 'travel_data_2024010' || (1 + CAST(bad AS INTEGER)) || '.csv' AS Source_f
 UNION ALL SELECT 'table', count(*), true FROM t WHERE NOT bad"""
 
 
+PICKED = ("Trip_ID", "Destination", "Accommodation_cost", "Source_file")
+
+
+def _dated_trips(spark: SparkSession, folder: str) -> DataFrame:
+    """Trips whose dates can all be read."""
+    trips = inputs.raw_trips(spark, folder)
+    return trips.withColumn(
+        "Start date", F.when(F.col("Start date") != "unknown", F.col("Start date"))
+    )
+
+
+def pickup_late_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A file that arrives with a time two years before the ones loaded already."""
+    base = scratch_path(spark, "late")
+    trips = _dated_trips(spark, folder)
+    early = F.col("Traveler gender") == "Female"
+    file_sinks.write_csv(trips.where(~early | early.isNull()), f"{base}/in", "travel_data_20240102.csv")
+    pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table")
+    path = file_sinks.write_csv(trips.where(early), f"{base}/in", "travel_data_20220102.csv")
+    set_times(spark, path, dt.datetime(2022, 1, 2, tzinfo=dt.timezone.utc))
+    pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table")
+    return pickup.loaded_trips(spark, f"{base}/table").select(*PICKED)
+
+
+def _sql_picked(names: str) -> str:
+    return f"""
+SELECT o_orderkey AS Trip_ID, n_name AS Destination,
+       {inputs.sql_amount("o_totalprice")} AS Accommodation_cost, {names} AS Source_file
+{inputs.SQL_TRIPS_FROM}"""
+
+
+SQL_PICKUP_LATE = _sql_picked(
+    "CASE WHEN o_orderstatus = 'F' THEN 'travel_data_20220102.csv' ELSE 'travel_data_20240102.csv' END"
+)
+
+
+def pickup_many_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of many parts: one with a single bad row in one part is withheld whole."""
+    base = scratch_path(spark, "parts")
+    trips = _dated_trips(spark, folder).repartition(40, "Trip ID")
+    first = F.col("Trip ID").cast("bigint") == trips.agg(F.min(F.col("Trip ID").cast("bigint"))).scalar()
+    spoilt = trips.withColumn("Start date", F.when(first, "soon").otherwise(F.col("Start date")))
+    file_sinks.write_csv(spoilt, f"{base}/in", "travel_data_20240101.csv")
+    file_sinks.write_csv(trips, f"{base}/in", "travel_data_20240102.csv")
+    pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table")
+    loaded = pickup.loaded_trips(spark, f"{base}/table").groupBy("Source_file").agg(
+        F.count("*").alias("loaded_rows")
+    )
+    log = pickup.file_log(spark, f"{base}/table")
+    return log.select("Source_file", "rows", "malformed_rows", "loaded").join(loaded, "Source_file", "left")
+
+
+SQL_PICKUP_PARTS = f"""
+WITH t AS (SELECT count(*) AS rows {inputs.SQL_TRIPS_FROM})
+SELECT 'travel_data_20240101.csv' AS Source_file, rows, CAST(1 AS BIGINT) AS malformed_rows,
+       false AS loaded, CAST(NULL AS BIGINT) AS loaded_rows FROM t
+UNION ALL SELECT 'travel_data_20240102.csv', rows, 0, true, rows FROM t"""
+
+
+def pickup_retry(spark: SparkSession, folder: str) -> DataFrame:
+    """A withheld file is tried again when it has been corrected in place."""
+    base = scratch_path(spark, "retry")
+    trips = inputs.raw_trips(spark, folder)
+    file_sinks.write_csv(trips, f"{base}/in", "travel_data_20240101.csv")
+    pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table")
+    file_sinks.write_csv(_dated_trips(spark, folder), f"{base}/in", "travel_data_20240101.csv")
+    for _ in range(2):
+        pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table")
+    return pickup.loaded_trips(spark, f"{base}/table").select(*PICKED)
+
+
+SQL_PICKUP_RETRY = _sql_picked("'travel_data_20240101.csv'")
+
+
+def pickup_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without an id, from a file loaded with gaps, as they were read."""
+    base = scratch_path(spark, "rejects")
+    trips = _dated_trips(spark, folder)
+    known = F.col("Traveler gender") != "Female"
+    trips = trips.withColumn("Trip ID", F.when(known | known.isNull(), F.col("Trip ID")))
+    file_sinks.write_csv(trips, f"{base}/in", "travel_data_20240101.csv")
+    pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table", on_error="null")
+    rejected = pickup.rejected_trips(spark, f"{base}/table")
+    loaded = pickup.loaded_trips(spark, f"{base}/table")
+    return (
+        rejected.groupBy("Destination")
+        .agg(F.count("*").alias("rows"))
+        .withColumn("kind", F.lit("rejected"))
+        .unionByName(
+            loaded.groupBy("Destination").agg(F.count("*").alias("rows")).withColumn("kind", F.lit("loaded"))
+        )
+    )
+
+
+SQL_PICKUP_REJECTS = f"""
+SELECT n_name AS Destination, count(*) AS rows,
+       CASE WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'loaded' END AS kind
+{inputs.SQL_TRIPS_FROM} GROUP BY ALL"""
+
+
+def csv_messy(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts with quotes, commas and line ends, in two files that order their columns
+    differently; one lacks a column and has another one more."""
+    documents = table(spark, folder, "documents")
+    quoted = F.concat(F.lit('He said ""hi"", "ok",\n'), F.col("text"), F.lit(' "'))
+    messy = documents.withColumn("text", quoted)
+    english = F.col("lang") == "en"
+    base = scratch_path(spark, "messy")
+    file_sinks.write_csv(messy.where(english), base, "a.csv")
+    other = messy.where(~english).select("n_chars", "text", F.lit("x").alias("more"), "lang", "doc_id")
+    file_sinks.write_csv(other, base, "b.csv")
+    back = sources.read_csv(spark, f"{base}/*.csv", documents.schema, lineage="file")
+    return back.select("doc_id", F.md5("text").alias("digest"), "lang", "source", "n_chars", "file")
+
+
+SQL_CSV_MESSY = """
+SELECT doc_id, md5('He said ""hi"", "ok",' || chr(10) || text || ' "') AS digest, lang,
+       CASE WHEN lang = 'en' THEN source END AS source, n_chars,
+       CASE WHEN lang = 'en' THEN 'a.csv' ELSE 'b.csv' END AS file
+FROM documents"""
+
+
+def csv_missing_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words for a missing value in text and number columns."""
+    part = table(spark, folder, "part")
+    words = F.array(*[F.lit(w) for w in sources.MISSING_WORDS], F.lit("none"), F.lit("N.A."))
+    word = F.element_at(words, (F.col("p_partkey") % F.size(words) + 1).cast("int"))
+    odd = F.col("p_size") % 2 == 1
+    messy = part.select(
+        "p_partkey",
+        F.when(odd, word).otherwise(F.col("p_name")).alias("p_name"),
+        F.when(odd, word).otherwise(F.col("p_retailprice").cast("string")).alias("p_retailprice"),
+    )
+    path = file_sinks.write_csv(messy, scratch_path(spark, "words"), "part.csv")
+    schema = T.StructType([f for f in part.schema.fields if f.name in messy.columns])
+    return sources.read_csv(spark, path, schema)
+
+
+SQL_CSV_WORDS = f"""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name
+       WHEN p_partkey % {len(sources.MISSING_WORDS) + 2} = {len(sources.MISSING_WORDS)} THEN 'none'
+       WHEN p_partkey % {len(sources.MISSING_WORDS) + 2} = {len(sources.MISSING_WORDS) + 1} THEN 'N.A.'
+       END AS p_name, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS p_retailprice
+FROM part"""
+
+
+def clean_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest of two trip files, cleaned to a file and read back."""
+    from wayloom.plans import flows
+
+    base = scratch_path(spark, "clean")
+    trips = _dated_trips(spark, folder)
+    male = F.col("Traveler gender") == "Male"
+    file_sinks.write_csv(trips.where(male), f"{base}/raw", "travel_data_20240101.csv")
+    file_sinks.write_csv(trips.where(~male | male.isNull()), f"{base}/raw", "raw_travel_data_20240102.csv")
+    path = flows.clean_latest(spark, f"{base}/raw", f"{base}/clean")
+    back = sources.read_csv(spark, path, lineage="file")
+    return back.select(
+        F.col("Trip ID").cast("bigint").alias("trip"),
+        F.col("Start date").alias("start_date"),
+        F.col("Traveler gender").alias("gender"),
+        F.col("Accommodation cost").cast("double").alias("cost"),
+        "file",
+    )
+
+
+SQL_CLEAN_LATEST = f"""
+SELECT o_orderkey AS trip, CAST({inputs.SQL_START} AS VARCHAR) AS start_date,
+       {inputs.SQL_GENDER} AS gender, {inputs.sql_amount("o_totalprice")} AS cost,
+       'raw_travel_data_20240102_cleaned.csv' AS file
+{inputs.SQL_TRIPS_FROM} WHERE o_orderstatus <> 'O'"""
+
+
 def json_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Events archived in folders by date, read back with the date parts as columns."""
     events = table(spark, folder, "events")
@@ -431,7 +604,7 @@ def run_metrics(spark: SparkSession, folder: str) -> DataFrame:
     file_sinks.write_csv(trips.where(readable), f"{base}/in", "travel_data_20240101.csv")
     file_sinks.write_csv(trips.where(~readable), f"{base}/in", "travel_data_20240102.csv")
     result = flows.run_trips(
-        spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint", generate=False, now=NOW
+        spark, f"{base}/in", f"{base}/table", generate=False, now=NOW
     )
     return flows.trip_metrics(spark, result, NOW).select(
         "flow", "files_generated", "files_ingested", "files_total", "rows_in", "rows_out", "success"
@@ -449,6 +622,13 @@ QUERIES = {
     "latest_file": latest_file,
     "incremental_pickup": incremental_pickup,
     "pickup_withholds": pickup_withholds,
+    "pickup_late_file": pickup_late_file,
+    "pickup_many_parts": pickup_many_parts,
+    "pickup_retry": pickup_retry,
+    "pickup_rejects": pickup_rejects,
+    "csv_messy": csv_messy,
+    "csv_missing_words": csv_missing_words,
+    "clean_latest": clean_latest,
     "json_archive": json_archive,
     "gzip_archive": gzip_archive,
     "page_archive": page_archive,
@@ -470,6 +650,13 @@ ORACLES = {
     "latest_file": SQL_LATEST_FILE,
     "incremental_pickup": SQL_PICKUP,
     "pickup_withholds": SQL_WITHHOLDS,
+    "pickup_late_file": SQL_PICKUP_LATE,
+    "pickup_many_parts": SQL_PICKUP_PARTS,
+    "pickup_retry": SQL_PICKUP_RETRY,
+    "pickup_rejects": SQL_PICKUP_REJECTS,
+    "csv_messy": SQL_CSV_MESSY,
+    "csv_missing_words": SQL_CSV_WORDS,
+    "clean_latest": SQL_CLEAN_LATEST,
     "json_archive": SQL_JSON_ARCHIVE,
     "gzip_archive": SQL_GZIP_ARCHIVE,
     "page_archive": SQL_PAGE_ARCHIVE,
