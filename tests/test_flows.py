@@ -193,7 +193,7 @@ def test_trip_flow(spark, tmp_path):
 def test_destination_flow(spark, tmp_path):
     spark.sql("DROP TABLE IF EXISTS travel.details")
     rows = [
-        ("New York City", "u1", 200, {"Content-Type": "text/html"}, fx.FULL, "utf-8"),
+        ("Lower Quandary", "u1", 200, {"Content-Type": "text/html"}, fx.FULL, "utf-8"),
         ("Empty", "u2", 200, {}, fx.EMPTY, "utf-8"),
         ("Missing", "u3", 404, {}, "Not Found", "utf-8"),
         ("Broken", "u4", None, None, None, None),
@@ -206,14 +206,14 @@ def test_destination_flow(spark, tmp_path):
     assert result.steps["raw_archive"].endswith("raw/wiki/2023/01/01/20230101_120000.json")
     assert {r[0] for r in quality.failed_fetches(pages).collect()} == {"Missing", "Broken"}
     raw_back = sources.read_pages(spark, result.steps["raw_archive"])
-    assert raw_back.where("destination_name = 'New York City'").first()["content"] == fx.FULL
+    assert raw_back.where("destination_name = 'Lower Quandary'").first()["content"] == fx.FULL
     slugs = spark.read.json(result.steps["raw_archive"]).select("slug")
-    assert {r[0] for r in slugs.collect()} == {"New_York_City", "Empty"}
+    assert {r[0] for r in slugs.collect()} == {"Lower_Quandary", "Empty"}
     folder = tmp_path / "processed" / "wiki" / "destinations_20230101_120000.json"
     lines = [json.loads(l) for f in folder.glob("part-*") for l in f.read_text("utf-8").splitlines()]
-    record = next(x for x in lines if x["destination_name"] == "New York City")
-    assert record["timezone"] == "UTC−05:00 (EST)" and record["ingestion_timestamp"] == "2023-01-01 12:00:00"
-    stored = spark.table("travel.details").where("country = 'United States'").first()
+    record = next(x for x in lines if x["destination_name"] == "Lower Quandary")
+    assert record["timezone"] == "UTC+09:30" and record["ingestion_timestamp"] == "2023-01-01 12:00:00"
+    stored = spark.table("travel.details").where("country = 'Vell Coast[2]'").first()
     assert stored["attractions_count"] == 3
     # A later fetch carries a new timestamp, and so updates every row.
     later = flows.run_destinations(
@@ -265,7 +265,12 @@ def test_forecast_rows(spark):
     assert missing["humidity"] == 20.0 and missing["max_temp"] == 0.0
     places = weather.location_completeness(payloads(spark), 2).collect()
     assert {(r["city"], r["available_days"], r["fetched_days"], r["missing_days"]) for r in places} == {
-        ("Rome", 3, 2, 0), ("Oslo", 1, 1, 1), ("Lima", 3, 2, 0)}
+        ("Rome", 3, 2, 0), ("Oslo", 1, 1, 1), ("Lima", 3, 1, 1)}
+    lost = weather.cut_days(payloads(spark), 3).collect()
+    assert {(r["city"], r["day_no"], r["unusable"]) for r in lost} == {("Lima", 1, True), ("Lima", 2, False)}
+    for days in (0, 8):
+        with pytest.raises(ValueError, match="days"):
+            weather.forecast_rows(payloads(spark), days)
 
 
 def test_weather_flow(spark, tmp_path):

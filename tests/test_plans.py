@@ -49,22 +49,20 @@ def test_unused_columns_are_not_read(spark):
 def test_payloads_are_parsed_once_and_not_shuffled(spark, tmp_path):
     path = str(tmp_path / "payloads")
     table(spark, DATA, "events").select(F.col("props").alias("payload")).write.parquet(path)
-    # Large enough, by a lowered estimate, not to be spread over the cores first.
-    frame = weather.forecast_rows(weather.parse_payloads(spark.read.parquet(path).repartition(2)), 3)
+    frame = weather.forecast_rows(weather.parse_payloads(spark.read.parquet(path)), 3)
     found = plan(frame)
+    assert "Exchange" not in found
     assert found.count("from_json") == 1
     assert "Python" not in found
 
 
-def test_pages_never_need_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(destinations, "spread", lambda pages: pages)
+def test_pages_never_need_a_shuffle(spark):
     found = plan(destinations.extract_destinations(table(spark, DATA, "pages"), "url", "html"))
     assert "Exchange" not in found
     assert found.count("ArrowEvalPython") == 1 and found.count("FileScan") == 1
 
 
-def test_element_operators_share_one_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(el, "spread", lambda pages: pages)
+def test_element_operators_share_one_shuffle(spark):
     found = el.elements(table(spark, DATA, "pages"), ["page_id"], tags=["p", "a", "nav"])
     both = el.mark_inside(
         el.find_next(found, ["page_id"], F.col("tag") == "p", F.col("ord"), "next_p"),

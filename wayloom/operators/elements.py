@@ -88,9 +88,10 @@ def elements(
     markup: str = "html",
     tags: Sequence[str] | None = None,
     with_text: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per opening tag, limited to ``tags`` if given; no shuffle by key."""
-    parsed = parse_pages(spread(pages.select(*keys, markup)), markup)
+    parsed = parse_pages(spread(pages.select(*keys, markup), partitions), markup)
     wanted = lambda n: (
         n["tag"].isin(*tags) if tags else ~F.startswith(n["tag"], F.lit("/"))
     )

@@ -81,11 +81,15 @@ def available(pages: DataFrame) -> DataFrame:
 
 
 def extract_destinations(
-    pages: DataFrame, name: str = "destination_name", markup: str = "content"
+    pages: DataFrame,
+    name: str = "destination_name",
+    markup: str = "content",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """One record per page: name and ten extracted fields."""
+    """One record per page: name and ten extracted fields; ``partitions`` deals few files over
+    tasks."""
     texts = pages.select(F.col(name).alias("destination_name"), F.col(markup).alias("_markup"))
-    parsed = parse_pages(spread(texts), "_markup")
+    parsed = parse_pages(spread(texts, partitions), "_markup")
     box = parsed.withColumn("_box", first_node(F.col(NODES), _is_class("infobox")))
     # Header cells and span anchors are read by several rules: their texts are joined once.
     marked = box.withColumns({"_headers": _box_headers(), "_anchors": _anchors()})

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from wayloom.functions.binding import let
 from wayloom.functions.parse import epoch_to_timestamp, epoch_to_utc_date, logical_key
-from wayloom.operators.clean import or_default, split_by
+from wayloom.operators.clean import FORECAST_DAYS_RANGE, or_default, split_by
 from wayloom.operators.quality import defaults_filled
 from wayloom.schemas import FORECAST_PAYLOAD, WEATHER_TABLE
 from wayloom.session import spread
@@ -23,14 +23,16 @@ ZERO_DEFAULTS = {
 }
 
 
-def parse_payloads(table: DataFrame, text: str = "payload") -> DataFrame:
-    """Payload columns from one column of JSON text.
+def parse_payloads(
+    table: DataFrame, text: str = "payload", partitions: int | None = None
+) -> DataFrame:
+    """Payload columns from one column of JSON text; ``partitions`` deals few files over tasks.
 
     Unpacked by a generator, which later filters cannot be pushed through: pushed below the
     parse they would parse every text again.
     """
     parsed = F.from_json(F.col(text), FORECAST_PAYLOAD)
-    return spread(table).select(*[c for c in table.columns if c != text], F.inline(F.array(parsed)))
+    return spread(table, partitions).select(*[c for c in table.columns if c != text], F.inline(F.array(parsed)))
 
 
 def with_and_without_forecast(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,11 +61,31 @@ def _usable_prefix(days: Column) -> Column:
     )
 
 
+def check_days(days: int) -> None:
+    low, high = FORECAST_DAYS_RANGE
+    if not low <= days <= high:
+        raise ValueError(f"days must be {low} to {high}, not {days}")
+
+
+def cut_days(payloads: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
+    """Wanted days that became no rows because of an unusable day before them or themselves:
+    ``(city, country, day_no, unusable, d)``."""
+    check_days(days)
+    wanted, _ = with_and_without_forecast(payloads)
+    cut = F.slice(F.col("response.daily"), 1, days)
+    rows = wanted.select(
+        "city", "country", F.size(_usable_prefix(cut)).alias("_used"), F.posexplode_outer(cut).alias("day_no", "d")
+    )
+    lost = rows.where(F.col("day_no") >= F.col("_used"))
+    return lost.select("city", "country", "day_no", _unusable(F.col("d")).alias("unusable"), "d")
+
+
 def forecast_days(payloads: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
     """One row per place and day with the day's entry as ``d``; the envelope is repeated.
 
     The array is cut before it is exploded, so days beyond the wanted ones never become rows.
     """
+    check_days(days)
     wanted, _ = with_and_without_forecast(payloads)
     cut = wanted.withColumn("_days", F.slice(F.col("response.daily"), 1, days))
     usable = cut.withColumn("_days", _usable_prefix(F.col("_days"))).drop("response")
@@ -118,10 +140,14 @@ def filled_defaults(payloads: DataFrame, days: int = FORECAST_DAYS) -> DataFrame
 
 
 def location_completeness(payloads: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
-    """Expected, available, fetched and missing days of every place with a forecast."""
+    """Expected, available, fetched and missing days of every place with a forecast.
+
+    Fetched are the days that become rows: wanted ones before the first unusable one.
+    """
+    check_days(days)
     wanted, _ = with_and_without_forecast(payloads)
     available = F.size("response.daily")
-    fetched = F.least(F.lit(days), available)
+    fetched = F.size(_usable_prefix(F.slice(F.col("response.daily"), 1, days)))
     return wanted.select(
         "city",
         "country",

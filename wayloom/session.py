@@ -95,17 +95,10 @@ def set_times(spark: SparkSession, path: str, at: dt.datetime) -> None:
         files.setTimes(target, int(at.timestamp() * 1000), -1)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Give a small input to all cores before costly work on each row.
+def spread(table: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal rows over as many tasks before costly work on each, or leave them as scanned.
 
-    A few small files make a few tasks. Only inputs that are, by Spark's own estimate, too small
-    to fill the cores are redistributed; anything larger is already split by the scan and goes
-    through without a shuffle.
+    A few small files make a few tasks; whoever knows that says so. Large inputs are split by
+    their scan already and need no number.
     """
-    spark = table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    estimate = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if len(table.inputFiles()) < cores and estimate < cores * split:
-        return table.repartition(cores)
-    return table
+    return table.repartition(partitions) if partitions else table

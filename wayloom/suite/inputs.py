@@ -21,6 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cores(spark: SparkSession) -> int:
+    """The number that the queries give to ``spread``: the given tables are single files of one
+    row group, which a scan cannot split."""
+    return spark.sparkContext.defaultParallelism
+
+
 # --- ways to write an amount, by order priority -----------------------------------------
 
 
@@ -68,7 +74,7 @@ def sql_amount(amount: str) -> str:
 
 def raw_trips(spark: SparkSession, folder: str) -> DataFrame:
     """Every order as a trip the way a hand-kept CSV would hold it."""
-    orders = spread(table(spark, folder, "orders"))
+    orders = spread(table(spark, folder, "orders"), cores(spark))
     customer = table(spark, folder, "customer")
     nation = table(spark, folder, "nation")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(

@@ -13,7 +13,7 @@ from wayloom.functions.parse import strip
 from wayloom.operators import elements as el
 from wayloom.plans import destinations
 from wayloom.session import spread
-from wayloom.suite.inputs import table
+from wayloom.suite.inputs import cores, table
 
 # --- the given pages --------------------------------------------------------------------
 
@@ -84,7 +84,7 @@ def _elements(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Elements of the given pages. ``doc`` tells rows apart whose page id is the same, so that a
     page fetched many times is many small groups and not one."""
     pages = table(spark, folder, "pages").withColumn("doc", F.monotonically_increasing_id())
-    return el.elements(pages, KEYS, **options)
+    return el.elements(pages, KEYS, **options, partitions=cores(spark))
 
 
 KEYS = ["page_id", "doc"]
@@ -250,7 +250,7 @@ def _fill(template: str, **values: Column) -> Column:
 def wiki_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One page per customer, with gaps and oddities by market segment."""
     joined = (
-        spread(table(spark, folder, "customer"))
+        spread(table(spark, folder, "customer"), cores(spark))
         .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -289,7 +289,7 @@ def wiki_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def destination_records(spark: SparkSession, folder: str) -> DataFrame:
-    records = destinations.extract_destinations(wiki_pages(spark, folder))
+    records = destinations.extract_destinations(wiki_pages(spark, folder), partitions=cores(spark))
     return destinations.to_warehouse(records, F.lit(None)).drop("ingestion_timestamp")
 
 
@@ -343,7 +343,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 def page_records(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the given pages, which have none of the wiki markers."""
     pages = table(spark, folder, "pages")
-    records = destinations.extract_destinations(pages, "url", "html")
+    records = destinations.extract_destinations(pages, "url", "html", cores(spark))
     return records.select(
         F.col("destination_name").alias("url"),
         "description",

@@ -13,7 +13,7 @@ from wayloom.operators import clean, dedup, validate
 from wayloom.plans.trips import clean_trips, to_warehouse
 from wayloom.session import spread
 from wayloom.suite import inputs
-from wayloom.suite.inputs import table
+from wayloom.suite.inputs import cores, table
 
 STAMP = dt.datetime(2024, 1, 5, 12, 0, tzinfo=dt.timezone.utc)
 
@@ -301,7 +301,7 @@ GROUP BY 1, 2"""
 
 def names_and_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document as a list entry: its name, and what is left of it."""
-    lines = spread(table(spark, folder, "documents")).select(
+    lines = spread(table(spark, folder, "documents"), cores(spark)).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     text = parse.strip(F.col("line"))
