@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wayloom.operators import upsert
 from wayloom.operators.dedup import keep_first
 from wayloom.schemas import DESTINATIONS_TABLE
+from wayloom.session import listing, shared_dir
 from wayloom.sinks import tables
 
 SCHEMA = "k string, a int, b int"
@@ -171,3 +172,65 @@ def test_merge_into_buckets(spark, tmp_path):
     assert load().status == "empty"
     with pytest.raises(upsert.DuplicateSourceKey):
         load(("k1", 1, 1), ("k1", 2, 2))
+
+
+def folders(spark, name):
+    here = tables.table_location(spark, name).removeprefix("file:")
+    stem = os.path.basename(here).split("__")[0]
+    return {f for f in os.listdir(os.path.dirname(here)) if f.startswith(stem)}, os.path.basename(here)
+
+
+def test_a_failed_write_leaves_nothing(spark):
+    spark.sql("DROP TABLE IF EXISTS travel.fragile")
+    schema = spark.createDataFrame([], "k string, v double").schema
+    good = spark.createDataFrame([("a", 1.0)], schema)
+    assert tables.merge_into(good, "travel.fragile", schema, ["k"]).ok
+    before = folders(spark, "travel.fragile")
+    bad = good.withColumn("v", F.lit("no number"))
+    result = tables.merge_into(bad, "travel.fragile", schema, ["k"])
+    assert result.status == "failed" and result.error
+    assert folders(spark, "travel.fragile") == before and rows(spark.table("travel.fragile")) == [("a", 1.0)]
+
+
+def test_a_second_writer_is_noticed(spark, monkeypatch):
+    spark.sql("DROP TABLE IF EXISTS travel.busy")
+    schema = spark.createDataFrame([], "k string, v double").schema
+    make = lambda *values: spark.createDataFrame(list(values), schema)
+    assert tables.merge_into(make(("a", 1.0)), "travel.busy", schema, ["k"]).ok
+    locate, calls = tables.table_location, []
+
+    def meanwhile(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            monkeypatch.setattr(tables, "table_location", locate)
+            assert tables.merge_into(make(("b", 2.0)), "travel.busy", schema, ["k"]).ok
+        return locate(*args)
+
+    monkeypatch.setattr(tables, "table_location", meanwhile)
+    late = tables.merge_into(make(("c", 3.0)), "travel.busy", schema, ["k"])
+    assert late.status == "failed" and "another writer" in late.error
+    assert rows(spark.table("travel.busy")) == [("a", 1.0), ("b", 2.0)]
+    found, current = folders(spark, "travel.busy")
+    assert found == {current}
+
+
+def test_the_number_of_buckets_is_kept(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    frame = spark.createDataFrame([(f"k{i}", i, None) for i in range(50)], SCHEMA)
+    schema = frame.schema
+    assert tables.merge_into_buckets(frame, path, schema, ["k"], buckets=16).inserted == 50
+    refused = tables.merge_into_buckets(frame, path, schema, ["k"], buckets=7)
+    assert refused.status == "failed" and "16" in refused.error
+    again = tables.merge_into_buckets(frame, path, schema, ["k"])
+    assert (again.inserted, again.updated) == (0, 0)
+    assert tables.read_buckets(spark, path, schema).count() == 50
+
+
+def test_loads_leave_no_scratch_folders(spark, tmp_path):
+    before = set(listing(spark, f"{shared_dir(spark)}/*"))
+    spark.sql("DROP TABLE IF EXISTS travel.tidy")
+    frame = spark.createDataFrame([("a", 1, None)], SCHEMA)
+    tables.append_new_keys(frame, "travel.tidy", frame.schema, "k")
+    tables.merge_into(frame, "travel.tidy", frame.schema, ["k"])
+    tables.merge_into_buckets(frame.where("false"), str(tmp_path / "t"), frame.schema, ["k"])
+    assert set(listing(spark, f"{shared_dir(spark)}/*")) == before

@@ -112,8 +112,23 @@ def nesting(sequences: pd.Series) -> pd.Series:
 # --- entities ---------------------------------------------------------------------------
 
 _REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);?"
-_NAMED_JSON = json.dumps(
-    {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
+_COMMON = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
+_NAMED_JSON = json.dumps(_COMMON)
+# The names that only the current standard has; looked up after the common ones.
+_RARE_JSON = json.dumps(
+    {
+        name.removesuffix(";"): text
+        for name, text in html.entities.html5.items()
+        if name.endswith(";") and name.removesuffix(";") not in _COMMON
+    }
+)
+# Numbers 0x80 to 0x9F stand for what Windows-1252 has there, where it has something.
+_WINDOWS_JSON = json.dumps(
+    {
+        str(code): bytes([code]).decode("cp1252")
+        for code in range(0x80, 0xA0)
+        if bytes([code]).decode("cp1252", "ignore")
+    }
 )
 
 
@@ -123,7 +138,10 @@ def decode_entities(text: Column) -> Column:
     Each reference is decoded once, so ``&amp;lt;`` becomes ``&lt;``.
     """
     # One JSON literal, folded once, keeps the expression small where it is used often.
-    named = F.from_json(F.lit(_NAMED_JSON), "map<string,string>")
+    named, rare, windows = (
+        F.from_json(F.lit(names), "map<string,string>")
+        for names in (_NAMED_JSON, _RARE_JSON, _WINDOWS_JSON)
+    )
 
     def character(body: Column) -> Column:
         code = (
@@ -133,12 +151,16 @@ def decode_entities(text: Column) -> Column:
         )
         numeric = let(
             code,
-            lambda c: F.when(
-                c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF),
-                F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"),
+            lambda c: F.coalesce(
+                F.when(c.between(0x80, 0x9F), F.try_element_at(windows, c.cast("string"))),
+                F.when(
+                    c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF),
+                    F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"),
+                ),
             ),
         )
-        return F.when(body.startswith("#"), numeric).otherwise(F.try_element_at(named, body))
+        by_name = F.coalesce(F.try_element_at(named, body), F.try_element_at(rare, body))
+        return F.when(body.startswith("#"), numeric).otherwise(by_name)
 
     def reference(piece: Column) -> Column:
         body = F.regexp_extract(piece, _REFERENCE, 1)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +81,25 @@ def _loaded(
     return LoadResult(status, rows_in=written, rows_total=total, **counts)
 
 
+def reported(load: Callable[..., LoadResult]) -> Callable[..., LoadResult]:
+    """A load that fails says so in its result: the flow reports it and goes on.
+
+    Source rows that contradict each other are the caller's to mend and are raised.
+    """
+
+    @wraps(load)
+    def run(*args, **options) -> LoadResult:
+        try:
+            return load(*args, **options)
+        except upsert.DuplicateSourceKey:
+            raise
+        except Exception as error:
+            return LoadResult("failed", error=str(error))
+
+    return run
+
+
+@reported
 def append(
     table: DataFrame, name: str, schema: T.StructType, report_total: bool = True
 ) -> LoadResult:
@@ -89,36 +109,32 @@ def append(
     leave it out for frequent loads into a table of very many files.
     """
     spark = table.sparkSession
-    try:
-        ensure_table(spark, name, schema)
-        rows, seen = _counted(conform(table, schema))
-        rows.write.mode("append").insertInto(name)
-        written = seen.get["rows"]
-        return _loaded(spark, name, written, report_total, inserted=written)
-    except Exception as error:  # the flow reports a failed load and goes on
-        return LoadResult("failed", error=str(error))
+    ensure_table(spark, name, schema)
+    rows, seen = _counted(conform(table, schema))
+    rows.write.mode("append").insertInto(name)
+    written = seen.get["rows"]
+    return _loaded(spark, name, written, report_total, inserted=written)
 
 
+@reported
 def append_autodetect(table: DataFrame, name: str, report_total: bool = True) -> LoadResult:
     """Append by column name; columns the table does not have yet are added to it."""
     spark = table.sparkSession
-    try:
-        if table.isEmpty():
-            return LoadResult("empty")
-        ensure_table(spark, name, table.schema)
-        known = set(spark.table(name).columns)
-        new = [f for f in table.schema.fields if f.name not in known]
-        if new:
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
-            spark.sql(f"ALTER TABLE {quoted(name)} ADD COLUMNS ({columns})")
-        rows, seen = _counted(conform(table, spark.table(name).schema))
-        rows.write.mode("append").insertInto(name)
-        written = seen.get["rows"]
-        return _loaded(spark, name, written, report_total, inserted=written)
-    except Exception as error:
-        return LoadResult("failed", error=str(error))
+    if table.isEmpty():
+        return LoadResult("empty")
+    ensure_table(spark, name, table.schema)
+    known = set(spark.table(name).columns)
+    new = [f for f in table.schema.fields if f.name not in known]
+    if new:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"ALTER TABLE {quoted(name)} ADD COLUMNS ({columns})")
+    rows, seen = _counted(conform(table, spark.table(name).schema))
+    rows.write.mode("append").insertInto(name)
+    written = seen.get["rows"]
+    return _loaded(spark, name, written, report_total, inserted=written)
 
 
+@reported
 def append_new_keys(
     table: DataFrame, name: str, schema: T.StructType, key: str
 ) -> LoadResult:
@@ -126,19 +142,26 @@ def append_new_keys(
     spark = table.sparkSession
     ensure_table(spark, name, schema)
     order = [F.col(c) for c in table.columns if c != key]
-    folded = stage(
-        table.groupBy(key)
-        .agg(F.min_by(F.struct(*table.columns), F.struct(*order)).alias("r"))
-        .select("r.*")
-    )
-    # The keys found again are no more than the batch has, so a small batch leaves the table
-    # where it is: it is broadcast against the table's key column.
-    known = spark.table(name).select(key).join(folded.select(key), key, "left_semi").distinct()
-    fresh = folded.join(known, key, "left_anti").select(*table.columns)
-    # The table is read to decide what to append to it: settle the rows first.
-    return append(stage(fresh), name, schema)
+    folders = [scratch_path(spark, f"append-{part}") for part in ("batch", "fresh")]
+    try:
+        folded = stage(
+            table.groupBy(key)
+            .agg(F.min_by(F.struct(*table.columns), F.struct(*order)).alias("r"))
+            .select("r.*"),
+            path=folders[0],
+        )
+        # The keys found again are no more than the batch has, so a small batch leaves the table
+        # where it is: it is broadcast against the table's key column.
+        known = spark.table(name).select(key).join(folded.select(key), key, "left_semi").distinct()
+        fresh = folded.join(known, key, "left_anti").select(*table.columns)
+        # The table is read to decide what to append to it: settle the rows first.
+        return append(stage(fresh, path=folders[1]), name, schema)
+    finally:
+        for folder in folders:
+            discard(spark, folder)
 
 
+@reported
 def truncate_and_load(table: DataFrame, name: str, schema: T.StructType) -> LoadResult:
     """Replace the whole content."""
     spark = table.sparkSession
@@ -154,6 +177,7 @@ def table_location(spark: SparkSession, name: str) -> str:
     return rows.first()["data_type"]
 
 
+@reported
 def merge_into(
     source: DataFrame,
     name: str,
@@ -167,63 +191,83 @@ def merge_into(
 
     The new state is written beside the old one and the table is pointed at it in one catalog
     change, so readers see all of the upsert or none and a lost job leaves the table as it was.
-    If no row changes the table stays untouched. The folder of the former state is removed
-    unless ``keep_previous`` leaves it to readers that still use it.
+    If no row changes nothing is written. If another writer has moved the table meanwhile, the
+    upsert fails and leaves that writer's state. The folder of the former state is removed unless
+    ``keep_previous`` leaves it to readers that still use it.
     """
     spark = source.sparkSession
-    staged = scratch_path(spark, "merge")
+    staged, folder = scratch_path(spark, "merge"), None
     try:
         ensure_table(spark, name, schema)
         # Read by the check and by three branches of the merge: computed once.
         rows = stage(conform(source, schema), path=staged)
-        if rows.isEmpty():
+        rows_in = rows.count()
+        if not rows_in:
             return LoadResult("empty", rows_total=spark.table(name).count())
+        former = table_location(spark, name)
         target = spark.table(name)
         upsert.check_unique_matches(target, rows, keys)
         merged = upsert.merge(target, rows, keys, change_test, ignore, with_status=True)
-        seen = Observation()
         status = F.col(upsert.STATUS)
+        if merged.where(status != "kept").isEmpty():
+            return LoadResult("loaded", rows_in=rows_in, rows_total=target.count())
+        seen = Observation()
         observed = merged.observe(
             seen,
             F.count(F.lit(1)).alias("total"),
             F.count_if(status == "updated").alias("updated"),
             F.count_if(status == "inserted").alias("inserted"),
         )
-        former = table_location(spark, name)
         base = re.sub("__[0-9a-f]{12}$", "", former)
         folder = f"{base}__{uuid.uuid4().hex[:12]}"
         observed.drop(upsert.STATUS).write.parquet(folder)
-        counts, unused = seen.get, folder
-        if counts["updated"] or counts["inserted"]:
-            spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{folder}'")
-            spark.catalog.refreshTable(name)
-            unused = None if keep_previous else former
-        if unused:
-            discard(spark, unused)
+        counts = seen.get
+        if table_location(spark, name) != former:
+            raise RuntimeError(f"{name} was changed by another writer")
+        spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{folder}'")
+        # From here on the new folder is the table's.
+        folder = None if keep_previous else former
+        spark.catalog.refreshTable(name)
         return LoadResult(
             "loaded",
-            rows_in=rows.count(),
+            rows_in=rows_in,
             rows_total=counts["total"],
             inserted=counts["inserted"],
             updated=counts["updated"],
         )
-    except upsert.DuplicateSourceKey:
-        raise
-    except Exception as error:
-        return LoadResult("failed", error=str(error))
     finally:
-        discard(spark, staged)
+        for unused in (staged, folder):
+            if unused:
+                discard(spark, unused)
 
 
 BUCKET = "bucket"
+DEFAULT_BUCKETS = 1024
+
 
+def bucket_count(spark: SparkSession, path: str, wanted: int | None) -> int:
+    """The number of folders a table was made with; kept with the table from the first write on.
 
+    Another number would look for keys in the wrong folders and is refused.
+    """
+    kept = f"{path}/_buckets"
+    if matches(spark, kept):
+        found = spark.read.parquet(kept).first()["buckets"]
+        if wanted not in (None, found):
+            raise ValueError(f"{path} has {found} buckets, not {wanted}")
+        return found
+    wanted = wanted or DEFAULT_BUCKETS
+    spark.range(1).select(F.lit(wanted).alias("buckets")).coalesce(1).write.parquet(kept)
+    return wanted
+
+
+@reported
 def merge_into_buckets(
     source: DataFrame,
     path: str,
     schema: T.StructType,
     keys: Sequence[str],
-    buckets: int = 1024,
+    buckets: int | None = None,
     change_test: str = "ansi",
     ignore: Sequence[str] = (),
 ) -> LoadResult:
@@ -231,55 +275,58 @@ def merge_into_buckets(
     the table.
 
     Only folders that hold a source key are read and only those with a change are replaced, each
-    when the whole job has succeeded. ``buckets`` must stay the same for a path. For tables where
+    when the whole job has succeeded. ``buckets`` is chosen with the first batch. For tables where
     a batch touches nearly every folder, or where readers must see all of an upsert at once,
     :func:`merge_into` is the better choice. Read the table with :func:`read_buckets`.
     """
     spark = source.sparkSession
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
     staged, result = scratch_path(spark, "merge"), scratch_path(spark, "merged")
-    rows = stage(conform(source, schema).withColumn(BUCKET, bucket), path=staged)
-    if rows.isEmpty():
-        return LoadResult("empty")
-    # At most ``buckets`` numbers, named in the filter so that the other folders are not listed.
-    touched = [r[BUCKET] for r in rows.select(BUCKET).distinct().collect()]
-    target = read_buckets(spark, path, schema).where(F.col(BUCKET).isin(touched))
-    upsert.check_unique_matches(target, rows, [*keys, BUCKET])
-    merged = upsert.merge(
-        target, rows, [*keys, BUCKET], change_test, ignore, with_status=True
-    )
-    status = F.col(upsert.STATUS)
-    # Settled before the folders it was read from are replaced.
-    merged = stage(merged, path=result)
-    counts = (
-        merged.groupBy(BUCKET)
-        .agg(
-            F.count_if(status == "updated").alias("updated"),
-            F.count_if(status == "inserted").alias("inserted"),
+    try:
+        count = bucket_count(spark, path, buckets)
+        bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(count)).cast("int")
+        rows = stage(conform(source, schema).withColumn(BUCKET, bucket), path=staged)
+        rows_in = rows.count()
+        if not rows_in:
+            return LoadResult("empty")
+        # At most ``buckets`` numbers, named in the filter so that the other folders are not listed.
+        touched = [r[BUCKET] for r in rows.select(BUCKET).distinct().collect()]
+        target = read_buckets(spark, path, schema).where(F.col(BUCKET).isin(touched))
+        upsert.check_unique_matches(target, rows, [*keys, BUCKET])
+        merged = upsert.merge(
+            target, rows, [*keys, BUCKET], change_test, ignore, with_status=True
         )
-        .where("updated + inserted > 0")
-        .collect()
-    )
-    changed = [r[BUCKET] for r in counts]
-    if changed:
-        (
-            merged.where(F.col(BUCKET).isin(changed))
-            .drop(upsert.STATUS)
-            .hint("rebalance", BUCKET)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(BUCKET)
-            .parquet(path)
+        status = F.col(upsert.STATUS)
+        # Settled before the folders it was read from are replaced.
+        merged = stage(merged, path=result)
+        counts = (
+            merged.groupBy(BUCKET)
+            .agg(
+                F.count_if(status == "updated").alias("updated"),
+                F.count_if(status == "inserted").alias("inserted"),
+            )
+            .where("updated + inserted > 0")
+            .collect()
         )
-    rows_in = rows.count()
-    for folder in (staged, result):
-        discard(spark, folder)
-    return LoadResult(
-        "loaded",
-        rows_in=rows_in,
-        inserted=sum(r["inserted"] for r in counts),
-        updated=sum(r["updated"] for r in counts),
-    )
+        changed = [r[BUCKET] for r in counts]
+        if changed:
+            (
+                merged.where(F.col(BUCKET).isin(changed))
+                .drop(upsert.STATUS)
+                .hint("rebalance", BUCKET)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(BUCKET)
+                .parquet(path)
+            )
+        return LoadResult(
+            "loaded",
+            rows_in=rows_in,
+            inserted=sum(r["inserted"] for r in counts),
+            updated=sum(r["updated"] for r in counts),
+        )
+    finally:
+        for folder in (staged, result):
+            discard(spark, folder)
 
 
 def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

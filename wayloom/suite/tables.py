@@ -15,8 +15,10 @@ from wayloom.sinks import files as file_sinks
 from wayloom.sinks import tables as table_sinks
 from wayloom.sources import files as sources
 from wayloom.streaming import pickup
+from wayloom.sources import reference_lists as lists
 from wayloom.suite import inputs
 from wayloom.suite.inputs import table
+from wayloom.suite.weather import SQL_DAYS
 
 NOW = dt.datetime(2024, 1, 5, 12, 0, tzinfo=dt.timezone.utc)
 
@@ -617,7 +619,196 @@ SELECT 'trips' AS flow, CAST(0 AS BIGINT) AS files_generated, CAST(1 AS BIGINT)
        count(*) FILTER (o_orderpriority <> '2-HIGH') AS rows_out, false AS success
 {inputs.SQL_TRIPS_FROM}"""
 
+def load_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """What each kind of load says it did, as rows."""
+    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    base, name = _fresh_database(spark), "customer"
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in customer.schema.fields])
+    building = F.col("c_mktsegment") == "BUILDING"
+    richer = customer.withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    loads = {
+        "append": table_sinks.append(customer.where(building), f"{base}.{name}", schema),
+        "append nothing": table_sinks.append(customer.where("false"), f"{base}.{name}", schema),
+        "merge": table_sinks.merge_into(richer, f"{base}.{name}", schema, ["c_custkey"]),
+        "merge again": table_sinks.merge_into(richer, f"{base}.{name}", schema, ["c_custkey"]),
+        "append new": table_sinks.append_new_keys(customer, f"{base}.{name}", schema, "c_custkey"),
+        "replace": table_sinks.truncate_and_load(customer, f"{base}.{name}", schema),
+        "fail": table_sinks.append(
+            customer.withColumn("c_custkey", F.lit("x")), f"{base}.{name}", schema
+        ),
+    }
+    rows = [
+        (step, r.status, r.rows_in, r.rows_total, r.inserted, r.updated) for step, r in loads.items()
+    ]
+    return spark.createDataFrame(
+        rows,
+        "step string, status string, rows_in long, rows_total long, inserted long, updated long",
+    )
+
+
+SQL_LOAD_REPORTS = """
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_mktsegment = 'BUILDING') AS b FROM customer)
+SELECT 'append' AS step, 'loaded' AS status, b AS rows_in, b AS rows_total, b AS inserted,
+       CAST(0 AS BIGINT) AS updated FROM c
+UNION ALL SELECT 'append nothing', 'empty', 0, b, 0, 0 FROM c
+UNION ALL SELECT 'merge', 'loaded', n, n, n - b, b FROM c
+UNION ALL SELECT 'merge again', 'loaded', n, n, 0, 0 FROM c
+UNION ALL SELECT 'append new', 'empty', 0, n, 0, 0 FROM c
+UNION ALL SELECT 'replace', 'loaded', n, n, n, 0 FROM c
+UNION ALL SELECT 'fail', 'failed', 0, NULL, 0, 0 FROM c"""
+
+
+def reference_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations that the lists of nationalities and destinations know by the start of a value."""
+    nations = table(spark, folder, "nation").select("n_name", F.substring("n_name", 1, 4).alias("start"))
+    listed = lists.trip_categories(spark).select(
+        "category", "value", F.upper(F.substring("value", 1, 4)).alias("start")
+    )
+    counts = nations.join(listed, "start").groupBy("category").agg(F.count("*").alias("matches"))
+    totals = lists.trip_categories(spark).groupBy("category").agg(F.count("*").alias("listed"))
+    return totals.join(counts, "category", "left").na.fill(0, ["matches"])
+
+
+def _sql_listed() -> str:
+    values = {
+        "destination": lists.TRIP_DESTINATIONS,
+        "accommodation": lists.ACCOMMODATION_TYPES,
+        "transportation": lists.TRANSPORTATION_TYPES,
+        "nationality": lists.NATIONALITIES,
+    }
+    text = ", ".join(
+        "('{}', '{}')".format(k, v.replace("'", "''")) for k, items in values.items() for v in items
+    )
+    return f"(VALUES {text}) AS l(category, value)"
+
+
+SQL_REFERENCE_LISTS = f"""
+SELECT category, count(DISTINCT value) AS listed,
+       count(n_name) AS matches
+FROM {_sql_listed()} LEFT JOIN nation ON upper(substr(value, 1, 4)) = substr(n_name, 1, 4)
+GROUP BY 1"""
+
+
+def processed_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Records in the processed archive, read back: non-ASCII text and missing values survive."""
+    records = table(spark, folder, "documents").select(
+        F.concat(F.lit("D"), F.col("doc_id")).alias("destination_name"),
+        F.when(F.col("lang") != "en", F.col("text")).alias("description"),
+        F.struct(F.col("doc_id").cast("double").alias("latitude")).alias("coordinates"),
+        F.lit(NOW).alias("ingestion_timestamp"),
+    )
+    path = file_sinks.archive_records(records, scratch_path(spark, "processed"), NOW)
+    back = spark.read.schema(
+        "destination_name string, description string, coordinates struct<latitude: double>, "
+        "ingestion_timestamp string"
+    ).json(path)
+    return back.select(
+        "destination_name",
+        F.md5("description").alias("digest"),
+        "coordinates.latitude",
+        "ingestion_timestamp",
+        F.regexp_extract(F.input_file_name(), "(processed/wiki/[^/]+)/", 1).alias("archive"),
+    )
+
+
+SQL_PROCESSED_ARCHIVE = """
+SELECT 'D' || doc_id AS destination_name, CASE WHEN lang <> 'en' THEN md5(text) END AS digest,
+       CAST(doc_id AS DOUBLE) AS latitude, '2024-01-05 12:00:00' AS ingestion_timestamp,
+       'processed/wiki/destinations_20240105_120000.json' AS archive
+FROM documents"""
+
+
+def flow_trips(spark: SparkSession, folder: str) -> DataFrame:
+    """The trips flow with generation: all orders from a file, and a batch made from them."""
+    from wayloom.plans import flows
+
+    base = scratch_path(spark, "flow-trips")
+    trips = _dated_trips(spark, folder)
+    file_sinks.write_csv(trips, f"{base}/in", "travel_data_20240101.csv")
+    result = flows.run_trips(
+        spark, f"{base}/in", f"{base}/table", sample=trips, method="tiered", now=NOW, n=50
+    )
+    metrics = flows.trip_metrics(spark, result, NOW).select(
+        "flow", "generation_method", "files_generated", "files_ingested", "rows_in", "rows_out", "success"
+    )
+    ids = pickup.loaded_trips(spark, f"{base}/table").agg(
+        F.min("Trip_ID").alias("first_id"), F.max("Trip_ID").alias("last_id")
+    )
+    return metrics.select(
+        "*", ids.select("first_id").scalar().alias("first_id"), ids.select("last_id").scalar().alias("last_id")
+    )
+
+
+SQL_FLOW_TRIPS = f"""
+SELECT 'trips' AS flow, 'tiered' AS generation_method, CAST(1 AS BIGINT) AS files_generated,
+       CAST(2 AS BIGINT) AS files_ingested, count(*) + 50 AS rows_in, count(*) + 50 AS rows_out,
+       true AS success, min(o_orderkey) AS first_id, max(o_orderkey) + 50 AS last_id
+{inputs.SQL_TRIPS_FROM}"""
+
+
+def flow_destinations(spark: SparkSession, folder: str) -> DataFrame:
+    """The destinations flow over one page for each customer, run twice with other stamps."""
+    from wayloom.plans import flows
+    from wayloom.suite.pages import wiki_pages
+
+    base, name = scratch_path(spark, "flow-wiki"), f"{_fresh_database(spark)}.destinations"
+    pages = wiki_pages(spark, folder)
+    failed = F.regexp_extract("destination_name", "([0-9]+)", 1).cast("int") % 50 == 0
+    pages = pages.select(
+        "destination_name",
+        F.concat(F.lit("http://x/"), F.col("destination_name")).alias("url"),
+        F.when(failed, 500).otherwise(200).alias("status_code"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"),
+        "content",
+        F.lit("utf-8").alias("encoding"),
+    )
+    for day in (0, 1):
+        flows.run_destinations(spark, pages, base, name, now=NOW + dt.timedelta(days=day))
+    return spark.table(name).select(
+        "destination_name",
+        "country",
+        "population_count",
+        "attractions_count",
+        F.date_format("ingestion_timestamp", "yyyy-MM-dd").alias("day"),
+    )
+
+
+SQL_FLOW_DESTINATIONS = """
+SELECT c_name AS destination_name, n_name AS country,
+       CASE WHEN c_mktsegment <> 'FURNITURE' THEN c_custkey * 7919 + 1 END AS population_count,
+       CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN 2 ELSE 5 END AS BIGINT) AS attractions_count,
+       '2024-01-06' AS day
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+WHERE CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER) % 50 <> 0"""
+
+
+def flow_weather(spark: SparkSession, folder: str) -> DataFrame:
+    """The weather flow over one payload for each order: its report beside the table's rows."""
+    from wayloom.plans import flows
+    from wayloom.suite import weather as w
+
+    base, name = scratch_path(spark, "flow-weather"), f"{_fresh_database(spark)}.weather"
+    payloads = w.payloads(spark, folder)
+    result = flows.run_weather(spark, payloads, base, name, payloads, w.DAYS, NOW)
+    archived = sources.read_payloads(spark, result.steps["archive"]).count()
+    stored = spark.table(name).agg(F.count("*").alias("rows"), F.round(F.sum("rain"), 2).alias("rain"))
+    return stored.select(
+        F.lit(result.success).alias("success"),
+        F.lit(result.steps["expected_rows"]).cast("long").alias("expected"),
+        F.lit(result.steps["coverage_pct"]).alias("coverage_pct"),
+        F.lit(archived).cast("long").alias("archived"),
+        "rows",
+        "rain",
+    )
+
+
 QUERIES = {
+    "load_reports": load_reports,
+    "reference_lists": reference_lists,
+    "processed_archive": processed_archive,
+    "flow_trips": flow_trips,
+    "flow_destinations": flow_destinations,
+    "flow_weather": flow_weather,
     "csv_roundtrip": csv_roundtrip,
     "latest_file": latest_file,
     "incremental_pickup": incremental_pickup,
@@ -646,6 +837,18 @@ QUERIES = {
     "run_metrics": run_metrics,
 }
 ORACLES = {
+    "load_reports": SQL_LOAD_REPORTS,
+    "reference_lists": SQL_REFERENCE_LISTS,
+    "processed_archive": SQL_PROCESSED_ARCHIVE,
+    "flow_trips": SQL_FLOW_TRIPS,
+    "flow_destinations": SQL_FLOW_DESTINATIONS,
+    "flow_weather": f"""
+WITH d AS ({SQL_DAYS})
+SELECT true AS success, (SELECT count(*) FROM orders) * 3 AS expected,
+       round(100.0 * count(*) / ((SELECT count(*) FROM orders) * 3), 2) AS coverage_pct,
+       (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS archived, count(*) AS rows,
+       round(sum(CASE WHEN cheap THEN 0.0::DOUBLE ELSE 3.5::DOUBLE END), 2) AS rain
+FROM d""",
     "csv_roundtrip": SQL_CSV_ROUNDTRIP,
     "latest_file": SQL_LATEST_FILE,
     "incremental_pickup": SQL_PICKUP,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,6 +175,41 @@ SELECT o_orderpriority AS country, {SQL_LENGTH} AS available_days,
 FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL"""
 
 
+def forecast_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows for every permitted number of days, and the days that became none."""
+    rows = payloads(spark, folder)
+    parts = []
+    for days in range(1, 8):
+        count = F.lit(days).alias("days")
+        used = weather.forecast_days(rows, days).agg(F.count("*").alias("rows"))
+        lost = weather.cut_days(rows, days).agg(
+            F.count("*").alias("lost"), F.count_if("unusable").alias("unusable")
+        )
+        parts.append(
+            used.select(
+                count,
+                "rows",
+                lost.select("lost").scalar().alias("lost"),
+                lost.select("unusable").scalar().alias("unusable"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+SQL_FORECAST_LENGTHS = f"""
+SELECT CAST(n AS INTEGER) AS days, sum(used) AS rows, sum(wanted - used) AS lost,
+       sum(CAST(cheap AND wanted > 2 AS BIGINT) * (wanted - used)) AS unusable
+FROM (SELECT n, CAST(least(n, {SQL_LENGTH}) AS BIGINT) AS wanted, o_totalprice < 100000 AS cheap,
+             CAST(CASE WHEN o_totalprice < 100000 THEN least(2, n, {SQL_LENGTH})
+                       ELSE least(n, {SQL_LENGTH}) END AS BIGINT) AS used
+      FROM orders, range(1, 8) AS r(n) WHERE o_orderstatus <> 'P')
+GROUP BY 1"""
+SQL_FORECAST_LENGTHS = (
+    f"SELECT days, CAST(rows AS BIGINT) AS rows, CAST(lost AS BIGINT) AS lost, "
+    f"CAST(unusable AS BIGINT) AS unusable FROM ({SQL_FORECAST_LENGTHS})"
+)
+
+
 def _grid(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, folder, "events").select(
         "user_id", F.col("ts").cast("date").alias("day")
@@ -271,6 +307,7 @@ SELECT p_partkey, '[' || array_to_string(list_transform(ws, lambda x, i:
 FROM w"""
 
 QUERIES = {
+    "forecast_lengths": forecast_lengths,
     "explode_forecast": explode_forecast,
     "without_forecast": without_forecast,
     "defaults_filled": defaults_filled,
@@ -283,6 +320,7 @@ QUERIES = {
     "json_columns": json_columns,
 }
 ORACLES = {
+    "forecast_lengths": SQL_FORECAST_LENGTHS,
     "explode_forecast": SQL_EXPLODE_FORECAST,
     "without_forecast": SQL_WITHOUT_FORECAST,
     "defaults_filled": SQL_DEFAULTS_FILLED,
