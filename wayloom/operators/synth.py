@@ -146,6 +146,9 @@ def profile_trips(trips: DataFrame, parse_costs: bool = False) -> TripProfile:
     )
 
 
+#: Cells of one value that are listed at once.
+CELL_BLOCK = 4096
+
 # --- draws from value tables ------------------------------------------------------------
 
 
@@ -174,18 +177,17 @@ def draw_weighted(
     totals = counts.agg(F.sum("count").alias("n"), F.count("*").alias("k"))
     total = totals.select("n").scalar()
     width = totals.select(F.ceil(F.col("n") / F.col("k")).cast("bigint")).scalar()
-    cells = (
-        intervals.withColumn("_width", width)
-        .withColumn(
-            "_cell",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("lo") / F.col("_width")),
-                    F.floor((F.col("hi") - 1) / F.col("_width")),
-                )
-            ),
-        )
-        .select(F.col(value).alias(name), "lo", "hi", "_cell")
+    # Listed in two steps: no row holds an array of more than a block of cells, or of blocks.
+    first, last = F.floor(F.col("lo") / F.col("_width")), F.floor((F.col("hi") - 1) / F.col("_width"))
+    blocks = intervals.withColumn("_width", width).withColumns({"_first": first, "_last": last})
+    blocks = blocks.withColumn(
+        "_block",
+        F.explode(F.sequence(F.floor(F.col("_first") / CELL_BLOCK), F.floor(F.col("_last") / CELL_BLOCK))),
+    )
+    start = F.greatest(F.col("_first"), F.col("_block") * CELL_BLOCK)
+    end = F.least(F.col("_last"), F.col("_block") * CELL_BLOCK + (CELL_BLOCK - 1))
+    cells = blocks.withColumn("_cell", F.explode(F.sequence(start, end))).select(
+        F.col(value).alias(name), "lo", "hi", "_cell"
     )
     placed = rows.withColumn("_at", F.floor(draw * total).cast("bigint")).withColumn(
         "_cell", F.floor(F.col("_at") / width)
