@@ -99,6 +99,17 @@ def test_a_large_group_and_a_common_passage(spark, docs):
     assert sum(r["kept"] for r in found) == 101
 
 
+def test_copies_that_are_alike_only_through_their_source(spark, docs):
+    rng = random.Random(8)
+    base = words(rng, 300)
+    rows = [" ".join(edited(rng, base, 0.02)) for _ in range(60)]
+    rows.insert(40, " ".join(base))
+    apart = np.mean([similarity(rows[i], rows[i + 1]) < 0.8 for i in range(0, 30, 2)])
+    assert apart > 0.8 and min(similarity(rows[40], r) for r in rows) >= 0.8
+    rows = list(enumerate(rows))
+    assert got(minhash.classes(docs(rows))[0]) == brute(rows)
+
+
 def test_chains_are_one_class(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = dict(map(tuple, minhash.components(edges).collect()))

@@ -9,10 +9,10 @@ many shingles it has: the rank axis is cut off where that many have been thrown,
 the rare case that a coordinate is empty.
 
 Sketches are cut into ``BANDS`` bands; texts that agree in a band share a bucket. In each bucket
-the members are compared with a hub, its least text; those that are not its near-duplicates are
-compared with further hubs, whose number doubles each round, until none is left. So a bucket of
-thousands costs a comparison for each member, not for each pair, and no bucket is capped. A pair is
-a link if the weighted Jaccard similarity of its texts is ``THRESHOLD`` or more, computed from all
+the members are compared with a hub, its least text, and then with texts linked to it as long as
+that links more of them. What is left of small buckets is compared to the end; what is left of large
+ones is first dealt anew by two bands together. So a bucket of thousands costs a few comparisons
+for each member, not one for each pair, and none is capped. A pair is a link if the weighted Jaccard similarity of its texts is ``THRESHOLD`` or more, computed from all
 their shingles. Classes are the connected components of the links.
 
 At similarity 0.8 two texts miss all 25 bands with a probability of 5 in 100,000.
@@ -44,6 +44,13 @@ THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
 COORDINATES = BANDS * ROWS
+#: Hubs that a bucket gets at once after the first, out of what is linked to it.
+MORE_HUBS = 4
+#: Buckets of up to so many members are compared to the end as they are. What the hubs leave of
+#: larger ones must agree in one of so many further bands, too: texts of similarity 0.8 that no hub
+#: links miss that in all the buckets they share with a probability of about 0.3 %.
+SMALL = 16
+MORE_BANDS = 3
 #: Edges of the rank cells below 1; above, cells have width 1.
 LOW_EDGES = (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
 UNIT = 2.0**-53
@@ -171,53 +178,130 @@ def verified(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     return joined.select("a", "b", alike.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def candidates(members: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """``(bucket, hub)`` and the pairs ``(bucket, a, b)`` of members with hubs of their bucket.
-
-    A bucket has a hub for each of ``hubs`` parts its members fall into by hash; the hub is the
-    least member of the part. Only aggregates, so a large bucket never meets in one task.
-    """
-    part = F.pmod(F.xxhash64("node", "bucket"), F.lit(hubs))
-    least = members.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("hub"))
-    pairs = members.join(least, "bucket").where(F.col("node") != F.col("hub"))
-    return least, pairs.select("bucket", F.col("node").alias("a"), F.col("hub").alias("b"))
-
-
 def shared_buckets(members: DataFrame) -> DataFrame:
     """The members of buckets that have two or more."""
     large = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     return members.join(stage(large), "bucket", "left_semi")
 
 
-def links(docs: DataFrame, texts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``(bucket, band, node, label)`` of the members of buckets with more than one label."""
+    members = members.select("bucket", "band", "node")
+    if labels is None:
+        members = members.withColumn("label", F.col("node"))
+    else:
+        members = members.join(labels, "node", "left").select(
+            "bucket", "band", "node", F.coalesce("label", "node").alias("label")
+        )
+    members = stage(members)
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return members.join(stage(mixed.where("lo <> hi").select("bucket")), "bucket", "left_semi")
+
+
+def hubs_of(members: DataFrame, parts: int) -> DataFrame:
+    """``(bucket, hub, hub_label)``: the least member of each part that a bucket's members fall
+    into by hash. Only aggregates, so a large bucket never meets in one task."""
+    part = F.pmod(F.xxhash64("node", "bucket"), F.lit(parts)).alias("part")
+    least = members.groupBy("bucket", part).agg(F.min("node").alias("hub"))
+    own = members.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    return stage(least.select("bucket", "hub").join(own, ["bucket", "hub"]))
+
+
+def candidates(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of members with hubs of their bucket that have another label."""
+    pairs = members.join(hubs, "bucket").where(F.col("label") != F.col("hub_label"))
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def refined(left: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Buckets dealt anew: texts must agree in one of the next ``MORE_BANDS`` bands, too."""
+    steps = F.array(*[F.lit(k) for k in range(1, MORE_BANDS + 1)])
+    both = F.transform(
+        steps, lambda k: F.xxhash64("bucket", F.element_at("bands", (F.col("band") + k) % BANDS + 1))
+    )
+    dealt = left.join(sketches, "node").select(F.explode(both).alias("bucket"), "band", "node")
+    return stage(shared_buckets(stage(dealt)))
+
+
+class Links:
+    """Links found so far, the pairs already compared, and the components they make."""
+
+    def __init__(self, units: DataFrame, threshold: float):
+        self.units, self.threshold = units, threshold
+        none = units.where(F.lit(False)).select(F.col("node").alias("a"), F.col("node").alias("b"))
+        self.tested, self.kept, self.labels = none, verified(none, units, threshold), None
+
+    def compare(self, pairs: DataFrame) -> None:
+        new = stage(pairs.join(self.tested, ["a", "b"], "left_anti"))
+        self.tested = self.tested.unionByName(new)
+        more = stage(verified(new, self.units, self.threshold).distinct())
+        if not more.isEmpty():
+            self.kept = self.kept.unionByName(more)
+            self.labels = stage(components(self.kept))
+
+    def grow(self, members: DataFrame) -> DataFrame:
+        """Compare each bucket with its least member, and then with members that were linked to it,
+        a few at a time, as long as that links more of the bucket; returns the members of buckets
+        that still have several labels.
+
+        A text between others that are not alike themselves, such as the source of many edited
+        copies, is so found as soon as one of them is a hub.
+        """
+        open_ = stage(labelled(members, self.labels))
+        rest, used, first = open_.limit(0), None, None
+        while not open_.isEmpty():
+            if used is None:
+                hubs = first = hubs_of(open_, 1)
+                used = hubs.select("bucket", F.col("hub").alias("node"))
+            else:
+                core = open_.join(first.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_semi")
+                core = core.select("bucket", "label")
+                linked = open_.join(core, ["bucket", "label"], "left_semi")
+                hubs = hubs_of(linked.join(used, ["bucket", "node"], "left_anti"), MORE_HUBS)
+                used = stage(used.unionByName(hubs.select("bucket", F.col("hub").alias("node"))))
+            self.compare(candidates(open_, hubs))
+            before = open_.select("bucket", "node", F.col("label").alias("former"))
+            now = stage(labelled(open_, self.labels))
+            moved = now.join(before, ["bucket", "node"]).where(F.col("label") != F.col("former"))
+            going = stage(moved.select("bucket").distinct())
+            rest = rest.unionByName(now.join(going, "bucket", "left_anti"))
+            open_ = stage(now.join(going, "bucket", "left_semi"))
+        return stage(labelled(rest, self.labels))
+
+    def finish(self, members: DataFrame) -> None:
+        """Compare members with hubs whose number grows each round, until every member of a bucket
+        was one or is in the class of one."""
+        left, parts = stage(labelled(members, self.labels)), SMALL
+        while not left.isEmpty():
+            hubs = hubs_of(left, parts)
+            self.compare(candidates(left, hubs))
+            now = stage(labelled(left, self.labels))
+            own = now.withColumnRenamed("node", "hub").join(hubs.select("bucket", "hub"), ["bucket", "hub"], "left_semi")
+            settled = stage(own.select("bucket", "label").distinct())
+            left = stage(labelled(now.join(settled, ["bucket", "label"], "left_anti"), self.labels))
+            parts *= 4
+
+
+def links(docs: DataFrame, texts: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Verified links ``(a, b, similarity)`` between texts that share a bucket.
 
-    ``texts`` has ``(node, digest, rep_id)``; ``docs`` has ``(id, digest, text)``.
+    ``texts`` has ``(node, digest, rep_id)``; ``docs`` has ``(id, digest, text)``; ``sketches`` has
+    ``(node, bands)``.
     """
+    members = stage(sketches.select(F.posexplode("bands").alias("band", "bucket"), "node"))
     members = stage(shared_buckets(members))
     needed = texts.join(members.select("node").distinct(), "node", "left_semi")
     held = needed.select("node", F.col("digest").alias("of"), "rep_id")
     found = docs.join(held, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep_id")))
     units = stage(with_elements(found.select("node", F.col("text").cast("binary").alias("text"))))
-    tested, kept, hubs = None, None, 1
-    while True:
-        least, pairs = candidates(members, hubs)
-        pairs = stage(pairs)
-        if pairs.isEmpty():
-            return kept if kept is not None else verified(pairs.select("a", "b"), units, threshold)
-        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-        new = stage(new)
-        tested = new if tested is None else tested.unionByName(new)
-        more = stage(verified(new, units, threshold).distinct())
-        kept = more if kept is None else kept.unionByName(more)
-        # Hubs and members with a link to a hub of the bucket are settled there.
-        both = kept.select("a", "b").unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        settled = pairs.join(both, ["a", "b"], "left_semi").select("bucket", F.col("a").alias("node"))
-        settled = settled.unionByName(least.select("bucket", F.col("hub").alias("node"))).distinct()
-        members = stage(shared_buckets(stage(members.join(settled, ["bucket", "node"], "left_anti"))))
-        hubs *= 2
+    state = Links(units, threshold)
+    left = state.grow(members)
+    counts = stage(left.groupBy("bucket").agg(F.count("*").alias("n")))
+    large = left.join(counts.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
+    again = state.grow(refined(stage(large), sketches))
+    small = left.join(counts.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
+    state.finish(small.unionByName(again))
+    return state.kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,23 +345,22 @@ def classes(
         )
     )
     texts = stage(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("rep_id")))
-    sketches = rows.select("row", "bands").join(texts.select(F.col("node").alias("row")), "row", "left_semi")
-    members = sketches.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
-    found = stage(links(source, texts, stage(members), threshold))
+    sketches = rows.select(F.col("row").alias("node"), "bands").join(texts.select("node"), "node", "left_semi")
+    found = stage(links(source, texts, stage(sketches), threshold))
     labels = stage(components(found))
     of_texts = stage(
         texts.join(labels, "node", "left").select("digest", "node", "rep_id", F.coalesce("label", "node").alias("label"))
     )
-    labelled = stage(rows.select("id", "row", "digest").join(of_texts.select("digest", "label"), "digest"))
-    sums = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    firsts = labelled.join(stage(sums), "label")
+    placed = stage(rows.select("id", "row", "digest").join(of_texts.select("digest", "label"), "digest"))
+    sums = placed.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    firsts = placed.join(stage(sums), "label")
     # One row stays, also where ids repeat or all are null: the first of those with the least id.
     least = (
         firsts.where(F.col("id").eqNullSafe(F.col("class_id")))
         .groupBy("label")
         .agg(F.min("row").alias("kept_row"), F.first("class_id").alias("class_id"), F.first("class_size").alias("class_size"))
     )
-    result = labelled.join(stage(least), "label").select(
+    result = placed.join(stage(least), "label").select(
         "id", "digest", "row", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("kept")
     )
     names = of_texts.select("node", "rep_id")
