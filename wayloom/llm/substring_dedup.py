@@ -7,9 +7,10 @@ are the same in every text and every task without a dictionary. Equal passages t
 symbols except at their borders, where a neighbour outside may be drawn in. What cannot be touched
 from outside, the interior of a passage, is known from the passage alone.
 
-Every window of ``LENGTH`` words is represented by the first symbol of its interior in the last
-round that leaves it one; equal windows have equal representatives, and a text of n words has only
-about n / 8 of them. So it goes:
+Every window of ``LENGTH`` words is represented by the first ``SYMBOLS`` symbols of its interior
+in the last round that leaves it so many; equal windows have equal representatives, neighbouring
+windows mostly share theirs, and some 15 words stand behind one, more than unrelated texts share.
+So it goes:
 
 1. Representatives of all texts are counted by name, between texts and within them. Names found
    once prove all their windows unique.
@@ -45,13 +46,15 @@ from wayloom.session import stage
 
 LENGTH = 35
 #: Rounds of runs (r) and of pairs (p). Runs cost a window more of its border than pairs.
-ROUNDS = "rppprpppp"
+ROUNDS = "rpppppp"
+#: More symbols tell texts apart better, fewer are shared by more neighbouring windows.
+SYMBOLS = 3
 #: Words that are recompressed together.
 CHUNK = 200_000
 
 
 def representatives(ids: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window: its first word, the name that represents it, and which symbol that is.
+    """For every window: its first word, the name that represents it, and where that stands.
 
     ``ids`` are the words of several texts, text k being ``ids[bounds[k]:bounds[k + 1]]``.
     """
@@ -60,6 +63,17 @@ def representatives(ids: np.ndarray, bounds: np.ndarray, length: int) -> tuple[n
     symbols, begin, end = ids, first.copy(), first + length
     names, places = np.zeros(len(first), np.uint64), np.zeros(len(first), np.int64)
     alive = np.arange(len(first))
+
+    def settle(number: int, which: np.ndarray) -> None:
+        """Represent windows by their interior as it is before this round."""
+        at, size = begin[which], np.minimum(end[which] - begin[which], SYMBOLS)
+        found = symbols[at]
+        for k in range(1, SYMBOLS):
+            more = size > k
+            found[more] = mix(found[more] * GOLDEN + symbols[at[more] + k])
+        names[alive[which]] = mix(found + mix(np.array([number + 1], np.uint64)))
+        places[alive[which]] = (number << 40) + at
+
     for number, kind in enumerate(ROUNDS):
         salt = mix(np.array([number + 1], np.uint64))[0]
         same = owner[1:] == owner[:-1]
@@ -89,19 +103,16 @@ def representatives(ids: np.ndarray, bounds: np.ndarray, length: int) -> tuple[n
             last = end - 1 - ~right[end - 1]
             new_begin = at[np.minimum(inner, len(symbols) - 1)]
             new_end = np.where(last >= inner, at[last] + 1, new_begin)
-        gone = new_begin >= new_end
+        gone = new_end - new_begin < SYMBOLS
         if gone.any():
-            names[alive[gone]] = mix(symbols[begin[gone]] + salt)
-            places[alive[gone]] = (number << 40) + begin[gone]
+            settle(number, gone)
             left = ~gone
             alive, new_begin, new_end = alive[left], new_begin[left], new_end[left]
         symbols, owner, begin, end = renamed, owner[starts], new_begin, new_end
         if not len(alive):
             break
     if len(alive):
-        salt = mix(np.array([len(ROUNDS) + 1], np.uint64))[0]
-        names[alive] = mix(symbols[begin] + salt)
-        places[alive] = (len(ROUNDS) << 40) + begin
+        settle(len(ROUNDS), np.ones(len(alive), bool))
     return first, names, places
 
 
@@ -130,7 +141,7 @@ _OUTLINE = "id long, digest binary, n_words long, kept binary, names array<long>
 
 def outlines(rows: DataFrame, length: int) -> DataFrame:
     """Of rows ``(id, digest, text)``: word count, SHA-256 of the joined words, the distinct names
-    of the text's representatives, and those of them that more than one of its symbols has."""
+    of the text's representatives, and those of them that it has in more than one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
