@@ -110,6 +110,44 @@ def test_copies_that_are_alike_only_through_their_source(spark, docs):
     assert got(minhash.classes(docs(rows))[0]) == brute(rows)
 
 
+def test_sets_that_link_to_one_member_of_a_large_class_only(spark):
+    """Copies of copies in one bucket: alike to one member, not to its hubs nor to other copies."""
+    sets = [[*range(100), 1000 + i] for i in range(150)]
+    for k in range(10):
+        member = [*range(92), *range(2000 + 16 * k, 2008 + 16 * k)]
+        sets += [member, [*member[8:], *range(2008 + 16 * k, 2016 + 16 * k)]]
+    units = spark.createDataFrame(list(enumerate(sets)), "node long, units array<int>")
+    members = spark.createDataFrame([(7, 0, i) for i in range(len(sets))], "bucket long, band int, node long")
+    state = minhash.Links(units, 0.8)
+    state.finish(members)
+    assert dict(map(tuple, state.labels.collect())) == {i: 0 for i in range(len(sets))}
+
+
+def test_pairs_by_rare_units_miss_none(spark):
+    rng = random.Random(4)
+    sets = {}
+    for k in range(240):
+        if k % 3:
+            source = list(sets[k - k % 3])
+            cut = source[: max(1, round(len(source) * rng.choice([1, 0.95, 0.9, 0.8])))]
+            own = cut[: max(1, round(len(cut) * rng.choice([1, 0.97, 0.9, 0.8])))]
+            sets[k] = {*own, *rng.sample(range(9000), rng.choice([0, 1, len(cut) // 10]))}
+        else:
+            sets[k] = {*range(rng.choice([0, 0, 5, 20])), *rng.sample(range(9000), rng.choice([1, 2, 5, 10, 40]))}
+    units = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node long, units array<int>")
+    labels = {k: k if k % 4 else 0 for k in sets}
+    nodes = spark.createDataFrame(list(labels.items()), "node long, label long")
+    found = {tuple(r) for r in minhash.alike_by_rare_units(nodes, units, 0.8).collect()}
+    true = {
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and labels[a] != labels[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    assert len(true) > 50 and true <= found
+    assert all(labels[a] != labels[b] for a, b in found)
+
+
 def test_chains_are_one_class(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = dict(map(tuple, minhash.components(edges).collect()))

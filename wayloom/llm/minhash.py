@@ -10,9 +10,9 @@ the rare case that a coordinate is empty.
 
 Sketches are cut into ``BANDS`` bands; texts that agree in a band share a bucket. In each bucket
 the members are compared with a hub, its least text, and then with texts linked to it as long as
-that links more of them. What is left of small buckets is compared to the end; what is left of large
-ones is first dealt anew by two bands together. So a bucket of thousands costs a few comparisons
-for each member, not one for each pair, and none is capped. A pair is a link if the weighted Jaccard similarity of its texts is ``THRESHOLD`` or more, computed from all
+that links more of them. Of large buckets, what is left is first dealt anew by two bands together.
+Then all that are left are compared with every text of another class that can reach the threshold
+with them by the sizes and the rarest shingles of both, which is exact. A pair is a link if the weighted Jaccard similarity of its texts is ``THRESHOLD`` or more, computed from all
 their shingles. Classes are the connected components of the links.
 
 At similarity 0.8 two texts miss all 25 bands with a probability of 5 in 100,000.
@@ -51,6 +51,8 @@ MORE_HUBS = 4
 #: links miss that in all the buckets they share with a probability of about 0.3 %.
 SMALL = 16
 MORE_BANDS = 3
+#: What bounds on sizes are widened by, against rounding.
+EPSILON = 1e-6
 #: Edges of the rank cells below 1; above, cells have width 1.
 LOW_EDGES = (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
 UNIT = 2.0**-53
@@ -213,6 +215,57 @@ def candidates(members: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def rare_first(nodes: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """``(unit, node, label, size, place)``: the rarest units of each node, as many as a set of the
+    threshold's similarity, equal in size or smaller, cannot all lack.
+
+    ``place`` counts from the rarest unit. Units of one node only come first and are left out.
+    """
+    held = units.join(nodes, "node").select("node", "label", F.size("units").alias("size"), F.explode("units").alias("unit"))
+    held = stage(held)
+    common = held.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1")
+    found = held.join(common, "unit").groupBy("node", "label", "size")
+    found = found.agg(F.sort_array(F.collect_list(F.struct("n", "unit"))).alias("units"))
+    placed = found.select("node", "label", "size", F.size("units").alias("of"), F.posexplode("units").alias("at", "unit"))
+    placed = placed.select(
+        F.col("unit.unit").alias("unit"), "node", "label", "size", (F.col("size") - F.col("of") + F.col("at")).alias("place")
+    )
+    return placed.where(F.col("place") <= F.col("size") * (1 - threshold) + EPSILON)
+
+
+def alike_by_rare_units(nodes: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` of rows ``(node, label)`` that differ in label and may reach the threshold.
+
+    Two sets of that similarity share at least ``threshold / (1 + threshold)`` of their sizes' sum.
+    If both are in one order, the first unit that they share has so many from there on in either
+    set; so it is among the rarest of both, and one equality join on those finds every such pair.
+    Units of one label only are left out, and the largest label of a unit is not joined to itself.
+    """
+    held = stage(rare_first(nodes, units, threshold))
+    counts = held.groupBy("unit", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("unit").agg(F.count("*").alias("labels"), F.max_by("label", "n").alias("most"))
+    held = held.join(most.where("labels > 1").drop("labels"), "unit")
+    held = stage(held.withColumn("other", F.col("label") != F.col("most")).drop("most"))
+    share = threshold / (1 + threshold)
+    low = held.where(F.col("place") <= F.col("size") * (1 - 2 * share) + EPSILON)
+    low = low.select("unit", *[F.col(c).alias(f"{c}_low") for c in ("node", "label", "size", "place", "other")])
+    fits = (
+        (F.col("label") != F.col("label_low"))
+        & (F.struct("size_low", "node_low") < F.struct("size", "node"))
+        & (F.col("size_low") >= F.col("size") * threshold - EPSILON)
+        & (
+            F.least(F.col("size") - F.col("place"), F.col("size_low") - F.col("place_low"))
+            >= (F.col("size") + F.col("size_low")) * share - EPSILON
+        )
+    )
+    found = [
+        low.where(mine).join(held.where(theirs), "unit").where(fits)
+        for mine, theirs in ((F.col("other_low"), F.lit(True)), (~F.col("other_low"), F.col("other")))
+    ]
+    pairs = found[0].unionByName(found[1])
+    return pairs.select(F.least("node", "node_low").alias("a"), F.greatest("node", "node_low").alias("b")).distinct()
+
+
 def refined(left: DataFrame, sketches: DataFrame) -> DataFrame:
     """Buckets dealt anew: texts must agree in one of the next ``MORE_BANDS`` bands, too."""
     steps = F.array(*[F.lit(k) for k in range(1, MORE_BANDS + 1)])
@@ -269,17 +322,10 @@ class Links:
         return stage(labelled(rest, self.labels))
 
     def finish(self, members: DataFrame) -> None:
-        """Compare members with hubs whose number grows each round, until every member of a bucket
-        was one or is in the class of one."""
-        left, parts = stage(labelled(members, self.labels)), SMALL
-        while not left.isEmpty():
-            hubs = hubs_of(left, parts)
-            self.compare(candidates(left, hubs))
-            now = stage(labelled(left, self.labels))
-            own = now.withColumnRenamed("node", "hub").join(hubs.select("bucket", "hub"), ["bucket", "hub"], "left_semi")
-            settled = stage(own.select("bucket", "label").distinct())
-            left = stage(labelled(now.join(settled, ["bucket", "label"], "left_anti"), self.labels))
-            parts *= 4
+        """Compare all members that may still be linked to one of another class."""
+        left = stage(labelled(members, self.labels))
+        if not left.isEmpty():
+            self.compare(alike_by_rare_units(left.select("node", "label").distinct(), self.units, self.threshold))
 
 
 def links(docs: DataFrame, texts: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
