@@ -123,6 +123,21 @@ def test_sets_that_link_to_one_member_of_a_large_class_only(spark):
     assert dict(map(tuple, state.labels.collect())) == {i: 0 for i in range(len(sets))}
 
 
+def test_pairs_in_large_buckets_need_no_further_band(spark):
+    """Two texts alike in one large bucket, which no hub links and which agree in that band only."""
+    sets = [[*range(50), *range(1000 + 60 * i, 1060 + 60 * i)] for i in range(60)]
+    sets += [[*sets[k][:104], *range(9000 + 6 * k, 9006 + 6 * k)] for k in (35, 45, 55)]
+    schema = "doc_id long, text string"
+    texts = [" ".join(f"w{u}" for u in s) for s in sets]
+    frame = spark.createDataFrame(list(enumerate(texts)), schema)
+    keys = [[1, *range(100 * i + 10, 100 * i + 34)] for i in range(len(sets))]
+    docs = frame.selectExpr("doc_id id", "unhex(md5(text)) digest", "text")
+    nodes = docs.selectExpr("id node", "digest", "id rep_id")
+    sketches = spark.createDataFrame(list(enumerate(keys)), "node long, bands array<long>")
+    found = {(r["a"], r["b"]) for r in minhash.links(docs, nodes, sketches, 0.8).collect()}
+    assert found == {(35, 60), (45, 61), (55, 62)}
+
+
 def test_pairs_by_rare_units_miss_none(spark):
     rng = random.Random(4)
     sets = {}

@@ -10,9 +10,9 @@ the rare case that a coordinate is empty.
 
 Sketches are cut into ``BANDS`` bands; texts that agree in a band share a bucket. In each bucket
 the members are compared with a hub, its least text, and then with texts linked to it as long as
-that links more of them. Of large buckets, what is left is first dealt anew by two bands together.
-Then all that are left are compared with every text of another class that can reach the threshold
-with them by the sizes and the rarest shingles of both, which is exact. A pair is a link if the weighted Jaccard similarity of its texts is ``THRESHOLD`` or more, computed from all
+that links more of them, for two rounds. All that are left, in small buckets and large ones alike, are compared with
+every text of another class that can reach the threshold with them by the sizes and the rarest
+shingles of both, which is exact. A pair is a link if the weighted Jaccard similarity of its texts is ``THRESHOLD`` or more, computed from all
 their shingles. Classes are the connected components of the links.
 
 At similarity 0.8 two texts miss all 25 bands with a probability of 5 in 100,000.
@@ -46,11 +46,8 @@ ROWS = 5
 COORDINATES = BANDS * ROWS
 #: Hubs that a bucket gets at once after the first, out of what is linked to it.
 MORE_HUBS = 4
-#: Buckets of up to so many members are compared to the end as they are. What the hubs leave of
-#: larger ones must agree in one of so many further bands, too: texts of similarity 0.8 that no hub
-#: links miss that in all the buckets they share with a probability of about 0.3 %.
-SMALL = 16
-MORE_BANDS = 3
+#: Rounds of hubs. They only save time, as all pairs that they leave are compared afterwards.
+HUB_ROUNDS = 2
 #: What bounds on sizes are widened by, against rounding.
 EPSILON = 1e-6
 #: Edges of the rank cells below 1; above, cells have width 1.
@@ -266,16 +263,6 @@ def alike_by_rare_units(nodes: DataFrame, units: DataFrame, threshold: float) ->
     return pairs.select(F.least("node", "node_low").alias("a"), F.greatest("node", "node_low").alias("b")).distinct()
 
 
-def refined(left: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Buckets dealt anew: texts must agree in one of the next ``MORE_BANDS`` bands, too."""
-    steps = F.array(*[F.lit(k) for k in range(1, MORE_BANDS + 1)])
-    both = F.transform(
-        steps, lambda k: F.xxhash64("bucket", F.element_at("bands", (F.col("band") + k) % BANDS + 1))
-    )
-    dealt = left.join(sketches, "node").select(F.explode(both).alias("bucket"), "band", "node")
-    return stage(shared_buckets(stage(dealt)))
-
-
 class Links:
     """Links found so far, the pairs already compared, and the components they make."""
 
@@ -294,15 +281,17 @@ class Links:
 
     def grow(self, members: DataFrame) -> DataFrame:
         """Compare each bucket with its least member, and then with members that were linked to it,
-        a few at a time, as long as that links more of the bucket; returns the members of buckets
-        that still have several labels.
+        a few at a time, as long as that links more of the bucket and for ``HUB_ROUNDS`` at most;
+        returns the members of buckets that still have several labels.
 
         A text between others that are not alike themselves, such as the source of many edited
         copies, is so found as soon as one of them is a hub.
         """
         open_ = stage(labelled(members, self.labels))
         rest, used, first = open_.limit(0), None, None
-        while not open_.isEmpty():
+        for _ in range(HUB_ROUNDS):
+            if open_.isEmpty():
+                break
             if used is None:
                 hubs = first = hubs_of(open_, 1)
                 used = hubs.select("bucket", F.col("hub").alias("node"))
@@ -319,7 +308,7 @@ class Links:
             going = stage(moved.select("bucket").distinct())
             rest = rest.unionByName(now.join(going, "bucket", "left_anti"))
             open_ = stage(now.join(going, "bucket", "left_semi"))
-        return stage(labelled(rest, self.labels))
+        return stage(labelled(rest.unionByName(open_), self.labels))
 
     def finish(self, members: DataFrame) -> None:
         """Compare all members that may still be linked to one of another class."""
@@ -341,12 +330,7 @@ def links(docs: DataFrame, texts: DataFrame, sketches: DataFrame, threshold: flo
     found = docs.join(held, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("rep_id")))
     units = stage(with_elements(found.select("node", F.col("text").cast("binary").alias("text"))))
     state = Links(units, threshold)
-    left = state.grow(members)
-    counts = stage(left.groupBy("bucket").agg(F.count("*").alias("n")))
-    large = left.join(counts.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
-    again = state.grow(refined(stage(large), sketches))
-    small = left.join(counts.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
-    state.finish(small.unionByName(again))
+    state.finish(state.grow(members))
     return state.kept
 
 
