@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wayloom.llm import (
+    bpe_automaton,
     exact_dedup,
     html_extraction,
     license_scan,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_warc": warc.op9_warc,
     "op10_minhash": minhash.op10_minhash,
+    "op13_bpe_automaton": bpe_automaton.op13_bpe_automaton,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL_OP1,
