@@ -6,6 +6,7 @@ from wayloom.llm import (
     bpe_automaton,
     collocations,
     exact_dedup,
+    filter_audit,
     html_extraction,
     license_scan,
     minhash,
@@ -28,11 +29,13 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_warc": warc.op9_warc,
     "op10_minhash": minhash.op10_minhash,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_collocations": collocations.op12_collocations,
     "op13_bpe_automaton": bpe_automaton.op13_bpe_automaton,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL_OP1,
     "op5_mixing": mixing.SQL_OP5,
+    "op11_filter_audit": filter_audit.SQL_OP11,
     "op12_collocations": collocations.SQL_OP12,
 }
