@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from wayloom.llm.common import partitions
 from wayloom.session import discard, listing, matches, scratch_path, stage
@@ -50,11 +50,14 @@ FURTHER = bytes(range(0x80, 0xC0))
 COPY = 1 << FILTERS.index("E")
 #: Bytes of input that a micro-batch brings to each core.
 BYTES_PER_CORE = 32 << 20
+#: Buckets of texts whose state is brought up to date together, for each shuffle partition.
+BUCKETS_PER_PARTITION = 16
 #: Texts that a task settles together before it hands them over.
 MAX_TEXTS = 100_000
 
 PROFILE = "id long, part string, digest binary, mask int"
 HELD = "digest binary, mask int, id long, copy boolean, part string, good boolean, toxic boolean, n long"
+HELD_NAMES = [c.split()[0] for c in HELD.split(", ")]
 CHANGE = "part string, mask int, good boolean, toxic boolean, n long"
 
 
@@ -121,7 +124,7 @@ class Texts(dict):
         ]
         types = [pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.bool_(), pa.int64()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in HELD.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, names=HELD_NAMES)
 
 
 def settled(rows: DataFrame) -> DataFrame:
@@ -144,33 +147,61 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.select("digest", "mask", "id", "part", "good", "toxic").mapInArrow(run, HELD)
 
 
-def changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by the rows that arrived for one text; its state is brought up to date."""
-    smallest, held = state.get if state.exists else (None, "[]")
-    held = {tuple(kind): n for kind, n in json.loads(held)}
-    counts: dict[tuple, int] = {}
+class Retraction(StatefulProcessor):
+    """Changes of the counters by the rows that arrive; keeps each text's smallest id and its rows.
+
+    Texts are grouped in buckets by their digest, so that a call of Python serves many of them; the
+    state is looked up and written text by text.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.texts = handle.getMapState("texts", "digest binary", "smallest long, held string")
+
+    def handleInputRows(
+        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues
+    ) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple, int] = {}
+        for frame in rows:
+            arrived: dict[bytes, list[tuple]] = {}
+            for digest, *row in zip(*(frame[name].tolist() for name in HELD_NAMES)):
+                arrived.setdefault(bytes(digest), []).append(row)
+            for digest, found in arrived.items():
+                kept = self.texts.getValue((digest,))
+                smallest, held = kept if kept else (None, "[]")
+                at, now = changed(counts, smallest, {tuple(kind): n for kind, n in json.loads(held)}, found)
+                now = json.dumps(list(now.items()))
+                if (at, now) != (smallest, held):
+                    self.texts.updateValue((digest,), (at, now))
+        changes = [(kind[0], mask, *kind[1:], n) for (kind, mask), n in counts.items() if n]
+        yield pd.DataFrame(changes, columns=[c.split()[0] for c in CHANGE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def changed(counts: dict, smallest: int | None, held: dict, rows: list[tuple]) -> tuple[int, dict]:
+    """Add a text's rows to the changes; returns its smallest id and the rows of that id by kind.
+
+    Copies come with the smallest id of their task, so there is a smallest one afterwards.
+    """
 
     def count(kind: tuple, mask: int, n: int) -> None:
         counts[kind, mask] = counts.get((kind, mask), 0) + n
 
-    for frame in frames:
-        for _, mask, at, copy, part, good, toxic, n in zip(*(frame[c].tolist() for c in frame.columns)):
-            kind = (part, good, toxic)
-            if not copy and (smallest is None or at < smallest):
-                # The rows held so far turn out to be copies.
-                for old, number in held.items():
-                    count(old, mask, -number)
-                    count(old, mask | COPY, number)
-                smallest, held = at, {}
-            if copy or at > smallest:
-                count(kind, mask | COPY, n)
-            else:
-                count(kind, mask, n)
-                held[kind] = held.get(kind, 0) + n
-    # Copies come with the smallest id of their task, so there is one by now.
-    state.update((smallest, json.dumps([(kind, n) for kind, n in held.items()])))
-    rows = [(kind[0], mask, *kind[1:], n) for (kind, mask), n in counts.items() if n]
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGE.split(", ")])
+    for mask, at, copy, part, good, toxic, n in rows:
+        kind = (part, good, toxic)
+        if not copy and (smallest is None or at < smallest):
+            # The rows held so far turn out to be copies.
+            for old, number in held.items():
+                count(old, mask, -number)
+                count(old, mask | COPY, number)
+            smallest, held = at, {}
+        if copy or at > smallest:
+            count(kind, mask | COPY, n)
+        else:
+            count(kind, mask, n)
+            held[kind] = held.get(kind, 0) + n
+    return smallest, held
 
 
 def counters(
@@ -203,6 +234,8 @@ def counters(
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        # Else each partition's state reserves some megabytes of disk from the start.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }.items():
         own.conf.set(name, value)
     size = batch_bytes or BYTES_PER_CORE * spark.sparkContext.defaultParallelism
@@ -211,10 +244,12 @@ def counters(
     source = f"{path[:-1]}[{path[-1]}]" if is_file else path
     files = own.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", size).parquet(source)
     rows = profiles(files, id_col, part_col, text_col).join(own.read.parquet(labelled), "id", "left")
-    changed = (
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS_PER_PARTITION * partitions(spark)))
+    changes = (
         settled(rows.na.fill(False, ["good", "toxic"]))
-        .groupBy("digest")
-        .applyInPandasWithState(changes, CHANGE, "smallest long, held string", "update", GroupStateTimeout.NoTimeout)
+        .withColumn("bucket", bucket)
+        .groupBy("bucket")
+        .transformWithStateInPandas(Retraction(), CHANGE, "update", "none")
     )
 
     def add(batch: DataFrame, number: int) -> None:
@@ -222,7 +257,7 @@ def counters(
         summed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
 
     query = (
-        changed.writeStream.foreachBatch(add)
+        changes.writeStream.foreachBatch(add)
         .outputMode("update")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
