@@ -46,8 +46,9 @@ def code():
 
 def test_agrees_with_the_library_on_odd_texts(spark, docs):
     rows = list(enumerate(ODD)) + [(None, "no id"), (3, "same id"), (3, "same id")]
-    coded = bpe_automaton.encode(docs(rows), PATH)
+    coded = bpe_automaton.encode(docs(rows), PATH, decoded="again")
     found = bpe_automaton.decode(coded, PATH).collect()
+    assert all(r["again"] == r["text"] for r in found)
     assert sorted((str(r["doc_id"]), r["n_tokens"], ids(r["ids"]), r["text"]) for r in found) == sorted(
         (str(k), len(expected(x)), expected(x), LIBRARY.decode(expected(x), skip_special_tokens=False))
         for k, x in rows

@@ -68,12 +68,14 @@ class Automaton:
     ``limit`` bounds the reader's table and the remembered arcs; results do not depend on it.
     """
 
-    def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], limit: int = 150_000):
+    def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], limit: int = 120_000):
         self.limit = limit
         self.label = {i: x for x, i in vocabulary.items()}
         self._gadgets(vocabulary, merges)
         self._number_arcs()
         self._spell_labels()
+        # Needed to compile only.
+        del self.parts, self.made, self.rank, self.begun, self.taken, self.end, self.number
         self._forget()
 
     def _gadgets(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
@@ -131,12 +133,13 @@ class Automaton:
                 self.number[token] = len(self.number)
                 waiting.append((token, True))
                 waiting += [(t, False) for t in reversed(self.begun[token])]
-        self.cuts = [(0, 0, 0, 0)]
-        for v, time in self.taken[1:]:
+        #: Two intervals of arcs that each state lacks and its parent may have.
+        self.cuts = np.zeros((len(self.parent), 2, 2), np.int32)
+        for state, (v, time) in enumerate(self.taken[1:], 1):
             later = self.begun[v]
             at = bisect_left(later, time, key=self.made.__getitem__)
             low = self.number[later[at]] if at < len(later) else self.end[v]
-            self.cuts.append((self.number[v], self.number[v] + 1, low, self.end[v]))
+            self.cuts[state] = (self.number[v], self.number[v] + 1), (low, self.end[v])
 
     def _spell_labels(self) -> None:
         """The labels as a trie whose nodes span ranges of the tokens sorted by label."""
@@ -165,35 +168,38 @@ class Automaton:
         self.high[0] = len(tokens)
 
     def _forget(self) -> None:
-        self.open: dict[int, np.ndarray] = {}
-        self.place = {((START, 0),): 0}
-        self.reached = [((START, 0),)]
-        self.rows: list[dict[int, int]] = [{}]
-        self.last: list[int] = [-1]
+        self.open: dict[int, int] = {}
+        #: The reader's states, by what they are made of: the token that ends, and begun arcs.
+        self.place: dict[tuple[int, ...], int] = {(-1, START): 0}
+        self.made_of = [(-1, START)]
+        #: Transitions by state and byte, and the token that ends in each state.
+        self.table: dict[int, int] = {}
+        self.last = [-1]
 
     def arcs(self, state: int) -> int:
         """The arcs of a state: bit k is set if the k-th token by label has one."""
         found = self.open.get(state)
         if found is None:
-            edges = np.zeros(len(self.number) + 1, np.int32)
-            cuts, at = [self.cuts[START]], state
+            edges = np.zeros(len(self.sorted_numbers) + 1, np.int32)
+            chain, at = [START], state
             while at != START:
-                cuts.append(self.cuts[at])
+                chain.append(at)
                 at = self.parent[at]
-            for low, high in np.array(cuts).reshape(-1, 2, 2).transpose(1, 2, 0):
+            for low, high in self.cuts[chain].transpose(1, 2, 0):
                 np.add.at(edges, low, 1)
                 np.add.at(edges, high, -1)
             kept = (np.cumsum(edges)[:-1] == 0)[self.sorted_numbers]
             found = int.from_bytes(np.packbits(kept, bitorder="little").tobytes(), "little")
-            if len(self.open) > self.limit // 20:
+            if len(self.open) > self.limit // 30:
                 self.open.clear()
             self.open[state] = found
         return found
 
     def _fill(self, at: int, byte: int) -> int:
         """The transition of the reader's state ``at``, put into the table."""
-        begun, token = [], None
-        for state, node in self.reached[at]:
+        begun, token, n_nodes = [], -1, len(self.next)
+        for arc in self.made_of[at][1:]:
+            state, node = divmod(arc, n_nodes)
             node = self.next[node].get(byte)
             if node is None:
                 continue
@@ -203,25 +209,23 @@ class Automaton:
                     token = self.ends[node]
                 arcs, width = arcs >> 1, width - 1
             if arcs & ((1 << width) - 1):
-                begun.append((state, node))
-        begun.append((self.after[token], 0))
-        key = (token, *begun)
+                begun.append(state * n_nodes + node)
+        key = (token, *begun, self.after[token] * n_nodes)
         if key not in self.place:
-            self.place[key] = len(self.rows)
-            self.reached.append(tuple(begun))
-            self.rows.append({})
+            self.place[key] = len(self.last)
+            self.made_of.append(key)
             self.last.append(token)
-        self.rows[at][byte] = found = self.place[key]
+        self.table[at << 8 | byte] = found = self.place[key]
         return found
 
     def encode(self, word: bytes) -> list[int]:
-        if len(self.rows) > self.limit:
+        if len(self.last) > self.limit:
             self._forget()
-        at, ending = 0, []
+        at, ending, table, last = 0, [], self.table, self.last
         for byte in word:
             # No transition leads back to state 0.
-            at = self.rows[at].get(byte) or self._fill(at, byte)
-            ending.append(self.last[at])
+            at = table.get(at << 8 | byte) or self._fill(at, byte)
+            ending.append(last[at])
         left, found = len(word), []
         while left:
             token = ending[left - 1]
@@ -233,7 +237,7 @@ class Automaton:
 class Memory(dict):
     """Short texts to what ``make`` gives for them; remembers up to ``limit``."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int = 300_000):
+    def __init__(self, make: Callable[[str], bytes], limit: int = 150_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -346,7 +350,7 @@ def coder(path: str) -> Coder:
     return _compiled[path]
 
 
-def groups(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def groups(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose second column has some ``size`` bytes."""
     ends = list(accumulate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()))
     start = 0
@@ -357,24 +361,32 @@ def groups(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatc
         start = stop
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: str | None = None,
+) -> DataFrame:
     """``(id_col, n_tokens, ids)`` of every row, the ids packed as 4 little-endian bytes each.
 
-    ``tokenizer`` is the path of a tokenizer file that every worker has.
+    ``tokenizer`` is the path of a tokenizer file that every worker has. ``decoded`` names a further
+    column for what the ids are decoded to, by the same workers.
     """
-    n_name, ids_name = free(docs.select(id_col), "n_tokens", "ids")
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{n_name}` long, `{ids_name}` binary"
+    names = [id_col, *free(docs.select(id_col), "n_tokens", "ids", *([decoded] if decoded else []))]
+    kinds = [docs.schema[id_col].dataType.simpleString(), "long", "binary", "string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(tokenizer).encode
+        known = coder(tokenizer)
         for batch in batches:
             for part in groups(batch):
-                ids = [code((x or b"").decode("utf-8", "replace")) for x in part.column(1).to_pylist()]
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), counts, pa.array(ids, pa.binary())], names=[id_col, n_name, ids_name]
-                )
+                ids = [known.encode((x or b"").decode("utf-8", "replace")) for x in part.column(1).to_pylist()]
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array(map(known.decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, kinds))
     return docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(run, schema)
 
 
@@ -397,8 +409,7 @@ def op13_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = decode(encode(documents(spark, folder), path), path)
-    return coded.select(
+    return encode(documents(spark, folder), path, decoded="text").select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
