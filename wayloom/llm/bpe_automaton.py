@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -68,9 +69,10 @@ class Automaton:
     ``limit`` bounds the reader's table and the remembered arcs; results do not depend on it.
     """
 
-    def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], limit: int = 120_000):
+    def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], limit: int = 250_000):
         self.limit = limit
         self.label = {i: x for x, i in vocabulary.items()}
+        self.size = {i: len(x) for i, x in self.label.items()}
         self._gadgets(vocabulary, merges)
         self._number_arcs()
         self._spell_labels()
@@ -190,7 +192,7 @@ class Automaton:
                 np.add.at(edges, high, -1)
             kept = (np.cumsum(edges)[:-1] == 0)[self.sorted_numbers]
             found = int.from_bytes(np.packbits(kept, bitorder="little").tobytes(), "little")
-            if len(self.open) > self.limit // 30:
+            if len(self.open) > self.limit // 50:
                 self.open.clear()
             self.open[state] = found
         return found
@@ -221,23 +223,28 @@ class Automaton:
     def encode(self, word: bytes) -> list[int]:
         if len(self.last) > self.limit:
             self._forget()
-        at, ending, table, last = 0, [], self.table, self.last
+        at, path, step, last, size = 0, [0], self.table.get, self.last, self.size
         for byte in word:
             # No transition leads back to state 0.
-            at = table.get(at << 8 | byte) or self._fill(at, byte)
-            ending.append(last[at])
+            at = step(at << 8 | byte) or self._fill(at, byte)
+            path.append(at)
         left, found = len(word), []
         while left:
-            token = ending[left - 1]
+            token = last[path[left]]
             found.append(token)
-            left -= len(self.label[token])
-        return found[::-1]
+            left -= size[token]
+        found.reverse()
+        return found
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Memory(dict):
     """Short texts to what ``make`` gives for them; remembers up to ``limit``."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int = 150_000):
+    def __init__(self, make: Callable[[str], bytes], limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -280,7 +287,7 @@ class Coder:
         self.labels = [label.get(i, b"") for i in range(max(label) + 1)]
         self.known: dict[str, bool] = {}
         #: Packed ids of pieces, and of chunks that follow a blank.
-        self.of_piece = Memory(lambda x: np.array(self.automaton.encode(x.encode()), "<u4").tobytes())
+        self.of_piece = Memory(lambda x: pack(self.automaton.encode(x.encode())))
         self.of_chunk = Memory(lambda x: self.packed(" " + x))
 
     @cached_property
@@ -331,7 +338,7 @@ class Coder:
             return self._encode_plain(text)
         found = []
         for k, part in enumerate(self.between.split(text)):
-            found.append(np.array([self.special[part]], "<u4").tobytes() if k % 2 else self._encode_plain(part))
+            found.append(pack([self.special[part]]) if k % 2 else self._encode_plain(part))
         return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
