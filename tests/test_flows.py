@@ -1,9 +1,11 @@
+import csv
 import datetime as dt
 import json
 
 import fixtures_html as fx
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayloom.operators import quality, validate
 from wayloom.operators.clean import split_by, valid_location
@@ -127,6 +129,77 @@ def test_a_failed_run_leaves_nothing(spark, tmp_path, monkeypatch):
     assert set(listing(spark, f"{shared_dir(spark)}/*")) == before
 
 
+def test_a_run_that_breaks_keeps_the_batches_before(spark, tmp_path, monkeypatch):
+    for k in range(7):
+        cost = "free" if k == 1 else str(k)
+        sinks.write_csv(raw(spark, with_cost(cost, str(k))), f"{tmp_path}/in", f"travel_data_2024010{k + 1}.csv")
+    publish, loads = pickup._publish, []
+
+    def breaks(rows, report, table_path, load, stamp):
+        loads.append(load)
+        if len(loads) == 3:
+            raise RuntimeError("lost")
+        publish(rows, report, table_path, load, stamp)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(pickup, "_publish", breaks)
+        with pytest.raises(RuntimeError, match="lost"):
+            run_pickup(spark, tmp_path, batch_files=2)
+    ids = lambda: sorted(r["Trip_ID"] for r in pickup.loaded_trips(spark, f"{tmp_path}/table").collect())
+    assert ids() == [0, 2, 3]
+    # The withheld file is tried again, once in the run.
+    assert run_pickup(spark, tmp_path, batch_files=2) == pickup.PickupResult(4, 3, 3, 1)
+    assert ids() == [0, 2, 3, 4, 5, 6]
+    assert run_pickup(spark, tmp_path, batch_files=1, multi_line=False) == pickup.PickupResult(1, 0, 0, 1)
+
+
+def write_files(folder, number):
+    heads = ['a,b,"c,d"', "b,a", '\ufeff"c,d",a,x', 'a,"b"']
+    folder.mkdir()
+    for k in range(number):
+        head = heads[k % 4]
+        line = ",".join([str(k)] * len(next(csv.reader([head]))))
+        (folder / f"{k:05d} +é.csv").write_text(f"{head}\n{line}\n", encoding="utf-8")
+
+
+def test_headers_of_many_files_take_the_same_jobs(spark, tmp_path):
+    schema, jobs = "a string, b long, `c,d` string", []
+    for number in (160, 400):
+        write_files(tmp_path / str(number), number)
+        spark.sparkContext.setJobGroup(f"csv-{number}", "headers")
+        read = sources.read_csv(spark, str(tmp_path / str(number)), T.StructType.fromDDL(schema), lineage="f")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"csv-{number}")))
+        got = {r["f"]: r[:3] for r in read.collect()}
+        assert got == {
+            f"{k:05d} +é.csv": (str(k), None if k % 4 == 2 else k, str(k) if k % 4 in (0, 2) else None)
+            for k in range(number)
+        }
+    # Spark lists up to 32 paths without a job; each of the four headers has more here.
+    assert jobs[0] == jobs[1]
+
+
+def test_odd_headers_among_many_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    write_files(folder, 20)
+    (folder / "empty.csv").write_text("")
+    (folder / "blank.csv").write_text("\n\na,b\n1,2\n")
+    (folder / "broken line.csv").write_text('a,"b\nq",b\n7,8,9\n')
+    parts = folder / "parts.csv"
+    parts.mkdir()
+    (parts / "part-0.csv").write_text("")
+    (parts / "part-1.csv").write_text("b,a\n5,6\n")
+    (parts / "part-2.csv").write_text("b,a\n7,8\n")
+    found = sources.read_csv(spark, [str(folder), f"{tmp_path}/none*"], T.StructType.fromDDL("a string, b long"), lineage="f")
+    assert sorted(map(tuple, found.where("f NOT LIKE '0%'").collect())) == [
+        ("1", 2, "blank.csv"),
+        ("6", 5, "parts.csv"),
+        ("7", 9, "broken line.csv"),
+        ("8", 7, "parts.csv"),
+    ]
+    assert found.count() == 24
+    assert sources.read_csv(spark, f"{tmp_path}/none/*.csv", T.StructType.fromDDL("a string")).count() == 0
+
+
 def test_files_without_rows_are_logged(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -335,3 +408,41 @@ def test_ranges_and_grid(spark):
     seen = spark.createDataFrame([("Paris", dt.date(2024, 1, 1))] * 3, "city string, day date")
     assert quality.missing_cells(grid, seen, ["city", "day"]).count() == 9
     assert lists.destinations(spark).count() == 15 and lists.trip_categories(spark).count() == 63
+
+
+def test_rules_reach_into_records_and_elements(spark):
+    schema = (
+        "tags array<string>, stops array<struct<name:string, days:array<string>, at:struct<lat:string>>>, "
+        "place struct<name:string>, alone string"
+    )
+    inner = {"name": ("STRING", "REQUIRED"), "days": ("INTEGER", "REPEATED"), "at": ("RECORD", "REQUIRED", {"lat": ("FLOAT", "NULLABLE")})}
+    rules = {
+        "tags": ("INTEGER", "REPEATED"),
+        "stops": ("RECORD", "REPEATED", inner),
+        "place": ("RECORD", "NULLABLE", {"name": ("STRING", "REQUIRED"), "zip": ("STRING", "REQUIRED")}),
+        "alone": ("STRING", "REPEATED"),
+        "gone": ("RECORD", "REQUIRED", {"x": ("STRING", "REQUIRED")}),
+    }
+    data = [
+        (["1", "2"], [("a", ["3"], ("1.5",)), ("b", [], ("2",))], ("p",), None),
+        (["1", "x", None], [("", ["y", "4", None], None), None, ("c", None, ("north",))], None, "z"),
+        (None, None, (None,), None),
+    ]
+    frame = spark.createDataFrame(data, schema).coalesce(1)
+    found = [r[0] for r in frame.select(validate.violations(frame, rules)).collect()]
+    assert found == [
+        ["place.zip: missing", "gone: missing"],
+        [
+            "tags[1]: not INTEGER",
+            "tags[2]: missing",
+            "stops[0].name: missing",
+            "stops[0].days[0]: not INTEGER",
+            "stops[0].days[2]: missing",
+            "stops[0].at: missing",
+            "stops[1]: missing",
+            "stops[2].at.lat: not FLOAT",
+            "alone: not repeated",
+            "gone: missing",
+        ],
+        ["place.name: missing", "place.zip: missing", "gone: missing"],
+    ]

@@ -61,8 +61,12 @@ def run_trips(
     n: int = trips.BATCH_SIZE,
     seed: int | None = None,
     on_error: str = "fail",
+    multi_line: bool = True,
 ) -> FlowResult:
-    """Generate a batch, then clean and load every trip file not loaded before."""
+    """Generate a batch, then clean and load every trip file not loaded before.
+
+    ``multi_line`` off lets large files be split over tasks, if no value holds a line end.
+    """
     now = now or dt.datetime.now(dt.timezone.utc)
 
     def body(result: FlowResult) -> None:
@@ -77,7 +81,7 @@ def run_trips(
             result.steps["files_generated"] = 1
         if ingest:
             picked = pick_up_trips(
-                spark, folder, table_path, on_error=on_error, ingested_at=now
+                spark, folder, table_path, on_error=on_error, ingested_at=now, multi_line=multi_line
             )
             result.steps["pickup"] = picked
             result.success = picked.files_loaded == picked.files_total
@@ -85,18 +89,23 @@ def run_trips(
     return _timed("trips", body)
 
 
-def clean_file(spark: SparkSession, path: str, folder: str) -> str:
+def clean_file(spark: SparkSession, path: str, folder: str, multi_line: bool = True) -> str:
     """A raw trips file, cleaned, written to ``folder`` as ``<name>_cleaned.csv``; its path."""
-    cleaned = trips.clean_trips(read_csv(spark, path))
+    cleaned = trips.clean_trips(read_csv(spark, path, multi_line=multi_line))
     return file_sinks.write_csv(cleaned, folder, file_sinks.cleaned_name(path))
 
 
 def clean_latest(
-    spark: SparkSession, source: str, folder: str, pattern: str = TRIP_FILES, by: str = "date"
+    spark: SparkSession,
+    source: str,
+    folder: str,
+    pattern: str = TRIP_FILES,
+    by: str = "date",
+    multi_line: bool = True,
 ) -> str | None:
     """:func:`clean_file` of the newest file of a folder; None if there is no file."""
     newest = latest_file(spark, source, pattern, by)
-    return clean_file(spark, newest, folder) if newest else None
+    return clean_file(spark, newest, folder, multi_line) if newest else None
 
 
 def trip_metrics(spark: SparkSession, result: FlowResult, now: dt.datetime) -> DataFrame:

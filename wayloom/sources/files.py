@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import csv
+import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.schemas import FORECAST_PAYLOAD, PAGE, TRIPS_RAW
-from wayloom.session import listing, matches
+from wayloom.session import matches
 
 TRIP_FILES = "*travel_data_*.csv"
 
@@ -20,14 +22,21 @@ def source_file() -> Column:
 
     Spark writes a CSV "file" as a folder of part files; then the folder's name counts.
     """
-    path = F.col("_metadata.file_path")
+    return base_name(_decoded(F.col("_metadata.file_path")))
+
+
+def _decoded(path: Column) -> Column:
     decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return base_name(F.when(F.contains(path, F.lit("%")), decoded).otherwise(path))
+    return F.when(F.contains(path, F.lit("%")), decoded).otherwise(path)
+
+
+def _whole_file(path: Column) -> Column:
+    """The path, that of the folder if it is one of its parts."""
+    return F.regexp_replace(path, r"(\.[A-Za-z0-9]+)/part-[^/]*$", "$1")
 
 
 def base_name(path: Column) -> Column:
-    whole = F.regexp_replace(path, r"(\.[A-Za-z0-9]+)/part-[^/]*$", "$1")
-    return F.element_at(F.split(whole, "/"), -1)
+    return F.element_at(F.split(_whole_file(path), "/"), -1)
 
 
 # The words that usual CSV readers take for a missing value.
@@ -60,14 +69,12 @@ def read_csv(
     and a large file is split over tasks, with it on a file (not a folder of parts) is one task.
     ``lineage`` names a column for the source file. Paths that match nothing give an empty table.
 
-    One file of each folder of parts is opened for its header, several at a time.
+    Headers are looked up by :func:`csv_headers`, in a number of jobs that does not depend on the
+    number of files; files that share a header are read together.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
-    files = [f for p in ([path] if isinstance(path, str) else path) for f in csv_files(spark, p)]
-    with ThreadPoolExecutor(16) as pool:
-        for file, header in zip(files, pool.map(lambda f: _header(spark, f), files)):
-            if header:
-                groups.setdefault(header, []).append(file)
+    for file, header in csv_headers(spark, [path] if isinstance(path, str) else path):
+        groups.setdefault(header, []).append(file)
     tables = [
         _of_header(spark, header, paths, schema, lineage, missing, multi_line)
         for header, paths in groups.items()
@@ -78,17 +85,66 @@ def read_csv(
     return reduce(DataFrame.unionByName, tables)
 
 
-def csv_files(spark: SparkSession, pattern: str) -> list[str]:
-    """The files a path or pattern stands for; a folder of part files is one file."""
-    found = []
-    for path, is_folder in listing(spark, pattern):
-        inside = listing(spark, f"{path}/*") if is_folder else []
-        visible = [x for x in inside if not x[0].rpartition("/")[2].startswith(("_", "."))]
-        if not is_folder or any("/part-" in x[0] for x in visible):
-            found.append(path)
-        else:
-            found += [f for x in visible for f in csv_files(spark, x[0])]
-    return found
+#: Up to here files are opened one by one for their header, which reads no more than that of them.
+FEW_FILES = 8
+
+
+def csv_headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, tuple[str, ...]]]:
+    """Each file with its column names, in order of path; files without a line are left out.
+
+    A folder of part files is one file, whose first part with contents tells the header. One job
+    lists the files and, if they are many, one more takes the first line of each in tasks. A header
+    that goes on over a line end is read again by itself.
+    """
+    paths, found = _listed(spark, paths)
+    if found is None:
+        return []
+    files = found.where("length > 0").groupBy(_whole_file(F.col("path")).alias("file")).agg(
+        F.min("path").alias("first"), F.count("*").alias("parts")
+    )
+    files = files.collect()
+    first = {r["first"]: r["file"] for r in files}
+    if len(first) <= FEW_FILES:
+        headers = {part: _header(spark, part) for part in first}
+    else:
+        # Without folders of parts the paths as given are quicker to list.
+        whole = all(r["parts"] == 1 for r in files)
+        lines = {r["path"]: r["line"] for r in _first_lines(spark, paths if whole else list(first)).collect()}
+        headers = {}
+        for part in first:
+            line = lines.get(_one_slash(part), "")
+            # An open quote or signs that the path is spelt in another way: ask the reader itself.
+            plain = line and line.count('"') % 2 == 0
+            headers[part] = tuple(next(csv.reader([line]))) if plain else _header(spark, part)
+    return sorted((first[part], header) for part, header in headers.items() if header)
+
+
+def _first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, line)``: the first line of each file that is not empty."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select(
+        _decoded(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.ltrim(F.col("value"), F.lit("\ufeff")).alias("line"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    lines = lines.where("start = 0 AND line <> ''")
+    path = F.regexp_replace("path", "^([a-z0-9]+:)/+", "$1/")
+    return lines.groupBy(path.alias("path")).agg(F.min_by("line", "at").alias("line"))
+
+
+def _one_slash(path: str) -> str:
+    """A path whose scheme is followed by one slash, as some of Spark's readers write it."""
+    return re.sub("^([a-z0-9]+:)/+", r"\1/", path)
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> tuple[list[str], DataFrame | None]:
+    """The paths and patterns that find anything, and the files below them; contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        return paths, reader.load(paths)
+    except AnalysisException:
+        paths = [p for p in paths if matches(spark, p)]
+        return paths, reader.load(paths) if paths else None
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
@@ -131,8 +187,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = TRIP_FILES) -> D
         )
     found = spark.read.format("binaryFile").load(f"{folder}/{pattern}")
     # A folder of part files is one file here.
-    path = F.regexp_replace(F.col("path"), r"(\.[A-Za-z0-9]+)/part-[^/]*$", "$1")
-    return found.groupBy(path.alias("path"), base_name(F.col("path")).alias("name")).agg(
+    return found.groupBy(_whole_file(F.col("path")).alias("path"), base_name(F.col("path")).alias("name")).agg(
         F.count("*").alias("parts"),
         F.sum("length").alias("bytes"),
         F.max("modificationTime").alias("modified"),

@@ -4,15 +4,18 @@ The table keeps a log of its files. A run lists the folder, takes the files the
 as loaded, and publishes its rows by adding its lines to the log as the last step: a run that fails
 leaves nothing that readers see, and the next one takes the same files again. A file counts by its
 path, size and time, so one that was withheld and then corrected is tried again, however old its
-time is, and nothing in the folder is moved or renamed. Files of no bytes are not there yet. Runs
-into one table follow each other.
+time is, and nothing in the folder is moved or renamed. Files of no bytes are not there yet. A run
+goes in batches of a named number of files, each with log lines of its own, so what a failure costs
+is one batch. Runs into one table follow each other.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import operator
 import uuid
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ LOG = (
     "malformed_rows long, rows_without_id long, loaded boolean, load string"
 )
 IDENTITY = ("path", "parts", "bytes", "modified")
+#: Files that one step of a run loads and publishes.
+BATCH_FILES = 2000
 
 
 @dataclass(frozen=True)
@@ -41,12 +46,17 @@ class PickupResult:
 
 
 def pending_files(
-    spark: SparkSession, folder: str, table_path: str, pattern: str = TRIP_FILES
+    spark: SparkSession,
+    folder: str,
+    table_path: str,
+    pattern: str = TRIP_FILES,
+    run: str | None = None,
 ) -> DataFrame:
-    """Files of the folder that were not loaded as they are now."""
+    """Files of the folder that were not loaded as they are now, nor tried already by ``run``."""
     found = list_files(spark, folder, pattern).withColumnRenamed("name", "Source_file")
-    loaded = file_log(spark, table_path).where("loaded").select(*IDENTITY)
-    return found.join(loaded, list(IDENTITY), "left_anti")
+    done = F.col("loaded") if run is None else F.col("loaded") | F.col("load").startswith(run)
+    settled = file_log(spark, table_path).where(done).select(*IDENTITY)
+    return found.join(settled, list(IDENTITY), "left_anti")
 
 
 def pick_up_trips(
@@ -56,22 +66,54 @@ def pick_up_trips(
     pattern: str = TRIP_FILES,
     on_error: str = "fail",
     ingested_at: dt.datetime | None = None,
+    batch_files: int = BATCH_FILES,
+    multi_line: bool = True,
 ) -> PickupResult:
     """Clean and load the trip files that are pending.
 
     ``on_error="fail"`` withholds a file with a malformed row as a whole, all of its parts, and
     loads the others; ``"null"`` loads every file with NULL where a value cannot be read, and puts
     rows without an id, which the table needs, aside (:func:`rejected_trips`).
+
+    Files are taken ``batch_files`` at a time, in order of path, and every batch is published by
+    itself: the driver holds the names of one batch, and a run that breaks off keeps the batches
+    before. With ``multi_line`` off, large files whose values hold no line ends are split over tasks.
     """
     stamp = ingested_at or dt.datetime.now(dt.timezone.utc)
+    run = uuid.uuid4().hex
+    total = PickupResult()
+    for number in count():
+        load = f"{run}-{number:06d}"
+        found = _pick_up_batch(
+            spark, folder, table_path, pattern, on_error, stamp, run, load, batch_files, multi_line
+        )
+        total = PickupResult(*map(operator.add, astuple(total), astuple(found)))
+        if found.files_total < batch_files:
+            return total
+
+
+def _pick_up_batch(
+    spark: SparkSession,
+    folder: str,
+    table_path: str,
+    pattern: str,
+    on_error: str,
+    stamp: dt.datetime,
+    run: str,
+    load: str,
+    batch_files: int,
+    multi_line: bool,
+) -> PickupResult:
+    """The next files that this run has not tried, loaded and published as ``load``."""
     folders = [scratch_path(spark, f"pickup-{name}") for name in ("pending", "rows", "report")]
     try:
-        pending = stage(pending_files(spark, folder, table_path, pattern), path=folders[0])
+        waiting = pending_files(spark, folder, table_path, pattern, run)
+        pending = stage(waiting.orderBy("path").limit(batch_files), path=folders[0])
         # Their names are what the reader is given; Spark lists the same files itself.
         paths = [r["path"] for r in pending.select("path").collect()]
         if not paths:
             return PickupResult()
-        read = read_csv(spark, paths, TRIPS_RAW, lineage="Source_file")
+        read = read_csv(spark, paths, TRIPS_RAW, lineage="Source_file", multi_line=multi_line)
         checked = drop_empty_rows(read, TRIP_COLUMNS).withColumns(
             {"_bad": is_malformed(), "_no_id": parse_integer(F.col("Trip ID")).isNull()}
         )
@@ -83,7 +125,6 @@ def pick_up_trips(
             F.count_if("_bad").alias("malformed_rows"),
             F.count_if("_no_id").alias("rows_without_id"),
         )
-        load = uuid.uuid4().hex
         withheld = F.lit(on_error == "fail") & (F.col("malformed_rows") > 0)
         report = pending.join(counts, "Source_file", "left").na.fill(
             0, ["rows", "malformed_rows", "rows_without_id"]
