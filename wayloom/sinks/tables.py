@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayloom.operators import upsert
+from wayloom.operators.lattice import conform, same, widened
 from wayloom.session import discard, matches, scratch_path, stage
 
 
@@ -54,19 +55,6 @@ def quoted(name: str) -> str:
     return ".".join(f"`{part}`" for part in name.split("."))
 
 
-def conform(table: DataFrame, schema: T.StructType) -> DataFrame:
-    """Declared columns in order and type; columns that are absent are NULL."""
-    have = set(table.columns)
-    return table.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in schema.fields
-        ]
-    )
-
-
 def _counted(table: DataFrame) -> tuple[DataFrame, Observation]:
     """Count rows while they are written, not in a second scan."""
     seen = Observation()
@@ -118,22 +106,66 @@ def append(
 
 @reported
 def append_autodetect(table: DataFrame, name: str, report_total: bool = True) -> LoadResult:
-    """Append by column name; columns the table does not have yet are added to it."""
+    """Append by column name, the table's schema following the rows.
+
+    Columns the table does not have yet are added to it. Where a column's values need a wider type
+    (``lattice.wider``) the table is rewritten to it first; types that do not go together fail the
+    load, with nothing written. Narrower values are stored in the table's type.
+    """
     spark = table.sparkSession
     if table.isEmpty():
         return LoadResult("empty")
     ensure_table(spark, name, table.schema)
-    known = set(spark.table(name).columns)
-    new = [f for f in table.schema.fields if f.name not in known]
-    if new:
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+    have = spark.table(name).schema
+    schema = widened(have, table.schema)
+    # What cannot be stored is found before the table is touched.
+    rows = conform(table, schema)
+    if not all(same(new.dataType, old.dataType) for new, old in zip(schema.fields, have.fields)):
+        rewrite(spark, name, schema)
+    elif len(schema) > len(have):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[len(have) :])
         spark.sql(f"ALTER TABLE {quoted(name)} ADD COLUMNS ({columns})")
-    rows, seen = _counted(conform(table, spark.table(name).schema))
+    rows, seen = _counted(rows)
     rows.write.mode("append").insertInto(name)
     written = seen.get["rows"]
     return _loaded(spark, name, written, report_total, inserted=written)
 
 
+def rewrite(spark: SparkSession, name: str, schema: T.StructType) -> None:
+    """Give a table a wider schema: its rows are written anew and the new table takes its name.
+
+    The old table is there until the new one is complete; if the names cannot be changed it stays.
+    All rows are read and written once. A value that the wider type does not hold exactly (a long
+    beyond 2^53 as a double) fails the rewrite and leaves the table as it was.
+    """
+    former = table_location(spark, name)
+    folder = _beside(former)
+    mark = folder[-12:]
+    database, dot, plain = name.rpartition(".")
+    fresh, aside = (f"{database}{dot}{plain}__{kind}_{mark}" for kind in ("new", "old"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    external = spark.catalog.getTable(name).tableType == "EXTERNAL"
+    try:
+        conform(spark.table(name), schema).write.parquet(folder)
+        spark.sql(f"CREATE TABLE {quoted(fresh)} ({columns}) USING parquet LOCATION '{folder}'")
+        spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(aside)}")
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(fresh)}")
+        discard(spark, folder)
+        raise
+    try:
+        spark.sql(f"ALTER TABLE {quoted(fresh)} RENAME TO {quoted(name)}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {quoted(aside)} RENAME TO {quoted(name)}")
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(fresh)}")
+        discard(spark, folder)
+        raise
+    spark.sql(f"DROP TABLE {quoted(aside)}")
+    if external:
+        discard(spark, former)
+    spark.catalog.refreshTable(name)
+
+
 @reported
 def append_new_keys(
     table: DataFrame, name: str, schema: T.StructType, key: str
@@ -163,15 +195,36 @@ def append_new_keys(
 
 @reported
 def truncate_and_load(table: DataFrame, name: str, schema: T.StructType) -> LoadResult:
-    """Replace the whole content."""
+    """Replace the whole content, by a new state beside the old one: a load that fails changes nothing."""
     spark = table.sparkSession
     ensure_table(spark, name, schema)
-    rows, seen = _counted(conform(table, schema))
-    rows.write.mode("overwrite").insertInto(name, overwrite=True)
-    written = seen.get["rows"]
+    former = table_location(spark, name)
+    folder = _beside(former)
+    try:
+        rows, seen = _counted(conform(table, schema))
+        rows.write.parquet(folder)
+        written = seen.get["rows"]
+        _point_at(spark, name, former, folder)
+    except Exception:
+        discard(spark, folder)
+        raise
+    discard(spark, former)
     return LoadResult("loaded", written, rows_total=written, inserted=written)
 
 
+def _beside(location: str) -> str:
+    """A fresh folder for another state of the table that lies at ``location``."""
+    return f"{re.sub('__[0-9a-f]{12}$', '', location)}__{uuid.uuid4().hex[:12]}"
+
+
+def _point_at(spark: SparkSession, name: str, former: str, folder: str) -> None:
+    """Make ``folder`` the table's state, unless another writer has changed the table meanwhile."""
+    if table_location(spark, name) != former:
+        raise RuntimeError(f"{name} was changed by another writer")
+    spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{folder}'")
+    spark.catalog.refreshTable(name)
+
+
 def table_location(spark: SparkSession, name: str) -> str:
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").where("col_name = 'Location'")
     return rows.first()["data_type"]
@@ -218,16 +271,12 @@ def merge_into(
             F.count_if(status == "updated").alias("updated"),
             F.count_if(status == "inserted").alias("inserted"),
         )
-        base = re.sub("__[0-9a-f]{12}$", "", former)
-        folder = f"{base}__{uuid.uuid4().hex[:12]}"
+        folder = _beside(former)
         observed.drop(upsert.STATUS).write.parquet(folder)
         counts = seen.get
-        if table_location(spark, name) != former:
-            raise RuntimeError(f"{name} was changed by another writer")
-        spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{folder}'")
+        _point_at(spark, name, former, folder)
         # From here on the new folder is the table's.
         folder = None if keep_previous else former
-        spark.catalog.refreshTable(name)
         return LoadResult(
             "loaded",
             rows_in=rows_in,
