@@ -19,44 +19,91 @@ _SCALARS = {
 }
 
 
-def violations(table: DataFrame, rules: Mapping[str, tuple[str, str]]) -> Column:
+def violations(table: DataFrame, rules: Mapping[str, tuple]) -> Column:
     """Array with one message per broken rule, empty for a valid record.
 
-    A rule is ``field: (type, mode)``. REQUIRED needs a value (text must not be empty),
-    REPEATED an array, and any value that is present must be of the type or castable to it.
-    A field the table lacks counts as missing in every row.
+    A rule is ``field: (type, mode)``. REQUIRED needs a value (text must not be empty), REPEATED an
+    array, and any value that is present must be of the type or castable to it. A field the table
+    lacks counts as missing in every row.
+
+    The elements of a REPEATED field are looked at one by one, if their column can be of the type at
+    all, and must not be NULL. A RECORD may
+    have rules of its own, ``field: ("RECORD", mode, rules)``, for each record that is there.
+    Messages begin with the path, counted from 0: ``attractions[3].name: missing``.
     """
-    types = {field.name: field.dataType for field in table.schema.fields}
-    checks = []
-    for field, (kind, mode) in rules.items():
-        if field not in types:
+    found = {field.name: (F.col(f"`{field.name}`"), field.dataType) for field in table.schema.fields}
+    return _messages(found, rules, F.lit(""))
+
+
+def _messages(found: Mapping[str, tuple[Column, T.DataType]], rules: Mapping[str, tuple], above: Column) -> Column:
+    """What is wrong with the fields of one record whose path is ``above``."""
+    parts = [F.array().cast("array<string>")]
+    for field, rule in rules.items():
+        kind, mode = rule[:2]
+        nested = rule[2] if len(rule) > 2 else {}
+        path = F.concat(above, F.lit(field))
+        if field not in found:
             if mode == "REQUIRED":
-                checks.append(F.lit(f"{field}: missing"))
+                parts.append(F.array(F.concat(path, F.lit(": missing"))))
             continue
-        value, found = F.col(field), types[field]
-        if mode == "REQUIRED":
-            absent = value.isNull()
-            if isinstance(found, T.StringType):
-                absent = absent | (value == "")
-            checks.append(F.when(absent, f"{field}: missing"))
-        if mode == "REPEATED" and not isinstance(found, T.ArrayType):
-            checks.append(F.when(value.isNotNull(), f"{field}: not repeated"))
+        value, held = found[field]
+        if mode == "REPEATED":
+            parts.append(_repeated(value, held, kind, nested, path))
             continue
-        element = found.elementType if isinstance(found, T.ArrayType) else found
-        checks.append(F.when(_wrong_type(value, element, kind), f"{field}: not {kind}"))
-    return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+        element = held.elementType if isinstance(held, T.ArrayType) else held
+        wrong = _wrong_type(value, element, kind)
+        if isinstance(held, T.ArrayType):
+            wrong = value.isNotNull() & F.exists(value, lambda x: _wrong_type(x, element, kind))
+        checks = [F.when(wrong, F.concat(path, F.lit(f": not {kind}")))]
+        if mode == "REQUIRED":
+            checks.insert(0, F.when(_absent(value, held), F.concat(path, F.lit(": missing"))))
+        parts.append(F.array_compact(F.array(*checks)))
+        parts.append(_inside(value, held, kind, nested, path))
+    return F.concat(*parts)
 
 
-def _wrong_type(value: Column, found: T.DataType, kind: str) -> Column:
-    never, always = F.lit(False), value.isNotNull()
+def _absent(value: Column, held: T.DataType) -> Column:
+    return value.isNull() | (value == "") if isinstance(held, T.StringType) else value.isNull()
+
+
+def _repeated(value: Column, held: T.DataType, kind: str, nested: Mapping[str, tuple], path: Column) -> Column:
+    nothing = F.array().cast("array<string>")
+    if not isinstance(held, T.ArrayType):
+        return F.when(value.isNotNull(), F.array(F.concat(path, F.lit(": not repeated")))).otherwise(nothing)
+    if not _can_hold(held.elementType, kind):
+        return F.when(value.isNotNull(), F.array(F.concat(path, F.lit(f": not {kind}")))).otherwise(nothing)
+
+    def of_element(x: Column, at: Column) -> Column:
+        here = F.concat(path, F.lit("["), at.cast("string"), F.lit("]"))
+        own = F.when(x.isNull(), F.concat(here, F.lit(": missing"))).when(
+            _wrong_type(x, held.elementType, kind), F.concat(here, F.lit(f": not {kind}"))
+        )
+        return F.concat(F.array_compact(F.array(own)), _inside(x, held.elementType, kind, nested, here))
+
+    return F.coalesce(F.flatten(F.transform(value, of_element)), nothing)
+
+
+def _inside(value: Column, held: T.DataType, kind: str, nested: Mapping[str, tuple], path: Column) -> Column:
+    """What is wrong inside a record, if it is one and is there."""
+    nothing = F.array().cast("array<string>")
+    if not (nested and kind == "RECORD" and isinstance(held, T.StructType)):
+        return nothing
+    fields = {f.name: (value.getField(f.name), f.dataType) for f in held.fields}
+    return F.when(value.isNotNull(), _messages(fields, nested, F.concat(path, F.lit(".")))).otherwise(nothing)
+
+
+def _can_hold(found: T.DataType, kind: str) -> bool:
+    """Whether values of a column's type can be of the kind at all; text can be of any scalar one."""
     if kind == "RECORD":
-        return never if isinstance(found, (T.StructType, T.MapType)) else always
-    if kind == "STRING":
-        return never if isinstance(found, T.StringType) else always
-    if isinstance(found, _SCALARS[kind]):
-        return never
-    if not isinstance(found, T.StringType):
-        return always
+        return isinstance(found, (T.StructType, T.MapType))
+    return isinstance(found, T.StringType) or (kind != "STRING" and isinstance(found, _SCALARS[kind]))
+
+
+def _wrong_type(value: Column, found: T.DataType, kind: str) -> Column:
+    if not _can_hold(found, kind):
+        return value.isNotNull()
+    if kind in ("RECORD", "STRING") or isinstance(found, _SCALARS[kind]):
+        return F.lit(False)
     parsed = {
         "INTEGER": lambda: parse_integer(value),
         "FLOAT": lambda: parse_number(value),
@@ -68,7 +115,7 @@ def _wrong_type(value: Column, found: T.DataType, kind: str) -> Column:
 
 
 def split_valid(
-    table: DataFrame, rules: Mapping[str, tuple[str, str]]
+    table: DataFrame, rules: Mapping[str, tuple]
 ) -> tuple[DataFrame, DataFrame]:
     """Valid records as they came, and rejected ones with their ``violations``."""
     checked = table.withColumn("violations", violations(table, rules))

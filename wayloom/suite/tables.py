@@ -198,6 +198,32 @@ SELECT 'travel_data_20240101.csv' AS Source_file, rows, CAST(1 AS BIGINT) AS mal
 UNION ALL SELECT 'travel_data_20240102.csv', rows, 0, true, rows FROM t"""
 
 
+def pickup_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Files taken three at a time: what each batch published, and all rows once."""
+    base = scratch_path(spark, "batches")
+    trips = _dated_trips(spark, folder)
+    for k in range(7):
+        chosen = trips.where(F.col("Trip ID").cast("bigint") % 7 == k)
+        file_sinks.write_csv(chosen, f"{base}/in", f"travel_data_2024010{k + 1}.csv")
+    for _ in range(2):
+        pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table", batch_files=3)
+    log = pickup.file_log(spark, f"{base}/table").groupBy("load").agg(
+        F.concat_ws(" ", F.sort_array(F.collect_list("Source_file"))).alias("files"),
+        F.sum("rows").alias("rows"),
+    )
+    loaded = pickup.loaded_trips(spark, f"{base}/table").groupBy("Source_file").agg(F.count("*").alias("n"))
+    return log.select("files", "rows").unionByName(
+        loaded.select(F.col("Source_file").alias("files"), F.col("n").alias("rows"))
+    )
+
+
+SQL_PICKUP_BATCHES = f"""
+WITH t AS (SELECT o_orderkey % 7 AS k, count(*) AS n {inputs.SQL_TRIPS_FROM} GROUP BY 1),
+named AS (SELECT 'travel_data_2024010' || (k + 1) || '.csv' AS file, n, CAST(k AS INTEGER) // 3 AS batch FROM t)
+SELECT string_agg(file, ' ' ORDER BY file) AS files, CAST(sum(n) AS BIGINT) AS rows FROM named GROUP BY batch
+UNION ALL SELECT file, n FROM named"""
+
+
 def pickup_retry(spark: SparkSession, folder: str) -> DataFrame:
     """A withheld file is tried again when it has been corrected in place."""
     base = scratch_path(spark, "retry")
@@ -285,6 +311,27 @@ SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name
 FROM part"""
 
 
+def csv_many_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Two thousand small files under three headers: other order, a column too few, one too many."""
+    orders = table(spark, folder, "orders")
+    base = scratch_path(spark, "files")
+    names = orders.columns
+    shapes = {"plain": names, "turned": names[::-1], "short": names[:-1]}
+    for k, (shape, columns) in enumerate(shapes.items()):
+        rows = orders.where(F.col("o_orderkey") % 3 == k).select(*columns).repartition(FILES_PER_SHAPE, "o_orderkey")
+        if shape == "turned":
+            rows = rows.withColumn("extra, one", F.lit("x"))
+        rows.write.options(**sources.CSV_OPTIONS).option("header", True).csv(f"{base}/{shape}")
+    read = sources.read_csv(spark, f"{base}/*", orders.schema)
+    return read.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+FILES_PER_SHAPE = 667
+SQL_CSV_MANY_FILES = """
+SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+  CASE WHEN o_orderkey % 3 <> 2 THEN o_orderpriority END AS o_orderpriority) FROM orders"""
+
+
 def clean_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The newest of two trip files, cleaned to a file and read back."""
     from wayloom.plans import flows
@@ -437,6 +484,33 @@ SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END AS c_name,
 FROM customer"""
 
 
+def append_widening(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches that need wider types than the table has, and one that goes with none of them."""
+    orders = table(spark, folder, "orders")
+    name = f"{_fresh_database(spark)}.orders"
+    keys = F.col("o_orderkey")
+    first = orders.select(
+        keys.alias("id"), F.col("o_totalprice").cast("int").alias("price"), F.to_date("o_orderdate").alias("seen")
+    )
+    table_sinks.append_autodetect(first.where(F.col("id") % 3 == 0), name)
+    exact = orders.select(
+        keys.alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("timestamp").alias("seen")
+    )
+    table_sinks.append_autodetect(exact.where(F.col("id") % 3 == 1), name)
+    text = orders.select(keys.alias("id"), F.col("o_orderstatus").alias("price"))
+    refused = table_sinks.append_autodetect(text.where(F.col("id") % 3 == 2), name)
+    rows = spark.table(name).select("id", "price", F.date_format("seen", "yyyy-MM-dd").alias("seen"))
+    return rows.withColumn("refused", F.lit(f"{refused.status}: {refused.error}"))
+
+
+SQL_APPEND_WIDENING = """
+SELECT o_orderkey AS id,
+       CASE WHEN o_orderkey % 3 = 0 THEN trunc(o_totalprice) ELSE o_totalprice END AS price,
+       strftime(o_orderdate, '%Y-%m-%d') AS seen,
+       'failed: column price: string into double' AS refused
+FROM orders WHERE o_orderkey % 3 < 2"""
+
+
 def truncate_load(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     name = f"{_fresh_database(spark)}.part"
@@ -815,10 +889,12 @@ QUERIES = {
     "pickup_withholds": pickup_withholds,
     "pickup_late_file": pickup_late_file,
     "pickup_many_parts": pickup_many_parts,
+    "pickup_batches": pickup_batches,
     "pickup_retry": pickup_retry,
     "pickup_rejects": pickup_rejects,
     "csv_messy": csv_messy,
     "csv_missing_words": csv_missing_words,
+    "csv_many_files": csv_many_files,
     "clean_latest": clean_latest,
     "json_archive": json_archive,
     "gzip_archive": gzip_archive,
@@ -826,6 +902,7 @@ QUERIES = {
     "fetch_status": fetch_status,
     "append_fixed": append_fixed,
     "append_autodetect": append_autodetect,
+    "append_widening": append_widening,
     "append_new_keys": append_new_keys,
     "truncate_load": truncate_load,
     "merge_upsert": merge_upsert,
@@ -855,10 +932,12 @@ FROM d""",
     "pickup_withholds": SQL_WITHHOLDS,
     "pickup_late_file": SQL_PICKUP_LATE,
     "pickup_many_parts": SQL_PICKUP_PARTS,
+    "pickup_batches": SQL_PICKUP_BATCHES,
     "pickup_retry": SQL_PICKUP_RETRY,
     "pickup_rejects": SQL_PICKUP_REJECTS,
     "csv_messy": SQL_CSV_MESSY,
     "csv_missing_words": SQL_CSV_WORDS,
+    "csv_many_files": SQL_CSV_MANY_FILES,
     "clean_latest": SQL_CLEAN_LATEST,
     "json_archive": SQL_JSON_ARCHIVE,
     "gzip_archive": SQL_GZIP_ARCHIVE,
@@ -866,6 +945,7 @@ FROM d""",
     "fetch_status": SQL_FETCH_STATUS,
     "append_fixed": SQL_APPEND_FIXED,
     "append_autodetect": SQL_APPEND_AUTODETECT,
+    "append_widening": SQL_APPEND_WIDENING,
     "append_new_keys": SQL_APPEND_NEW_KEYS,
     "truncate_load": SQL_TRUNCATE_LOAD,
     "merge_upsert": SQL_MERGE_UPSERT,

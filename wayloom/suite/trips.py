@@ -234,6 +234,41 @@ SELECT p_partkey, concat_ws('; ',
 FROM part"""
 
 
+NESTED_RULES = {
+    "maker": (
+        "RECORD",
+        "REQUIRED",
+        {"name": ("STRING", "REQUIRED"), "code": ("INTEGER", "NULLABLE"), "owner": ("STRING", "REQUIRED")},
+    ),
+    "sizes": ("INTEGER", "REPEATED"),
+    "variants": ("RECORD", "REPEATED", {"name": ("STRING", "REQUIRED"), "size": ("FLOAT", "NULLABLE")}),
+}
+
+
+def validate_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules that reach into records, elements of arrays, and records in arrays."""
+    size, even = F.col("p_size").cast("string"), F.col("p_size") % 2 == 0
+    records = table(spark, folder, "part").select(
+        "p_partkey",
+        F.struct(F.when(F.col("p_size") > 10, F.col("p_name")).alias("name"), F.col("p_brand").alias("code")).alias("maker"),
+        F.array(size, F.col("p_type"), F.when(~even, size)).alias("sizes"),
+        F.array(
+            F.struct(F.col("p_name").alias("name"), size.alias("size")),
+            F.struct(F.when(even, F.col("p_name")).alias("name"), F.col("p_type").alias("size")),
+        ).alias("variants"),
+    )
+    broken = validate.violations(records, NESTED_RULES)
+    return records.select("p_partkey", F.array_join(broken, "; ").alias("violations"))
+
+
+SQL_VALIDATE_NESTED = """
+SELECT p_partkey, concat_ws('; ',
+       CASE WHEN p_size <= 10 THEN 'maker.name: missing' END, 'maker.code: not INTEGER', 'maker.owner: missing',
+       'sizes[1]: not INTEGER', CASE WHEN p_size % 2 = 0 THEN 'sizes[2]: missing' END,
+       CASE WHEN p_size % 2 = 1 THEN 'variants[1].name: missing' END, 'variants[1].size: not FLOAT') AS violations
+FROM part"""
+
+
 def dedup_keep_first(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").withColumn(
         "p_name",
@@ -345,6 +380,7 @@ QUERIES = {
     "fill_defaults": fill_defaults,
     "range_check": range_check,
     "validate_records": validate_records,
+    "validate_nested": validate_nested,
     "dedup_keep_first": dedup_keep_first,
     "keyword_class": keyword_classes,
     "name_and_description": names_and_descriptions,
@@ -359,6 +395,7 @@ ORACLES = {
     "fill_defaults": SQL_FILL_DEFAULTS,
     "range_check": SQL_RANGE_CHECK,
     "validate_records": SQL_VALIDATE_RECORDS,
+    "validate_nested": SQL_VALIDATE_NESTED,
     "dedup_keep_first": SQL_DEDUP_KEEP_FIRST,
     "keyword_class": SQL_KEYWORD_CLASS,
     "name_and_description": SQL_NAMES,
