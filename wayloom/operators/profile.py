@@ -101,45 +101,45 @@ def next_key(table: DataFrame, column: str, first: int = FIRST_KEY) -> DataFrame
 # --- positions of values ----------------------------------------------------------------
 
 
-def _bucketed(values: DataFrame, name: str) -> DataFrame:
+def positions(counts: DataFrame, name: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """The rows with ``index`` (0, 1, …) and the interval ``lo``, ``hi`` of their counts laid end to
+    end, both in the order of the values' digests and for each ``by`` anew.
+
+    One shuffle by (``by``, bucket of the digest) places all of them. The sizes of the buckets, at
+    most 16^BUCKET_DIGITS for each ``by`` whatever the data holds, are summed up and broadcast.
+    """
     digest = F.md5(F.col(name).cast("string"))
-    return values.withColumn("_digest", digest).withColumn(
+    bucketed = counts.withColumn("_digest", digest).withColumn(
         "_bucket", F.substring("_digest", 1, BUCKET_DIGITS)
     )
-
-
-def _with_offsets(bucketed: DataFrame, weight: Column) -> DataFrame:
-    """Adds ``_offset``, the summed weight of all earlier buckets.
-
-    The table of bucket sizes has at most 16^BUCKET_DIGITS rows, whatever the data holds, so
-    it may be summed in one task and broadcast.
-    """
-    sizes = bucketed.groupBy("_bucket").agg(F.sum(weight).alias("_size"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.sum("count").alias("_weight"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
+        *by,
+        "_bucket",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_offset"),
+    )
+    placed = bucketed.join(F.broadcast(offsets), [*by, "_bucket"])
+    order = Window.partitionBy(*by, "_bucket").orderBy("_digest", name)
+    hi = F.col("_offset") + F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    index = F.col("_before") + F.row_number().over(order) - 1
+    return placed.select(
+        *counts.columns,
+        index.cast("bigint").alias("index"),
+        (hi - F.col("count")).alias("lo"),
+        hi.alias("hi"),
     )
-    return bucketed.join(F.broadcast(offsets), "_bucket")
 
 
 def indexed_values(values: DataFrame, name: str = "value") -> DataFrame:
     """``(value, index)`` with indexes 0, 1, … in the order of the values' digests."""
-    placed = _with_offsets(_bucketed(values.select(name), name), F.lit(1))
-    order = Window.partitionBy("_bucket").orderBy("_digest", name)
-    index = F.col("_offset") + F.row_number().over(order) - 1
-    return placed.select(name, index.cast("bigint").alias("index"))
+    return positions(values.select(name, F.lit(1).alias("count")), name).select(name, "index")
 
 
 def cumulative_intervals(counts: DataFrame, name: str = "value") -> DataFrame:
     """``(value, lo, hi)``: counts laid end to end, in the order of the values' digests."""
-    placed = _with_offsets(_bucketed(counts.select(name, "count"), name), F.col("count"))
-    upto = (
-        Window.partitionBy("_bucket")
-        .orderBy("_digest", name)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    hi = F.col("_offset") + F.sum("count").over(upto)
-    return placed.select(name, (hi - F.col("count")).alias("lo"), hi.alias("hi"))
+    return positions(counts.select(name, "count"), name).select(name, "lo", "hi")
 
 
 # --- exact quantiles --------------------------------------------------------------------

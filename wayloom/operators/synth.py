@@ -90,8 +90,9 @@ COST_COLUMNS = ("Accommodation cost", "Transportation cost")
 class TripProfile:
     """What the synthesis needs to know about existing trips.
 
-    ``values`` and ``durations`` may be large and stay tables; the rest is a handful of
-    numbers: ten bins, five marks per cost column, four styles.
+    ``values`` and ``durations``, ``(value, count, index, lo, hi)`` as ``profile.positions`` gives
+    them, may be large and stay tables; the rest is a handful of numbers: ten bins, five marks per
+    cost column, four styles, and for each column how many values it has and how often in all.
     """
 
     values: dict[str, DataFrame]
@@ -100,6 +101,7 @@ class TripProfile:
     cost_marks: dict[str, list[float]] = field(default_factory=dict)
     styles: list[tuple[str, float]] = field(default_factory=list)
     first_id: int = prof.FIRST_KEY
+    sizes: dict[str, tuple[int, int]] = field(default_factory=dict)
 
 
 def profile_trips(trips: DataFrame, parse_costs: bool = False) -> TripProfile:
@@ -114,18 +116,19 @@ def profile_trips(trips: DataFrame, parse_costs: bool = False) -> TripProfile:
     length = parse_number(F.col("Duration (days)"))
     if parse_costs:
         length = or_default(length, DEFAULT_DURATION)
-    # The value tables are read several times by every batch: computed once, one folder each.
-    counts = stage(
-        prof.value_counts(
-            trips,
-            {c: F.col(c) for c in SAMPLED_COLUMNS}
-            | {"Duration (days)": F.floor(length).cast("int")},
-        ),
-        partition_by="column",
-    )
+    # The value tables are read by every batch: counted and placed once for all columns together,
+    # one folder each.
+    counts = prof.value_counts(
+        trips,
+        {c: F.col(c) for c in SAMPLED_COLUMNS} | {"Duration (days)": F.floor(length).cast("int")},
+    ).select("column", "value", "count")
+    placed = stage(prof.positions(counts, by=["column"]), partition_by="column")
+    # One row for each column.
+    sums = placed.groupBy("column").agg(F.count("*").alias("size"), F.sum("count").alias("total"))
+    sizes = {r["column"]: (r["size"], r["total"]) for r in sums.collect()}
 
     def of(column: str) -> DataFrame:
-        return counts.where(F.col("column") == column).select("value", "count")
+        return placed.where(F.col("column") == column).drop("column")
 
     aged = trips.withColumn("_age", parse_number(F.col("Traveler age")))
     ages = prof.histogram(aged, "_age", AGE_LOW, AGE_WIDTH, AGE_BINS)
@@ -136,8 +139,9 @@ def profile_trips(trips: DataFrame, parse_costs: bool = False) -> TripProfile:
         at = (0.0, 0.25, 0.5, 0.75, 1.0)
         marks = {c: prof.quantiles(trips, f"_{c}", at) for c in COST_COLUMNS}
     return TripProfile(
-        values={c: of(c).select("value") for c in SAMPLED_COLUMNS},
+        values={c: of(c) for c in SAMPLED_COLUMNS},
         durations=of("Duration (days)").withColumn("value", F.col("value").cast("int")),
+        sizes=sizes,
         # Four styles and ten bins at most: small results by definition.
         ages=[(r["lo"], r["probability"]) for r in ages.orderBy("bin").collect()],
         styles=[(r["style"], r["probability"]) for r in styles.orderBy("style").collect()],
@@ -153,18 +157,31 @@ CELL_BLOCK = 4096
 
 
 def draw_value(
-    rows: DataFrame, draw: Column, values: DataFrame, name: str, value: str = "value"
+    rows: DataFrame,
+    draw: Column,
+    values: DataFrame,
+    name: str,
+    value: str = "value",
+    size: int | None = None,
 ) -> DataFrame:
-    """Add ``name``: an equal-chance draw from the values, by dense index."""
-    indexed = prof.indexed_values(values, value)
-    size = values.agg(F.count("*")).scalar()
+    """Add ``name``: an equal-chance draw from the values, by dense index.
+
+    With ``size``, how many there are, the values have their ``index`` already.
+    """
+    if size is None:
+        values, size = prof.indexed_values(values, value), values.count()
     slot = F.floor(draw * size).cast("bigint")
-    lookup = indexed.select(F.col(value).alias(name), F.col("index").alias("_slot"))
+    lookup = values.select(F.col(value).alias(name), F.col("index").alias("_slot"))
     return rows.withColumn("_slot", slot).join(lookup, "_slot", "left").drop("_slot")
 
 
 def draw_weighted(
-    rows: DataFrame, draw: Column, counts: DataFrame, name: str, value: str = "value"
+    rows: DataFrame,
+    draw: Column,
+    counts: DataFrame,
+    name: str,
+    value: str = "value",
+    size: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add ``name``: a draw weighted by ``counts.count``, exact for any number of values.
 
@@ -172,14 +189,17 @@ def draw_weighted(
     there are values, each interval is listed once per cell it touches (at most twice as many rows
     as values), and draws find theirs by the cell as equality key and the interval as filter. A
     value with a third of the weight owns a third of the cells: the join keys stay uniform.
+
+    With ``size``, the number of values and the sum of their counts, they have ``lo`` and ``hi``.
     """
-    intervals = prof.cumulative_intervals(counts, value)
-    totals = counts.agg(F.sum("count").alias("n"), F.count("*").alias("k"))
-    total = totals.select("n").scalar()
-    width = totals.select(F.ceil(F.col("n") / F.col("k")).cast("bigint")).scalar()
+    if size is None:
+        size = tuple(counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first())
+        counts = prof.cumulative_intervals(counts, value)
+    values, total = size
+    width = max(1, -(-total // max(1, values)))
     # Listed in two steps: no row holds an array of more than a block of cells, or of blocks.
-    first, last = F.floor(F.col("lo") / F.col("_width")), F.floor((F.col("hi") - 1) / F.col("_width"))
-    blocks = intervals.withColumn("_width", width).withColumns({"_first": first, "_last": last})
+    first, last = F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)
+    blocks = counts.withColumns({"_first": first, "_last": last})
     blocks = blocks.withColumn(
         "_block",
         F.explode(F.sequence(F.floor(F.col("_first") / CELL_BLOCK), F.floor(F.col("_last") / CELL_BLOCK))),
@@ -263,9 +283,11 @@ def _from_profile(
         draws.uniform(row, "duration", seed),
         profile.durations,
         "Duration (days)",
+        size=profile.sizes.get("Duration (days)", (0, 0)),
     )
     for column in SAMPLED_COLUMNS:
-        rows = draw_value(rows, draws.uniform(row, column, seed), profile.values[column], column)
+        size, _ = profile.sizes.get(column, (0, 0))
+        rows = draw_value(rows, draws.uniform(row, column, seed), profile.values[column], column, size=size)
     start = start_day(
         row,
         as_of,
