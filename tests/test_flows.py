@@ -139,7 +139,7 @@ def test_a_run_that_breaks_keeps_the_batches_before(spark, tmp_path, monkeypatch
         loads.append(load)
         if len(loads) == 3:
             raise RuntimeError("lost")
-        publish(rows, report, table_path, load, stamp)
+        return publish(rows, report, table_path, load, stamp)
 
     with monkeypatch.context() as patch:
         patch.setattr(pickup, "_publish", breaks)
@@ -410,6 +410,23 @@ def test_ranges_and_grid(spark):
     assert lists.destinations(spark).count() == 15 and lists.trip_categories(spark).count() == 63
 
 
+def test_every_run_leaves_a_line_in_the_metrics_table(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS metrics.runs")
+    options = dict(generate=False, metrics_table="metrics.runs", now=NOW)
+    for day, cost in ((1, "5"), (2, "free")):
+        sinks.write_csv(raw(spark, with_cost(cost, str(day))), f"{tmp_path}/in", f"travel_data_2024010{day}.csv")
+        done = flows.run_trips(spark, f"{tmp_path}/in", f"{tmp_path}/table", **options)
+        assert done.steps["metrics"].ok
+    flows.run_trips(spark, f"{tmp_path}/in", f"{tmp_path}/table", on_error="null", **options)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(flows, "pick_up_trips", lambda *a, **k: 1 / 0)
+        assert not flows.run_trips(spark, f"{tmp_path}/in", f"{tmp_path}/table", **options).success
+    kept = spark.table("metrics.runs").collect()
+    found = sorted((r["files_total"], r["rows_in"], r["rows_out"], r["success"], bool(r["error"])) for r in kept)
+    assert found == [(0, 0, 0, False, True), (1, 1, 0, False, False), (1, 1, 1, True, False), (1, 1, 1, True, False)]
+    assert all(r["execution_time_seconds"] > 0 or r["error"] for r in kept)
+
+
 def test_rules_reach_into_records_and_elements(spark):
     schema = (
         "tags array<string>, stops array<struct<name:string, days:array<string>, at:struct<lat:string>>>, "

@@ -62,9 +62,11 @@ def run_trips(
     seed: int | None = None,
     on_error: str = "fail",
     multi_line: bool = True,
+    metrics_table: str | None = None,
 ) -> FlowResult:
     """Generate a batch, then clean and load every trip file not loaded before.
 
+    ``metrics_table`` names a catalog table to which the run appends its metrics, whatever came of it.
     ``multi_line`` off lets large files be split over tasks, if no value holds a line end.
     """
     now = now or dt.datetime.now(dt.timezone.utc)
@@ -86,7 +88,12 @@ def run_trips(
             result.steps["pickup"] = picked
             result.success = picked.files_loaded == picked.files_total
 
-    return _timed("trips", body)
+    result = _timed("trips", body)
+    if metrics_table:
+        result.steps["metrics"] = tables.append(
+            trip_metrics(spark, result, now), metrics_table, quality.RUN_METRICS, report_total=False
+        )
+    return result
 
 
 def clean_file(spark: SparkSession, path: str, folder: str, multi_line: bool = True) -> str:

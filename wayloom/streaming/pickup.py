@@ -17,7 +17,7 @@ import uuid
 from dataclasses import astuple, dataclass
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,14 +130,10 @@ def _pick_up_batch(
             0, ["rows", "malformed_rows", "rows_without_id"]
         )
         report = stage(report.withColumns({"loaded": ~withheld, "load": F.lit(load)}), path=folders[2])
-        _publish(rows, report, table_path, load, stamp)
-        totals = report.agg(
-            F.count("*"),
-            F.count_if("loaded"),
-            F.sum(F.when(F.col("loaded"), F.col("rows") - F.col("rows_without_id"))),
-            F.sum(F.when(F.col("loaded"), F.col("rows_without_id")).otherwise(F.col("rows"))),
-        ).first()
-        return PickupResult(*[value or 0 for value in totals])
+        written = _publish(rows, report, table_path, load, stamp)
+        withheld = F.when(F.col("loaded"), F.col("rows_without_id")).otherwise(F.col("rows"))
+        totals = report.agg(F.count("*"), F.count_if("loaded"), F.sum(withheld)).first()
+        return PickupResult(totals[0], totals[1], written, totals[2] or 0)
     finally:
         for path in folders:
             discard(spark, path)
@@ -145,17 +141,22 @@ def _pick_up_batch(
 
 def _publish(
     rows: DataFrame, report: DataFrame, table_path: str, load: str, stamp: dt.datetime
-) -> None:
-    """Write the rows of the accepted files, the rejected rows, and then the log's lines."""
+) -> int:
+    """Write the rows of the accepted files, the rejected rows, and then the log's lines.
+
+    Returns the number of rows written, counted by the write itself.
+    """
     # Spark broadcasts the names if they are few, else a file with most rows is split.
     accepted = rows.join(report.where("loaded").select("Source_file"), "Source_file", "left_semi")
     cleaned = clean_trips(accepted.where(~F.col("_no_id")).drop("_bad", "_no_id"), "null")
     shaped = to_warehouse(cleaned, F.lit(stamp), F.col("Source_file"), on_error="null")
-    shaped.write.parquet(f"{table_path}/rows/load={load}")
+    seen = Observation()
+    shaped.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{table_path}/rows/load={load}")
     rejected = accepted.where("_no_id").drop("_bad", "_no_id")
     rejected.write.parquet(f"{table_path}/rejects/load={load}")
     lines = report.select(*[f.split()[0] for f in LOG.split(", ")])
     lines.coalesce(1).write.mode("append").parquet(f"{table_path}/files")
+    return seen.get["rows"]
 
 
 def _published(spark: SparkSession, table_path: str, kind: str, schema: T.StructType) -> DataFrame:

@@ -693,6 +693,32 @@ SELECT 'trips' AS flow, CAST(0 AS BIGINT) AS files_generated, CAST(1 AS BIGINT)
        count(*) FILTER (o_orderpriority <> '2-HIGH') AS rows_out, false AS success
 {inputs.SQL_TRIPS_FROM}"""
 
+
+def metrics_history(spark: SparkSession, folder: str) -> DataFrame:
+    """What two runs appended to the metrics table, beside the rows that they loaded."""
+    from wayloom.plans import flows
+
+    base, name = scratch_path(spark, "history"), f"{_fresh_database(spark)}.runs"
+    trips = _dated_trips(spark, folder)
+    even = F.col("Trip ID").cast("bigint") % 2 == 0
+    for day, chosen in ((5, even), (6, ~even)):
+        file_sinks.write_csv(trips.where(chosen), f"{base}/in", f"travel_data_2024010{day}.csv")
+        now = dt.datetime(2024, 1, day, 12, tzinfo=dt.timezone.utc)
+        flows.run_trips(spark, f"{base}/in", f"{base}/table", generate=False, now=now, metrics_table=name)
+    loaded = pickup.loaded_trips(spark, f"{base}/table").groupBy("Source_file").agg(F.count("*").alias("stored"))
+    day = F.regexp_extract("Source_file", "([0-9]{8})", 1)
+    loaded = loaded.select(day.alias("day"), "stored")
+    runs = spark.table(name).withColumn("day", F.date_format("timestamp", "yyyyMMdd"))
+    return runs.join(loaded, "day").select("day", "flow", "files_ingested", "rows_in", "rows_out", "stored", "success")
+
+
+SQL_METRICS_HISTORY = f"""
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN '20240105' ELSE '20240106' END AS day, 'trips' AS flow,
+       CAST(1 AS BIGINT) AS files_ingested, count(*) AS rows_in, count(*) AS rows_out, count(*) AS stored,
+       true AS success
+{inputs.SQL_TRIPS_FROM} GROUP BY 1"""
+
+
 def load_reports(spark: SparkSession, folder: str) -> DataFrame:
     """What each kind of load says it did, as rows."""
     customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -763,6 +789,35 @@ FROM {_sql_listed()} LEFT JOIN nation ON upper(substr(value, 1, 4)) = substr(n_n
 GROUP BY 1"""
 
 
+def listed_trips(spark: SparkSession, folder: str) -> DataFrame:
+    """How many trips go to each listed place, by all six lists and the first letters of a name."""
+    places = lists.destinations(spark).select(F.lit("sight").alias("category"), F.col("destination_name").alias("value"))
+    towns = lists.locations(spark)
+    listed = places.unionByName(lists.trip_categories(spark)).unionByName(
+        towns.select(F.lit("town").alias("category"), F.concat_ws(", ", "country", "city").alias("value"))
+    )
+    listed = listed.withColumn("start", F.upper(F.substring("value", 1, 3)))
+    # Trips are counted by place before they meet the lists.
+    trips = inputs.raw_trips(spark, folder).groupBy("Destination").agg(F.count("*").alias("n"))
+    trips = trips.withColumn("start", F.upper(F.substring("Destination", 1, 3)))
+    found = listed.join(trips, "start", "left").groupBy("category", "value")
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("trips"))
+
+
+def _sql_all_lists() -> str:
+    rows = [("sight", x) for x in lists.TRAVEL_DESTINATIONS]
+    rows += [("town", f"{country}, {city}") for city, country, *_ in lists.LOCATIONS]
+    text = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in rows)
+    return f"(SELECT * FROM {_sql_listed()} UNION ALL SELECT * FROM (VALUES {text}) AS m(category, value))"
+
+
+SQL_LISTED_TRIPS = f"""
+WITH t AS (SELECT upper(substr(n_name, 1, 3)) AS start, count(*) AS n {inputs.SQL_TRIPS_FROM} GROUP BY n_name)
+SELECT category, value, CAST(coalesce(sum(n), 0) AS BIGINT) AS trips
+FROM {_sql_all_lists()} LEFT JOIN t ON upper(substr(value, 1, 3)) = start
+GROUP BY category, value"""
+
+
 def processed_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Records in the processed archive, read back: non-ASCII text and missing values survive."""
     records = table(spark, folder, "documents").select(
@@ -879,6 +934,7 @@ def flow_weather(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "load_reports": load_reports,
     "reference_lists": reference_lists,
+    "listed_trips": listed_trips,
     "processed_archive": processed_archive,
     "flow_trips": flow_trips,
     "flow_destinations": flow_destinations,
@@ -912,10 +968,12 @@ QUERIES = {
     "merge_into_table": merge_into_table,
     "merge_buckets": merge_buckets,
     "run_metrics": run_metrics,
+    "metrics_history": metrics_history,
 }
 ORACLES = {
     "load_reports": SQL_LOAD_REPORTS,
     "reference_lists": SQL_REFERENCE_LISTS,
+    "listed_trips": SQL_LISTED_TRIPS,
     "processed_archive": SQL_PROCESSED_ARCHIVE,
     "flow_trips": SQL_FLOW_TRIPS,
     "flow_destinations": SQL_FLOW_DESTINATIONS,
@@ -955,4 +1013,5 @@ FROM d""",
     "merge_into_table": SQL_MERGE_INTO_TABLE,
     "merge_buckets": SQL_MERGE_INTO_TABLE,
     "run_metrics": SQL_RUN_METRICS,
+    "metrics_history": SQL_METRICS_HISTORY,
 }
