@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -63,6 +64,77 @@ def test_an_inserted_word_moves_votes_to_a_neighbour(spark, docs):
     assert {r["doc_id"]: r["labels"] for r in found.collect()} == {0: "mit", 1: ""}
 
 
+def spans_of(words, templates=license_scan.TEMPLATES):
+    """Best verified-or-not span by plain loops: ``(labels, score)`` of one text."""
+    labels, score = set(), 0.0
+    for label, text in templates:
+        known = text.split()
+        reach = max(license_scan.MAX_SHIFT, len(known) // license_scan.WORDS_PER_SHIFT)
+        starts = {}
+        for t in range(len(known) - 2):
+            starts.setdefault(tuple(known[t : t + 3]), []).append(t)
+        votes = [(i, t) for i in range(len(words) - 2) for t in starts.get(tuple(words[i : i + 3]), [])]
+        for own in {i - t for i, t in votes}:
+            tried = []
+            for distance in range(reach + 1):
+                near = [(i, t) for i, t in votes if abs(i - t - own) <= distance]
+                coverage = len({t + k for _, t in near for k in range(3)}) / len(known)
+                length = max(i for i, _ in near) + 2 - min(i for i, _ in near)
+                good = coverage >= license_scan.MIN_COVERAGE and length < license_scan.MAX_STRETCH * len(known)
+                tried.append((good, coverage))
+            best = max(tried)
+            if best[0]:
+                labels.add(label)
+            score = max(score, best[1]) if best[0] else score
+    return labels, score
+
+
+def edited(rng, words):
+    """Words left out, put in, said again: what moves votes between diagonals."""
+    words = list(words)
+    for _ in range(rng.randint(0, 8)):
+        at = rng.randrange(len(words))
+        kind = rng.randrange(3)
+        if kind == 0 and len(words) > 4:
+            del words[at]
+        elif kind == 1:
+            words.insert(at, rng.choice(["clearly", "the", "software", "x1"]))
+        else:
+            piece = words[at : at + rng.randint(2, 6)]
+            words[at:at] = piece * rng.randint(1, 5)
+    return words
+
+
+def test_labels_as_by_plain_loops_on_edited_notices(spark, docs):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(150):
+        parts = [edited(rng, rng.choice(license_scan.TEMPLATES)[1].split()) for _ in range(rng.randint(1, 3))]
+        texts.append(" ".join(" ".join(p) + " end of it" for p in parts))
+    found, spans = license_scan.scan(docs(texts))
+    best = {r["doc_id"]: r["best"] for r in spans.where("verified").groupBy("doc_id").agg({"coverage": "max"}).toDF("doc_id", "best").collect()}
+    verified = 0
+    for row in found.collect():
+        words = texts[row["doc_id"]].split()
+        labels, score = spans_of(words)
+        base = set(filter(None, row["base_labels"].split(",")))
+        assert set(filter(None, row["labels"].split(","))) == labels | base, texts[row["doc_id"]]
+        assert best.get(row["doc_id"], 0.0) == score
+        assert score <= row["score"] <= 1
+        verified += bool(labels - base)
+    assert verified > 20
+
+
+def test_repeats_beside_a_notice_do_not_hide_it(spark, docs):
+    notice = license_scan.TEMPLATES[4][1]
+    texts = ["you may not " * 40 + notice, notice + " of the license" * 60, f"{notice} x {notice}", "you may not " * 40]
+    found, spans = license_scan.scan(docs(texts))
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert [rows[i]["labels"] for i in range(4)] == ["apache", "apache", "apache", ""]
+    assert rows[0]["score"] == 1.0 and rows[3]["score"] < 0.75
+    assert spans.where("doc_id = 2 AND template = 4 AND verified").count() == 2
+
+
 def test_repeated_rows_null_ids_and_an_empty_table(spark, docs):
     frame = docs([(1, "mit license"), (1, "mit license"), (None, "mit license")])
     assert license_scan.scan(frame)[0].count() == 3

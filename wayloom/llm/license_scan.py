@@ -3,15 +3,18 @@
 All rolling ``GRAM``-word grams of the texts are joined by hash (and, as the check, by their words)
 to the positions they have in license templates. A match at word ``pos`` of a document and ``tpos``
 of a template votes for the diagonal ``pos - tpos``: an unbroken copy puts all its votes on one, a
-word put in or left out moves the rest to a neighbour. Neighbouring diagonals are therefore merged
-into one span, and a span is verified if it covers enough of its template within a bounded length.
+word put in or left out moves the rest to a neighbour. So each diagonal is merged with its neighbours
+within a bounded distance of itself, never in a chain, which keeps a span near its template's length
+whatever repeats around it. A span is verified if it covers enough of its template within a bounded
+length; of spans within that distance of each other the best one stays.
 
 The join's template side is a fixed list of texts (the parameter ``templates``), so it is broadcast:
 its size does not depend on the data. Texts are never shuffled, only rows that voted, and one row
 for each document.
 
 Defined results: null counts as empty; a text without words has no places, no labels and score 0.
-Every input row gives one row, repeated rows and null ids too.
+Every input row gives one row, repeated rows and null ids too. A text of any length is one array of
+its words; only words that begin a known pair become rows.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ PHRASES = (
 #: Word characters: digits, a-z and everything beyond ASCII; text is lower-cased in A-Z before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 3
-#: Diagonals that differ by no more than this belong to one span.
+#: Diagonals that differ from a span's own by no more than this belong to it; long templates bear
+#: one more for every so many words.
 MAX_SHIFT = 3
+WORDS_PER_SHIFT = 8
 #: Least share of a template's words that a verified span covers.
 MIN_COVERAGE = 0.75
 #: Longest verified span, as a multiple of its template.
@@ -87,8 +92,11 @@ def words_of(text: Column) -> Column:
 def grams_of(words: Column) -> Column:
     """The ``GRAM`` words from each place on, fewer at the end; null if there are no words."""
     places = F.sequence(F.lit(1), F.size(words))
-    grams = F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(GRAM)), " "))
-    return F.when(F.size(words) > 0, grams)
+    return F.when(F.size(words) > 0, F.transform(places, lambda i: _gram(words, i)))
+
+
+def _gram(words: Column, place: Column) -> Column:
+    return F.array_join(F.slice(words, place, F.lit(GRAM)), " ")
 
 
 def template_grams(spark: SparkSession, templates) -> DataFrame:
@@ -105,16 +113,39 @@ def template_grams(spark: SparkSession, templates) -> DataFrame:
     return grouped.withColumn("gram_hash", F.xxhash64("gram"))
 
 
+def _candidates(words: Column, templates) -> Column:
+    """``(pos, gram)`` of the words with which a phrase or a template's gram can begin.
+
+    Decided by the first two words, so that the other grams are never built.
+    """
+    pairs = sorted(
+        {
+            " ".join(known[i : i + 2])
+            for known in [p.split() for p, _ in PHRASES] + [t.split() for _, t in templates]
+            for i in range(len(known) - 1)
+        }
+    )
+    firsts = sorted({pair.split()[0] for pair in pairs})
+
+    def known(i: Column) -> Column:
+        word = F.get(words, i)
+        return word.isin(firsts) & F.concat_ws(" ", word, F.get(words, i + 1)).isin(pairs)
+
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), known)
+    found = F.transform(places, lambda i: F.struct(i.alias("pos"), _gram(words, i + 1).alias("gram")))
+    return F.when(F.size(words) > 0, found)
+
+
 def _places(docs: DataFrame, id_col: str, text_col: str, templates) -> DataFrame:
-    """A row for the first word of every document, and for every word with a phrase or a vote."""
+    """A row for every document (``pos`` -1), and one for every word with a phrase or a vote."""
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.monotonically_increasing_id().alias("row"),
         words_of(whole(text_col)).alias("words"),
     )
-    placed = rows.select(
-        "id", "row", F.size("words").alias("n_words"), F.posexplode_outer(grams_of(F.col("words"))).alias("pos", "gram")
-    )
+    itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("gram")))
+    found = F.coalesce(F.concat(itself, _candidates(F.col("words"), templates)), itself)
+    placed = rows.select("id", "row", F.size("words").alias("n_words"), F.inline(found))
     base = F.lit(None).cast("string")
     for phrase, label in reversed(PHRASES):
         base = F.when((F.col("gram") == phrase) | F.startswith("gram", F.lit(f"{phrase} ")), label).otherwise(base)
@@ -122,11 +153,27 @@ def _places(docs: DataFrame, id_col: str, text_col: str, templates) -> DataFrame
     found = placed.join(
         known, (F.xxhash64("gram") == F.col("gram_hash")) & (F.col("gram") == F.col("known")), "left"
     ).select("id", "row", "n_words", "pos", base.alias("base"), "hits")
-    return found.where(F.expr("pos IS NULL OR pos = 0 OR base IS NOT NULL OR hits IS NOT NULL"))
+    return found.where(F.expr("pos = -1 OR base IS NOT NULL OR hits IS NOT NULL"))
+
+
+def reach_of(length: int) -> int:
+    """How far the diagonals of one span may lie from its own."""
+    return max(MAX_SHIFT, length // WORDS_PER_SHIFT)
 
 
 def _spans(places: DataFrame, templates) -> DataFrame:
-    """Spans by merged diagonals: ``(row, template, label, first, last, coverage, verified)``."""
+    """Spans by merged diagonals: ``(row, template, label, first, last, coverage, verified)``.
+
+    Around each diagonal the neighbours are taken in at growing distance; the distance that verifies,
+    then covers most, then is least, gives the span. Of spans nearer than the template's reach the
+    one that is best by the same order stays (then: most votes of its own, smallest diagonal), so a
+    verified span yields only to a verified one.
+    """
+    sizes = [len(text.split()) for _, text in templates]
+
+    def listed(values) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("template") + 1)
+
     votes = places.where(F.col("hits").isNotNull()).select("row", "pos", F.inline("hits"))
     lanes = (
         votes.withColumn("diagonal", F.col("pos") - F.col("tpos"))
@@ -136,32 +183,48 @@ def _spans(places: DataFrame, templates) -> DataFrame:
             F.min("pos").alias("first"),
             F.max("pos").alias("last"),
         )
+        .withColumns({"length": listed(sizes), "reach": listed(map(reach_of, sizes))})
     )
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > MAX_SHIFT, F.lit(True))
-    lanes = lanes.withColumn("apart", apart.cast("int")).withColumn(
-        "span", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    spans = lanes.groupBy("row", "template", "span").agg(
-        F.flatten(F.collect_set("found")).alias("found"),
-        F.min("first").alias("first"),
-        (F.max("last") + GRAM - 1).alias("last"),
-    )
-    covered = F.size(
-        F.array_distinct(F.flatten(F.transform("found", lambda t: F.sequence(t, t + GRAM - 1))))
+    # No more diagonals than twice the longest template's reach and one.
+    widest = max(map(reach_of, sizes), default=0)
+    around = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-widest, widest)
+
+    def merged(distance: Column) -> Column:
+        near = F.filter("near", lambda lane: F.abs(lane["diagonal"] - F.col("diagonal")) <= distance)
+        starts = F.flatten(F.transform(near, lambda lane: lane["found"]))
+        words = F.flatten(F.transform(starts, lambda t: F.sequence(t, t + GRAM - 1)))
+        return F.struct(
+            distance.alias("distance"),
+            (F.size(F.array_distinct(words)) / F.col("length")).alias("coverage"),
+            F.array_min(F.transform(near, lambda lane: lane["first"])).alias("first"),
+            (F.array_max(F.transform(near, lambda lane: lane["last"])) + GRAM - 1).alias("last"),
+        )
+
+    def judged(span: Column) -> Column:
+        within = span["last"] - span["first"] < MAX_STRETCH * F.col("length")
+        return F.struct(
+            ((span["coverage"] >= MIN_COVERAGE) & within).alias("verified"),
+            span["coverage"].alias("coverage"),
+            (-span["distance"]).alias("nearness"),
+            span["first"].alias("first"),
+            span["last"].alias("last"),
+        )
+
+    spans = lanes.withColumn("near", F.collect_list(F.struct("diagonal", "found", "first", "last")).over(around))
+    distances = F.transform(F.sequence(F.lit(0), F.col("reach")), merged)
+    spans = spans.withColumn("span", F.array_max(F.transform(distances, judged)))
+    rank = F.struct(
+        "span.verified", "span.coverage", "span.nearness", F.size("found").alias("votes"), -F.col("diagonal")
     )
-    lengths = F.array(*[F.lit(len(text.split())) for _, text in templates])
-    labels = F.array(*[F.lit(label) for label, _ in templates])
-    length = F.element_at(lengths, F.col("template") + 1)
-    coverage = covered / length
-    return spans.select(
+    spans = spans.select("row", "template", "diagonal", "reach", "span", rank.alias("rank"))
+    spans = spans.withColumn("others", F.collect_list(F.struct("diagonal", "rank")).over(around))
+    rivals = F.filter("others", lambda o: F.abs(o["diagonal"] - F.col("diagonal")) <= F.col("reach"))
+    best = spans.where(F.array_max(F.transform(rivals, lambda o: o["rank"])) == F.col("rank"))
+    return best.select(
         "row",
         "template",
-        F.element_at(labels, F.col("template") + 1).alias("label"),
-        "first",
-        "last",
-        coverage.alias("coverage"),
-        ((coverage >= MIN_COVERAGE) & (F.col("last") - F.col("first") < MAX_STRETCH * length)).alias("verified"),
+        listed(label for label, _ in templates).alias("label"),
+        *[f"span.{c}" for c in ("first", "last", "coverage", "verified")],
     )
 
 
@@ -203,7 +266,7 @@ def scan(
         _joined(F.array_union("base", F.coalesce("more", none))).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-    ids = places.where("pos IS NULL OR pos = 0").select("row", F.col("id").alias(id_col))
+    ids = places.where("pos = -1").select("row", F.col("id").alias(id_col))
     return found, ids.join(spans, "row").drop("row")
 
 
