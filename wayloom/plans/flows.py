@@ -63,10 +63,12 @@ def run_trips(
     on_error: str = "fail",
     multi_line: bool = True,
     metrics_table: str | None = None,
+    table: str | None = None,
 ) -> FlowResult:
     """Generate a batch, then clean and load every trip file not loaded before.
 
-    ``metrics_table`` names a catalog table to which the run appends its metrics, whatever came of it.
+    ``metrics_table`` names a catalog table to which the run appends its metrics, whatever came of it;
+    ``table`` gives the loaded trips their name in the catalog.
     ``multi_line`` off lets large files be split over tasks, if no value holds a line end.
     """
     now = now or dt.datetime.now(dt.timezone.utc)
@@ -83,7 +85,13 @@ def run_trips(
             result.steps["files_generated"] = 1
         if ingest:
             picked = pick_up_trips(
-                spark, folder, table_path, on_error=on_error, ingested_at=now, multi_line=multi_line
+                spark,
+                folder,
+                table_path,
+                on_error=on_error,
+                ingested_at=now,
+                multi_line=multi_line,
+                table=table,
             )
             result.steps["pickup"] = picked
             result.success = picked.files_loaded == picked.files_total

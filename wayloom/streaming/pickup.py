@@ -26,12 +26,10 @@ from wayloom.operators.clean import drop_empty_rows
 from wayloom.plans.trips import clean_trips, is_malformed, to_warehouse
 from wayloom.schemas import TRIP_COLUMNS, TRIPS_RAW, TRIPS_TABLE
 from wayloom.session import discard, matches, scratch_path, stage
+from wayloom.sinks import loads
 from wayloom.sources.files import TRIP_FILES, list_files, read_csv
 
-LOG = (
-    "path string, Source_file string, parts long, bytes long, modified timestamp, rows long, "
-    "malformed_rows long, rows_without_id long, loaded boolean, load string"
-)
+LOG = loads.FILES
 IDENTITY = ("path", "parts", "bytes", "modified")
 #: Files that one step of a run loads and publishes.
 BATCH_FILES = 2000
@@ -68,6 +66,7 @@ def pick_up_trips(
     ingested_at: dt.datetime | None = None,
     batch_files: int = BATCH_FILES,
     multi_line: bool = True,
+    table: str | None = None,
 ) -> PickupResult:
     """Clean and load the trip files that are pending.
 
@@ -78,14 +77,18 @@ def pick_up_trips(
     Files are taken ``batch_files`` at a time, in order of path, and every batch is published by
     itself: the driver holds the names of one batch, and a run that breaks off keeps the batches
     before. With ``multi_line`` off, large files whose values hold no line ends are split over tasks.
+
+    ``table`` names the table in the catalog (:func:`wayloom.sinks.loads.register`).
     """
     stamp = ingested_at or dt.datetime.now(dt.timezone.utc)
     run = uuid.uuid4().hex
+    if table:
+        loads.register(spark, table_path, TRIPS_TABLE, table)
     total = PickupResult()
     for number in count():
         load = f"{run}-{number:06d}"
         found = _pick_up_batch(
-            spark, folder, table_path, pattern, on_error, stamp, run, load, batch_files, multi_line
+            spark, folder, table_path, pattern, on_error, stamp, run, load, batch_files, multi_line, table
         )
         total = PickupResult(*map(operator.add, astuple(total), astuple(found)))
         if found.files_total < batch_files:
@@ -103,6 +106,7 @@ def _pick_up_batch(
     load: str,
     batch_files: int,
     multi_line: bool,
+    table: str | None,
 ) -> PickupResult:
     """The next files that this run has not tried, loaded and published as ``load``."""
     folders = [scratch_path(spark, f"pickup-{name}") for name in ("pending", "rows", "report")]
@@ -130,7 +134,10 @@ def _pick_up_batch(
             0, ["rows", "malformed_rows", "rows_without_id"]
         )
         report = stage(report.withColumns({"loaded": ~withheld, "load": F.lit(load)}), path=folders[2])
+        # Known to the catalog before it holds rows, and seen from the log's lines on.
+        loads.add_load(spark, table, load)
         written = _publish(rows, report, table_path, load, stamp)
+        loads.refresh(spark, table)
         withheld = F.when(F.col("loaded"), F.col("rows_without_id")).otherwise(F.col("rows"))
         totals = report.agg(F.count("*"), F.count_if("loaded"), F.sum(withheld)).first()
         return PickupResult(totals[0], totals[1], written, totals[2] or 0)
@@ -151,7 +158,9 @@ def _publish(
     cleaned = clean_trips(accepted.where(~F.col("_no_id")).drop("_bad", "_no_id"), "null")
     shaped = to_warehouse(cleaned, F.lit(stamp), F.col("Source_file"), on_error="null")
     seen = Observation()
-    shaped.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{table_path}/rows/load={load}")
+    counted = shaped.observe(seen, F.count(F.lit(1)).alias("rows"))
+    # The catalog may have made the folder; a load's name is never used twice.
+    counted.write.mode("append").parquet(f"{table_path}/rows/load={load}")
     rejected = accepted.where("_no_id").drop("_bad", "_no_id")
     rejected.write.parquet(f"{table_path}/rejects/load={load}")
     lines = report.select(*[f.split()[0] for f in LOG.split(", ")])
@@ -159,28 +168,29 @@ def _publish(
     return seen.get["rows"]
 
 
-def _published(spark: SparkSession, table_path: str, kind: str, schema: T.StructType) -> DataFrame:
-    if not matches(spark, f"{table_path}/files"):
-        return spark.createDataFrame([], schema)
-    full = T.StructType([*schema.fields, T.StructField("load", T.StringType())])
-    loads = file_log(spark, table_path).select("load").distinct()
-    found = spark.read.schema(full).parquet(f"{table_path}/{kind}")
-    return found.join(loads, "load", "left_semi").drop("load")
-
-
 def loaded_trips(spark: SparkSession, table_path: str) -> DataFrame:
     """All rows loaded so far; folders of runs that did not end are left out."""
-    return _published(spark, table_path, "rows", TRIPS_TABLE)
+    return loads.read_rows(spark, table_path, TRIPS_TABLE)
+
+
+def compact_trips(
+    spark: SparkSession, table_path: str, table: str | None = None, file_rows: int = loads.FILE_ROWS
+) -> loads.Compaction:
+    """:func:`wayloom.sinks.loads.compact` of the loaded trips."""
+    return loads.compact(spark, table_path, TRIPS_TABLE, table, file_rows)
 
 
 def rejected_trips(spark: SparkSession, table_path: str) -> DataFrame:
     """Rows without an id in loaded files, as they were read, with their file."""
     raw = T.StructType([T.StructField("Source_file", T.StringType()), *TRIPS_RAW.fields])
-    return _published(spark, table_path, "rejects", raw)
+    published = file_log(spark, table_path).select("load")
+    if not matches(spark, f"{table_path}/rejects"):
+        return spark.createDataFrame([], raw)
+    full = T.StructType([*raw.fields, T.StructField("load", T.StringType())])
+    found = spark.read.schema(full).parquet(f"{table_path}/rejects")
+    return found.join(published, "load", "left_semi").drop("load")
 
 
 def file_log(spark: SparkSession, table_path: str) -> DataFrame:
     """A line for each file and run: what it was, what it held, whether it was loaded."""
-    if not matches(spark, f"{table_path}/files"):
-        return spark.createDataFrame([], LOG)
-    return spark.read.schema(LOG).parquet(f"{table_path}/files")
+    return loads.log(spark, table_path, "files", LOG)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from wayloom.operators import quality, upsert
 from wayloom.session import scratch_path, set_times, stage
 from wayloom.sinks import files as file_sinks
+from wayloom.sinks import loads
 from wayloom.sinks import tables as table_sinks
 from wayloom.sources import files as sources
 from wayloom.streaming import pickup
@@ -719,6 +720,57 @@ SELECT CASE WHEN o_orderkey % 2 = 0 THEN '20240105' ELSE '20240106' END AS day,
 {inputs.SQL_TRIPS_FROM} GROUP BY 1"""
 
 
+def _loaded_table(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Path and name of a table of all trips: files of four days, a load each, compacted after
+    three of them and again at the end, with the loads of before removed."""
+    base, name = scratch_path(spark, "named"), f"{_fresh_database(spark)}.trips"
+    trips = _dated_trips(spark, folder)
+    for day in range(4):
+        chosen = F.col("Trip ID").cast("bigint") % 4 == day
+        file_sinks.write_csv(trips.where(chosen), f"{base}/in", f"travel_data_2024010{day + 1}.csv")
+        pickup.pick_up_trips(spark, f"{base}/in", f"{base}/table", ingested_at=NOW, table=name)
+        if day >= 2:
+            pickup.compact_trips(spark, f"{base}/table", name)
+    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=1)
+    loads.remove_replaced(spark, f"{base}/table", later, name)
+    return f"{base}/table", name
+
+
+def trips_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of the trips by file, read by the table's name in the catalog."""
+    _, name = _loaded_table(spark, folder)
+    return spark.sql(
+        f"""SELECT Source_file, Traveler_gender, count(*) AS trips, count(DISTINCT Trip_ID) AS ids,
+                   sum(Duration_days) AS days, CAST(min(Start_date) AS STRING) AS first_start,
+                   CAST(max(End_date) AS STRING) AS last_end
+            FROM {name} GROUP BY Source_file, Traveler_gender"""
+    )
+
+
+SQL_TRIPS_TABLE = f"""
+SELECT 'travel_data_2024010' || CAST(o_orderkey % 4 + 1 AS VARCHAR) || '.csv' AS Source_file,
+       {inputs.SQL_GENDER} AS Traveler_gender, count(*) AS trips, count(DISTINCT o_orderkey) AS ids,
+       CAST(sum({inputs.SQL_DURATION}) AS BIGINT) AS days, CAST(min({inputs.SQL_START}) AS VARCHAR) AS first_start,
+       CAST(max({inputs.SQL_END}) AS VARCHAR) AS last_end
+{inputs.SQL_TRIPS_FROM} GROUP BY 1, 2"""
+
+
+def trips_compaction(spark: SparkSession, folder: str) -> DataFrame:
+    """What the compactions of that table say they wrote, and the rows found in its one load."""
+    path, _ = _loaded_table(spark, folder)
+    compactions = loads.log(spark, path, "compactions", loads.COMPACTIONS)
+    found = compactions.groupBy("load").agg(F.count("*").alias("loads_replaced"), F.max("rows").alias("rows"))
+    stored = spark.read.parquet(f"{path}/rows").groupBy("load").agg(F.count("*").alias("stored"))
+    return found.join(stored, "load", "left").select("loads_replaced", "rows", "stored")
+
+
+SQL_TRIPS_COMPACTION = f"""
+SELECT CAST(3 AS BIGINT) AS loads_replaced, count(*) AS rows, CAST(NULL AS BIGINT) AS stored
+{inputs.SQL_TRIPS_FROM} WHERE o_orderkey % 4 < 3
+UNION ALL
+SELECT CAST(2 AS BIGINT), count(*), count(*) {inputs.SQL_TRIPS_FROM}"""
+
+
 def load_reports(spark: SparkSession, folder: str) -> DataFrame:
     """What each kind of load says it did, as rows."""
     customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -969,6 +1021,8 @@ QUERIES = {
     "merge_buckets": merge_buckets,
     "run_metrics": run_metrics,
     "metrics_history": metrics_history,
+    "trips_table": trips_table,
+    "trips_compaction": trips_compaction,
 }
 ORACLES = {
     "load_reports": SQL_LOAD_REPORTS,
@@ -1014,4 +1068,6 @@ FROM d""",
     "merge_buckets": SQL_MERGE_INTO_TABLE,
     "run_metrics": SQL_RUN_METRICS,
     "metrics_history": SQL_METRICS_HISTORY,
+    "trips_table": SQL_TRIPS_TABLE,
+    "trips_compaction": SQL_TRIPS_COMPACTION,
 }
