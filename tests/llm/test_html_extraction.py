@@ -40,6 +40,23 @@ CASES = [
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\nb\nc\nd"),
     ("<article><p>x</p><div style='display: none'>h</div><div aria-hidden=true>h</div></article>", "x"),
     ("<div class='cookie-notice'>c</div><div class='adventure'>kept</div>", "kept"),
+    # Ordinary names around or on the content.
+    ("<div class='post has-sidebar'><article><p>Body.</p></article></div>", "Body."),
+    ("<div class='site-content no-comments'><p>Body.</p></div><p>x</p>", "Body.\nx"),
+    ("<div class='l-page ad-free'><p>Body.</p></div><p>x</p>", "Body.\nx"),
+    ("<div class='content notice-board-story'><p>Body.</p></div><p>x</p>", "Body.\nx"),
+    ("<div class='entry widget-area-none'><p>Body.</p></div><p>x</p>", "Body.\nx"),
+    ("<article class='post share-friendly'><p>Body.</p></article>", "Body."),
+    ("<div class='layout-sidebar'><p>x</p><article><p>Body.</p></article></div>", "Body."),
+    ("<div id=promo><h1>T</h1><p>Body.</p></div><div class='promo'>buy</div>", "T\nBody."),
+    ("<article class='sponsored'><p>Only <b>this</b>.</p></article>", "Only this."),
+    # Names that do say so, on elements beside it.
+    ("<article><p>a</p><div class='comment-list'><article class='comment'>no</article></div></article>", "a"),
+    ("<article><p>a b</p></article><div class='related-items'><article>c</article></div>", "a b"),
+    ("<article><p>a <span class='ad-slot'>buy</span>b</p><div id=site_footer>f</div></article>", "a b"),
+    # A teaser beside the content of ``main``.
+    ("<main><p>one two</p><p>three</p><article>Teaser</article></main>", "one two\nthree\nTeaser"),
+    ("<main><header><h1>T</h1></header><p>m</p></main>", "T\nm"),
 ]
 
 

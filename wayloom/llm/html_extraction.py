@@ -65,6 +65,12 @@ LEFT_OUT_WORDS = frozenset(
     "related recommended share sharing social breadcrumb breadcrumbs pagination pager widget login "
     "search masthead topbar toolbar skip".split()
 )
+#: Parts that may follow such a word in a class or id, and those before it that say it is not one.
+STRUCTURE_WORDS = frozenset(
+    "area bar block body box button column container content group inner item items left link links list "
+    "outer panel right section slot top bottom unit wrap wrapper".split()
+)
+NEGATING_WORDS = frozenset("has no not with without".split())
 LEFT_OUT_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
@@ -75,48 +81,80 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 OUTSIDE, IN_MAIN, IN_ARTICLE = 0, 1, 2
 
 
+#: Kept; left out; left out by a class or id unless it turns out to hold the page's content.
+KEPT, OUT, OUT_BY_NAME = 0, 1, 2
+#: Share of the words of ``main`` from which on its articles stand for all of it.
+ARTICLE_SHARE = 0.5
+
+
+def names_left_out(token: str) -> bool:
+    """Whether one class or id names something that is no main text.
+
+    Its last part decides, but for parts that name a mere structure: ``site-footer`` and
+    ``comment-list`` do, ``ad-free`` and ``has-sidebar`` do not.
+    """
+    parts = [p for p in re.split(r"[_-]+", token) if p]
+    while parts and parts[-1] in STRUCTURE_WORDS:
+        parts.pop()
+    return bool(parts) and parts[-1] in LEFT_OUT_WORDS and parts[0] not in NEGATING_WORDS
+
+
 @lru_cache(maxsize=20_000)
-def left_out(tag: str, attributes: str, inside: bool) -> bool:
+def left_out(tag: str, attributes: str, inside: bool) -> int:
     """Whether an element is no part of the main text, by its name and attributes."""
     if tag in LEFT_OUT_TAGS or (tag == "header" and not inside):
-        return True
+        return OUT
     if tag in ("html", "body", "main") or not attributes.strip():
-        return False
+        return KEPT
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes, re.IGNORECASE) or _HIDDEN.search(found.get("style", "")):
-        return True
+        return OUT
     if found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in LEFT_OUT_ROLES:
-        return True
-    names = re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-    return not LEFT_OUT_WORDS.isdisjoint(names)
+        return OUT
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    return OUT_BY_NAME if any(map(names_left_out, tokens)) else KEPT
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """The page's text lines that are not left out, each with where it stands."""
-    lines: list[tuple[str, int]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, str | None]] = []
+    """The page's text lines that are not left out, each with where it stands.
+
+    An element left out by its class or id is taken back if it holds ``main``, an ``h1`` or the page's
+    first ``article``; if nothing else is left of the page, all of them are.
+    """
+    lines: list[tuple[list[tuple[str, tuple[int, ...]]], int]] = []
+    parts: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, int, str | None]] = []
     dropped, held = 0, {"article": 0, "main": 0}
+    named: tuple[int, ...] = ()
+    taken_back: set[int] = set()
+    count, articles = 0, 0
 
     def flush() -> None:
         if parts:
-            text = " ".join("".join(parts).split())
+            where = IN_ARTICLE if held["article"] else IN_MAIN if held["main"] else OUTSIDE
+            lines.append((parts.copy(), where))
             parts.clear()
-            if text:
-                where = IN_ARTICLE if held["article"] else IN_MAIN if held["main"] else OUTSIDE
-                lines.append((text, where))
 
     def close(at: int) -> None:
-        nonlocal dropped
+        nonlocal dropped, named
         for _, out, content in stack[at:]:
-            dropped -= out
+            dropped -= out == OUT
+            if out == OUT_BY_NAME:
+                named = named[:-1]
             if content:
                 held[content] -= 1
         del stack[at:]
 
     def add(text: str) -> None:
         if text and not dropped:
-            parts.append(html.unescape(text) if "&" in text else text)
+            parts.append((html.unescape(text) if "&" in text else text, named))
+
+    def kept(back: set[int] | None) -> list[tuple[str, int]]:
+        joined = [
+            (" ".join("".join(t for t, by in line if back is None or back.issuperset(by)).split()), where)
+            for line, where in lines
+        ]
+        return [(text, where) for text, where in joined if text]
 
     at = 0
     for found in MARKUP.finditer(page):
@@ -148,21 +186,36 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                     break
         if tag in VOID_TAGS or found[4].endswith("/") and tag in INLINE_TAGS:
             continue
-        out = left_out(tag, found[4], held["article"] > 0)
+        if not dropped:
+            articles += tag == "article"
+            if tag in ("main", "h1") or (tag == "article" and articles == 1):
+                taken_back.update(named)
+        out = left_out(tag, found[4], held["article"] + held["main"] > 0)
         content = tag if tag in CONTENT_TAGS else None
         stack.append((tag, out, content))
-        dropped += out
+        dropped += out == OUT
+        if out == OUT_BY_NAME:
+            count += 1
+            named += (count,)
         if content:
             held[content] += 1
     add(page[at:])
     flush()
-    return lines
+    return kept(taken_back) or kept(None)
 
 
 def main_lines(lines: list[tuple[str, int]], deleted: frozenset[int] = frozenset()) -> list[str]:
-    """The lines of the marked content if there is any, else all that are not deleted."""
-    best = max((where for _, where in lines), default=OUTSIDE)
-    return [text for k, (text, where) in enumerate(lines) if where == best and (best or k not in deleted)]
+    """The lines of the marked content if there is any, else all that are not deleted.
+
+    Articles stand for a ``main`` around or beside them if they hold half of the words of both; one
+    teaser does not, and then all of both is content.
+    """
+    words = [0, 0, 0]
+    for text, where in lines:
+        words[where] += len(text.split())
+    marked = words[IN_ARTICLE] + words[IN_MAIN]
+    least = IN_ARTICLE if words[IN_ARTICLE] >= ARTICLE_SHARE * marked else IN_MAIN
+    return [text for k, (text, where) in enumerate(lines) if (where >= least if marked else k not in deleted)]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
