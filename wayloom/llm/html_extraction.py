@@ -1,14 +1,15 @@
 """Main text of web pages, by structure and by differencing with the page of the nearest URL.
 
 A page is cut into text lines at its block elements. Menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, hidden parts and reader comments are left out by element
-and by the words of ``class``, ``id`` and ``role``. Then pages of one host are sorted by URL path,
+notices, adverts, forms, scripts, styles, hidden parts and reader comments are left out by element,
+``role``, and the names in ``class`` and ``id``; a name leaves no element out that holds the page's
+content. Then pages of one host are sorted by URL path,
 each is paired with the neighbour whose path agrees with its own the longest, the lines of the two
 are aligned by a longest common subsequence, and lines that both have are deleted as part of the
 site's frame.
 
 Two kinds of shared lines stay. Where a page marks its content with ``article`` or ``main``, the
-text is what stands inside, and shared lines there are passages that two articles have in common.
+text is what stands inside (all of ``main`` if its articles hold less than half of the words), and shared lines there are passages that two articles have in common.
 And where the pair shares half of the page's words or more, one is a copy of the other, which says
 nothing about the frame.
 
