@@ -46,6 +46,35 @@ def test_quantiles_are_exact(spark, monkeypatch, values, small):
 
 def test_quantiles_of_nothing(spark):
     assert profile.quantiles(spark.createDataFrame([], "x double"), "x", MARKS) == []
+    assert profile.quantiles(spark.createDataFrame([(1.0,)], "x double"), "x", []) == []
+
+
+@pytest.mark.parametrize("ends", [(0.0, 1.0), (98.0, 99.0), (2.0, 90.0), (40.0, 40.0)])
+def test_a_sketch_that_is_wrong_costs_no_result(spark, monkeypatch, ends):
+    monkeypatch.setattr(profile, "SMALL", 20)
+    monkeypatch.setattr(profile, "ACCURACY", 20)
+    values = spark.range(1000).select((F.col("id") % 100).cast("double").alias("x"))
+    ranks = (0, 399, 400, 401, 999)
+    found = profile._values_at(values, {r: ends for r in ranks}, 1000)
+    assert found == {r: float(r // 10) for r in ranks}
+
+
+@pytest.mark.parametrize("kind", ["double", "int"])
+def test_quantiles_read_all_rows_twice_and_then_by_filter(spark, monkeypatch, tmp_path, kind):
+    monkeypatch.setattr(profile, "SMALL", 100)
+    monkeypatch.setattr(profile, "ACCURACY", 100)
+    path, reads = str(tmp_path / "x"), []
+    spark.range(40_000).select(F.col("id").cast(kind).alias("x")).repartition(2).write.parquet(path)
+    between = profile._between
+    monkeypatch.setattr(profile, "_between", lambda *a: reads.append(between(*a)) or reads[-1])
+    found = profile.quantiles(spark.read.parquet(path), "x", [0.25, 0.5])
+    assert found == [9999.75, 19999.5]
+    assert reads
+    for read in reads:
+        pushed = read._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        ).split("PushedFilters:")[1].split("\n")[0]
+        assert "GreaterThan(x," in pushed and "LessThan(x," in pushed
 
 
 def test_histogram_agrees_with_numpy(spark):

@@ -7,8 +7,10 @@ bucket sizes (a fixed number of rows) summed in one place.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,30 +166,42 @@ class _Bracket:
 def quantiles(table: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
     """Exact quantiles with linear interpolation, NULL and NaN ignored; empty input gives [].
 
-    The built-in exact percentile keeps every distinct value in one task. Here each pass
-    asks a quantile sketch for two values that enclose the wanted rank, counts exactly, and
-    goes on with the rows strictly between them, about one in ACCURACY / 4, until SMALL rows
-    or fewer are left to sort. All ranks share the passes: two or three even for 10^12 rows.
-    Repeated values sit on the interval ends, where they are only counted.
+    The built-in exact percentile keeps every distinct value in one task. Here the first full read
+    counts the rows and asks a sketch for two values around each quantile; the second one counts
+    exactly below and between them, about one row in ACCURACY / 4. What is between is then read
+    through a filter that reaches the scan, where row groups without such values are skipped, and is
+    narrowed in the same way until SMALL rows or fewer are left to sort. Two full reads are enough for
+    any input, and a sketch that is wrong costs a further narrowing and not the result. Repeated
+    values sit on the interval ends, where they are only counted.
     """
+    if not probabilities:
+        return []
     value = F.col(column).cast("double")
     values = table.select(value.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = values.count()
+    step = 2.0 / ACCURACY
+    ends = [e for p in probabilities for e in (max(p - step, 0.0), min(p + step, 1.0))]
+    n, bounds = values.agg(F.count("x"), F.percentile_approx("x", ends, ACCURACY)).first()
     if n == 0:
         return []
     wanted = [(int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))) for p in probabilities]
-    ranks = sorted({r for rank, _ in wanted for r in (rank, min(rank + 1, n - 1))})
-    found = _values_at(values, ranks, n)
+    near = {}
+    for i, (rank, _) in enumerate(wanted):
+        for r in (rank, min(rank + 1, n - 1)):
+            near.setdefault(r, (bounds[2 * i], bounds[2 * i + 1]))
+    found = _values_at(values, near, n)
     return [
         found[rank] + (found[min(rank + 1, n - 1)] - found[rank]) * part for rank, part in wanted
     ]
 
 
-def _values_at(values: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
-    brackets = [_Bracket(rank, n) for rank in ranks]
+def _values_at(values: DataFrame, near: dict[int, tuple[float, float]], n: int) -> dict[int, float]:
+    """The values of the ranks, each probably between the two that ``near`` gives."""
+    brackets = [_Bracket(rank, n) for rank in sorted(near)]
+    if n > SMALL:
+        _settle(values, [(b, *near[b.rank]) for b in brackets])
     while pending := [b for b in brackets if b.answer is None and b.inside > SMALL]:
         step = 2.0 / ACCURACY
-        # Brackets with the same ends, as all have at first, share one sketch.
+        # Brackets with the same ends share one sketch.
         shared: dict[tuple, list[_Bracket]] = {}
         for b in pending:
             shared.setdefault((b.lo, b.hi), []).append(b)
@@ -197,10 +211,10 @@ def _values_at(values: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
             ends = [e for p in at for e in (max(p - step, 0.0), min(p + step, 1.0))]
             sketch = F.percentile_approx(_inside(group[0]), ends, ACCURACY)
             asks.append(sketch.alias(f"q{i}"))
-        for group, bounds in zip(shared.values(), values.agg(*asks).first()):
-            for k, b in enumerate(group):
-                b.lo, b.hi = bounds[2 * k], bounds[2 * k + 1]
-        _settle(values, pending)
+        narrower = []
+        for group, bounds in zip(shared.values(), _between(values, pending).agg(*asks).first()):
+            narrower += [(b, bounds[2 * k], bounds[2 * k + 1]) for k, b in enumerate(group)]
+        _settle(_between(values, pending), narrower)
     rest = [b for b in brackets if b.answer is None]
     if rest:
         # At most SMALL values each; brackets with the same ends share one list.
@@ -209,36 +223,50 @@ def _values_at(values: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
             F.get(lists[b.lo, b.hi], F.lit(b.rank - b.below)).alias(f"v{i}")
             for i, b in enumerate(rest)
         ]
-        for b, answer in zip(rest, values.agg(*picks).first()):
+        for b, answer in zip(rest, _between(values, rest).agg(*picks).first()):
             b.answer = answer
     return {b.rank: b.answer for b in brackets}
 
 
-def _inside(b: _Bracket) -> Column:
+def _open(b: _Bracket) -> Column:
     x = F.col("x")
-    above = F.lit(True) if b.lo is None else x > F.lit(b.lo)
-    under = F.lit(True) if b.hi is None else x < F.lit(b.hi)
-    return F.when(above & under, x)
+    tests = [x > F.lit(b.lo)] if b.lo is not None else []
+    tests += [x < F.lit(b.hi)] if b.hi is not None else []
+    return reduce(operator.and_, tests, F.lit(True))
+
+
+def _inside(b: _Bracket) -> Column:
+    return F.when(_open(b), F.col("x"))
+
+
+def _between(values: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    """Only the rows between the ends of any bracket: comparisons that the scan can use."""
+    distinct = {(b.lo, b.hi): b for b in brackets}
+    return values.where(reduce(operator.or_, map(_open, distinct.values())))
 
 
-def _settle(values: DataFrame, brackets: list[_Bracket]) -> None:
-    """Count around both ends; answers ranks that fall on an end."""
+def _settle(values: DataFrame, narrower: list[tuple[_Bracket, float, float]]) -> None:
+    """Count around the two values given for each bracket, which then holds its rank between or
+    beside them; answers ranks that fall on one of them."""
     x = F.col("x")
     counts = values.agg(
         *[
-            F.count_if(test).alias(f"c{i}{k}")
-            for i, b in enumerate(brackets)
+            F.count_if(_open(b) & test).alias(f"c{i}{k}")
+            for i, (b, lo, hi) in enumerate(narrower)
             for k, test in enumerate(
-                (x < F.lit(b.lo), x <= F.lit(b.lo), x < F.lit(b.hi), x <= F.lit(b.hi))
+                (x < F.lit(lo), x <= F.lit(lo), x < F.lit(hi), x <= F.lit(hi))
             )
         ]
     ).first()
-    for i, b in enumerate(brackets):
-        under, upto_lo, under_hi, upto_hi = counts[4 * i : 4 * i + 4]
-        if not under <= b.rank < upto_hi:
-            raise RuntimeError("the sketch missed a rank; raise ACCURACY")
-        if b.rank < upto_lo:
-            b.answer = b.lo
-        elif b.rank >= under_hi:
-            b.answer = b.hi
-        b.below, b.inside = upto_lo, under_hi - upto_lo
+    for i, (b, lo, hi) in enumerate(narrower):
+        under, upto_lo, under_hi, upto_hi = (b.below + c for c in counts[4 * i : 4 * i + 4])
+        if b.rank < under:
+            b.hi, b.inside = lo, under - b.below
+        elif b.rank < upto_lo:
+            b.answer = lo
+        elif b.rank < under_hi:
+            b.lo, b.hi, b.below, b.inside = lo, hi, upto_lo, under_hi - upto_lo
+        elif b.rank < upto_hi:
+            b.answer = hi
+        else:
+            b.lo, b.below, b.inside = hi, upto_hi, b.below + b.inside - upto_hi
