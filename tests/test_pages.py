@@ -11,6 +11,7 @@ from wayloom.functions import html
 from wayloom.operators import elements as el
 from wayloom.plans import destinations
 from wayloom.schemas import DESTINATIONS_TABLE
+from wayloom.suite import pages as suite
 
 PAGE = "destination_name string, content string"
 
@@ -205,3 +206,30 @@ def test_find_next_and_containment(spark):
     assert [r["text"] for r in marked.where("listed").collect()] == ["1"]
     lists = frame.where("tag = 'ul'").select("id", "ord", "end_ord")
     assert sorted(r["tag"] for r in el.inside(frame, lists, ["id"]).collect()) == ["a", "li"]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(pieces, max_size=25), min_size=20, max_size=20))
+def test_sweeps_in_the_row_agree_with_windows(spark, documents):
+    markups = ["".join(parts) for parts in documents]
+    frame = spark.createDataFrame(list(enumerate(markups)), "id int, html string")
+    flat, kinds = el.elements(frame, ["id"], tags=["p", "b", "li", "div"]), ["b", "li"]
+    page = el.parse_pages(frame)
+    kind = lambda n: n["tag"].isin(kinds)
+    inside = page.select("id", F.inline(el.nodes_inside(lambda n: n["tag"] == "div", kind)))
+    marked = el.mark_inside(flat, ["id"], F.col("tag") == "div", "held").where(F.col("held") & F.col("tag").isin(kinds))
+    places = lambda found: sorted((r["id"], r["ord"]) for r in found.collect())
+    assert places(inside) == places(marked)
+    followed = page.select("id", F.inline(el.nodes_before_next(kind, lambda n: n["tag"] == "p")))
+    after = el.find_next(flat, ["id"], F.col("tag") == "p", F.col("ord"), "n").where(F.col("tag").isin(kinds))
+    assert sorted(
+        (r["id"], r["node"]["ord"], r["next"]["ord"] if r["next"] else -1) for r in followed.collect()
+    ) == sorted((r["id"], r["ord"], -1 if r["n"] is None else r["n"]) for r in after.collect())
+
+
+@pytest.mark.parametrize("name", ["page_titles", "page_first_paragraph", "page_links", "page_next_match"])
+def test_sweeps_need_no_shuffle(spark, name):
+    plan = suite.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # One only: the pages are dealt over the cores before they are parsed.
+    assert plan.count("Exchange") == plan.count("Exchange RoundRobinPartitioning") == 1
+    assert "Window" not in plan and "Join" not in plan

@@ -77,6 +77,62 @@ def first_node(nodes: Column, test) -> Column:
     return F.get(F.filter(nodes, test), F.lit(0))
 
 
+def outermost(nodes: Column) -> Column:
+    """Of nodes in document order, those that lie in no earlier one.
+
+    One walk that keeps how far the nodes so far reach. Its cost grows with the square of the nodes
+    kept, so give it the containers in question and not all nodes of a page.
+    """
+    start = F.struct(F.lit(-1).alias("reach"), F.filter(nodes, lambda n: F.lit(False)).alias("kept"))
+    walked = F.aggregate(
+        nodes,
+        start,
+        lambda done, n: F.when(n["ord"] < done["reach"], done).otherwise(
+            F.struct(n["end"].alias("reach"), F.array_append(done["kept"], n).alias("kept"))
+        ),
+        lambda done: done["kept"],
+    )
+    return F.coalesce(walked, F.array())
+
+
+def nodes_inside(outer, inner) -> Column:
+    """Nodes of the page that pass ``inner`` and lie in one that passes ``outer``, each once.
+
+    What lies in a node is a slice of the page's nodes, so nothing is shuffled or compared.
+    """
+    tops = outermost(F.filter(F.col(NODES), outer))
+    return F.flatten(F.transform(tops, lambda top: F.filter(inner_nodes(top), inner)))
+
+
+def nodes_before_next(test, following) -> Column:
+    """``(node, next)``: every node that passes ``test`` and the first later one that passes
+    ``following``, NULL if there is none.
+
+    The page's nodes are cut at those that pass ``following``, and each piece is read once.
+    """
+    marks = F.filter(F.col(NODES), following)
+    begins = F.concat(F.array(F.lit(0)), F.transform(marks, lambda n: n["ord"]))
+
+    def piece(at: Column, begin: Column) -> Column:
+        # From one mark up to the next: that one follows all of it, the first mark itself too.
+        return let(
+            F.get(marks, at),
+            lambda mark: F.transform(
+                F.filter(
+                    F.slice(
+                        F.col(NODES),
+                        begin + 1,
+                        F.greatest(F.coalesce(mark["ord"], F.size(NODES)) - begin, F.lit(0)),
+                    ),
+                    test,
+                ),
+                lambda n: F.struct(n.alias("node"), mark.alias("next")),
+            ),
+        )
+
+    return F.flatten(F.transform(begins, lambda begin, at: piece(at, begin)))
+
+
 def node_at(position: Column) -> Column:
     """Node with this ordinal; NULL for -1, the parent of top-level nodes."""
     return F.get(F.col(NODES), position)

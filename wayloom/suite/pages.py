@@ -109,16 +109,20 @@ def page_elements(spark: SparkSession, folder: str) -> DataFrame:
 SQL_PAGE_ELEMENTS = f"WITH {SQL_NODES} SELECT page_id, ord, end_ord, parent, tag FROM nodes"
 
 
+def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """The given pages as node arrays, a row for each."""
+    pages = table(spark, folder, "pages").select("page_id", "html")
+    return el.parse_pages(spread(pages, cores(spark)))
+
+
 def page_titles(spark: SparkSession, folder: str) -> DataFrame:
-    """First heading and title of every page."""
-    found = _elements(spark, folder, tags=["title", "h1"])
-    firsts = found.groupBy(*KEYS).agg(
-        *[
-            F.min_by("text", F.when(F.col("tag") == tag, F.col("ord"))).alias(tag)
-            for tag in ("title", "h1")
-        ]
-    )
-    return firsts.drop("doc")
+    """First heading and title of every page that has one, found in the page's row."""
+
+    def first(tag: str) -> Column:
+        return el.node_text(el.first_node(F.col(el.NODES), lambda n: n["tag"] == tag)).alias(tag)
+
+    found = _parsed(spark, folder).select("page_id", first("title"), first("h1"))
+    return found.where("title IS NOT NULL OR h1 IS NOT NULL")
 
 
 SQL_PAGE_TITLES = f"""
@@ -130,12 +134,16 @@ FROM t GROUP BY 1"""
 
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Links inside navigation blocks, by containment of ordinals."""
-    found = _elements(spark, folder, tags=["nav", "a"])
-    marked = el.mark_inside(found, KEYS, F.col("tag") == "nav", "in_nav")
-    return marked.where((F.col("tag") == "a") & F.col("in_nav")).select(
-        "page_id", "ord", html.attribute(F.col("attrs"), "href").alias("href"), "text"
+    """Links inside navigation blocks, by the slices of nodes that the blocks cover."""
+    links = F.transform(
+        el.nodes_inside(lambda n: n["tag"] == "nav", lambda n: n["tag"] == "a"),
+        lambda n: F.struct(
+            n["ord"].alias("ord"),
+            html.attribute(n["attrs"], "href").alias("href"),
+            el.node_text(n).alias("text"),
+        ),
     )
+    return _parsed(spark, folder).select("page_id", F.inline(links))
 
 
 SQL_PAGE_LINKS = f"""
@@ -147,14 +155,12 @@ WHERE n.tag = 'a'"""
 
 
 def page_first_paragraph(spark: SparkSession, folder: str) -> DataFrame:
-    """First paragraph that stands directly in an article."""
-    found = _elements(spark, folder, tags=["p"])
-    return (
-        found.where(F.col("parent_tag") == "article")
-        .groupBy(*KEYS)
-        .agg(F.min_by(strip(F.col("text")), "ord").alias("text"))
-        .drop("doc")
+    """First paragraph that stands directly in an article, found in the page's row."""
+    first = el.first_node(
+        F.col(el.NODES), lambda n: (n["tag"] == "p") & (n["parent_tag"] == "article")
     )
+    found = _parsed(spark, folder).select("page_id", strip(el.node_text(first)).alias("text"))
+    return found.where("text IS NOT NULL")
 
 
 SQL_FIRST_PARAGRAPH = f"""
@@ -197,9 +203,13 @@ SELECT n.page_id, n.ord, {SQL_TEXT} AS name, '' AS description FROM nodes n WHER
 
 def page_next_match(spark: SparkSession, folder: str) -> DataFrame:
     """For each link, heading and list: the next paragraph that starts after it."""
-    found = _elements(spark, folder, tags=["h1", "a", "ul", "p"], with_text=False)
-    matched = el.find_next(found, KEYS, F.col("tag") == "p", F.col("ord"), "next_p")
-    return matched.where(F.col("tag") != "p").select("page_id", "ord", "tag", "next_p")
+    matched = F.transform(
+        el.nodes_before_next(lambda n: n["tag"].isin("h1", "a", "ul"), lambda n: n["tag"] == "p"),
+        lambda m: F.struct(
+            m["node"]["ord"].alias("ord"), m["node"]["tag"].alias("tag"), m["next"]["ord"].alias("next_p")
+        ),
+    )
+    return _parsed(spark, folder).select("page_id", F.inline(matched))
 
 
 SQL_NEXT_MATCH = f"""
