@@ -121,8 +121,11 @@ def page_titles(spark: SparkSession, folder: str) -> DataFrame:
     def first(tag: str) -> Column:
         return el.node_text(el.first_node(F.col(el.NODES), lambda n: n["tag"] == tag)).alias(tag)
 
-    found = _parsed(spark, folder).select("page_id", first("title"), first("h1"))
-    return found.where("title IS NOT NULL OR h1 IS NOT NULL")
+    # A filter on the texts would be pushed below and parse the page again for each use; a
+    # generator is not crossed.
+    found = F.array(F.struct(first("title"), first("h1")))
+    found = F.filter(found, lambda r: r["title"].isNotNull() | r["h1"].isNotNull())
+    return _parsed(spark, folder).select("page_id", F.inline(found))
 
 
 SQL_PAGE_TITLES = f"""
@@ -159,8 +162,9 @@ def page_first_paragraph(spark: SparkSession, folder: str) -> DataFrame:
     first = el.first_node(
         F.col(el.NODES), lambda n: (n["tag"] == "p") & (n["parent_tag"] == "article")
     )
-    found = _parsed(spark, folder).select("page_id", strip(el.node_text(first)).alias("text"))
-    return found.where("text IS NOT NULL")
+    found = F.array(F.struct(strip(el.node_text(first)).alias("text")))
+    found = F.filter(found, lambda r: r["text"].isNotNull())
+    return _parsed(spark, folder).select("page_id", F.inline(found))
 
 
 SQL_FIRST_PARAGRAPH = f"""
