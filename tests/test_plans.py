@@ -1,5 +1,7 @@
 """What the plans must and must not contain."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,24 @@ def test_payloads_are_parsed_once_and_not_shuffled(spark, tmp_path):
     assert "Python" not in found
 
 
+def test_forecast_lengths_parse_the_payloads_once(spark):
+    found = plan(registry.queries()["forecast_lengths"](spark, DATA))
+    assert "Scan parquet" in found and "from_json" not in found and "to_json" not in found
+
+
+def test_used_days_never_become_rows_of_the_cut_ones(spark):
+    day = {"temp": {}, "feels_like": {}, "weather": [{}], "sunrise": 1, "sunset": 2}
+    daily = [day | {"dt": 1}, day | {"dt": 2}, day, day | {"dt": 4}]
+    texts = [json.dumps({"city": "A", "response": {"daily": d}}) for d in (daily, daily[:2], [], None)]
+    rows = weather.parse_payloads(spark.createDataFrame([(t,) for t in texts], "payload string"))
+    lost = weather.cut_days(rows, 4)
+    assert ">= _used" not in plan(lost)
+    assert [(r["city"], r["day_no"], r["unusable"], r["d"]["dt"]) for r in lost.collect()] == [
+        ("A", 2, True, None),
+        ("A", 3, False, 4),
+    ]
+
+
 def test_pages_never_need_a_shuffle(spark):
     found = plan(destinations.extract_destinations(table(spark, DATA, "pages"), "url", "html"))
     assert "Exchange" not in found

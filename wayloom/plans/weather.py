@@ -72,12 +72,18 @@ def cut_days(payloads: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
     ``(city, country, day_no, unusable, d)``."""
     check_days(days)
     wanted, _ = with_and_without_forecast(payloads)
-    cut = F.slice(F.col("response.daily"), 1, days)
-    rows = wanted.select(
-        "city", "country", F.size(_usable_prefix(cut)).alias("_used"), F.posexplode_outer(cut).alias("day_no", "d")
+    cut = wanted.withColumn("_days", F.slice(F.col("response.daily"), 1, days))
+    used = cut.withColumn("_used", F.size(_usable_prefix(F.col("_days"))))
+    # Taken within the row: days that are used never become rows.
+    rest = F.slice(F.col("_days"), F.col("_used") + 1, F.size("_days"))
+    rows = used.select("city", "country", "_used", F.posexplode_outer(rest).alias("_after", "d"))
+    return rows.where(F.col("_after").isNotNull()).select(
+        "city",
+        "country",
+        (F.col("_used") + F.col("_after")).alias("day_no"),
+        _unusable(F.col("d")).alias("unusable"),
+        "d",
     )
-    lost = rows.where(F.col("day_no") >= F.col("_used"))
-    return lost.select("city", "country", "day_no", _unusable(F.col("d")).alias("unusable"), "d")
 
 
 def forecast_days(payloads: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:

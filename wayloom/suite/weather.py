@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayloom.functions import parse
 from wayloom.operators import quality
 from wayloom.plans import weather
-from wayloom.session import spread
+from wayloom.session import spread, stage
 from wayloom.suite.inputs import cores, table
 
 STAMP = dt.datetime(2024, 1, 5, 12, 0, tzinfo=dt.timezone.utc)
@@ -176,8 +176,11 @@ FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL"""
 
 
 def forecast_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows for every permitted number of days, and the days that became none."""
-    rows = payloads(spark, folder)
+    """Rows for every permitted number of days, and the days that became none.
+
+    The payloads are parsed once and read again for every number.
+    """
+    rows = stage(payloads(spark, folder))
     parts = []
     for days in range(1, 8):
         count = F.lit(days).alias("days")
