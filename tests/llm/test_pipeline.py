@@ -56,7 +56,7 @@ def test_registered_with_the_entry():
     assert set(registry.QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(registry.ORACLES) <= set(contract.oracle_sql()) & set(registry.QUERIES)
     numbers = sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_empty_and_odd_documents(spark, docs):
